@@ -76,6 +76,12 @@ NEEDS = {
 }
 
 
+def half_up(value: Column, digits: int) -> Column:
+    """Half-up rounding of a double. Going through a decimal keeps a last-bit
+    error of the division from tipping a tie."""
+    return F.round(value.cast("decimal(38,10)"), digits).cast("double")
+
+
 def ratio(num, den, factor: float = 1.0, digits: int | None = 2, empty: float | None = None) -> Column:
     """``num * factor / den``; ``empty`` is the value for a zero denominator.
 
@@ -86,7 +92,7 @@ def ratio(num, den, factor: float = 1.0, digits: int | None = 2, empty: float |
         top = top * F.lit(float(factor))
     value = top / F.nullif(_as_column(den).cast("double"), F.lit(0.0))
     if digits is not None:
-        value = F.round(value, digits)
+        value = half_up(value, digits)
     return value if empty is None else F.coalesce(value, F.lit(float(empty)))
 
 
@@ -136,7 +142,7 @@ def net_profit(revenue="revenue", cost="cost_full") -> Column:
 def change_rate(current, previous, digits: int = 2) -> Column:
     """Percent change; null where the previous value is zero or missing."""
     cur, prev = _as_column(current).cast("double"), _as_column(previous).cast("double")
-    return F.round((cur - prev) * F.lit(100.0) / F.nullif(prev, F.lit(0.0)), digits)
+    return half_up((cur - prev) * F.lit(100.0) / F.nullif(prev, F.lit(0.0)), digits)
 
 
 def distinct_rollup(df: DataFrame, keys) -> DataFrame:

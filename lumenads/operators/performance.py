@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenads.functions.metrics import ratio, summarise, with_rates
+from lumenads.functions.metrics import half_up, ratio, summarise, with_rates
 
 
 def performance(
@@ -59,7 +59,7 @@ def vs_average(df: DataFrame, column: str, name: str, digits: int = 1) -> DataFr
     relative = F.col(column).cast("double") * 100.0 * F.col("_n") / F.nullif(
         F.col("_sum"), F.lit(0.0)
     )
-    return joined.select(*df.columns, F.round(relative - 100.0, digits).alias(name))
+    return joined.select(*df.columns, half_up(relative - 100.0, digits).alias(name))
 
 
 def ranked_top(df: DataFrame, order, n: int, name: str = "rank") -> DataFrame:
@@ -84,7 +84,7 @@ def moving_average(df: DataFrame, order: str, rows: int = 7, digits: int = 2, **
     """Mean over the current and the preceding rows; for series already one row per step."""
     w = W.orderBy(order).rowsBetween(-(rows - 1), 0)
     out = [
-        F.round(
+        half_up(
             F.sum(column).over(w).cast("double") / F.count(column).over(w).cast("double"), digits
         ).alias(name)
         for name, column in columns.items()

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenads.functions.dates import date_between, previous_week, same_range_previous_month
+from lumenads.functions.dates import (
+    date_between,
+    day_grid,
+    previous_week,
+    same_range_previous_month,
+    week_calendar,
+)
 from lumenads.functions.metrics import change_rate, performance_needs, ratio, summarise, with_rates
+from lumenads.operators.joins import with_previous
 from lumenads.operators.performance import performance
 
 KPI_MEASURES = (
@@ -18,6 +28,16 @@ KPI_MEASURES = (
 )
 KPI_RATES = ("ctr_distinct", "cvr_purchase", "cpc", "roas_report")
 KPI_COLUMNS = performance_needs(KPI_MEASURES, ("dt",))
+# Purchase funnel stages in order.
+FUNNEL_STAGES = ("view_content", "add_to_cart", "purchase")
+
+
+def up(name: str) -> Column:
+    return F.asc_nulls_last(name)
+
+
+def down(name: str) -> Column:
+    return F.desc_nulls_last(name)
 
 
 def within(facts: DataFrame, start: str, end: str) -> DataFrame:
@@ -33,3 +53,322 @@ def kpi_daily(facts: DataFrame, start: str, end: str) -> DataFrame:
     return performance(
         within(facts, start, end), ("dt",), KPI_MEASURES, ("ctr_distinct", "roas_report"), order=("dt",)
     )
+
+
+def kpi_weekly(facts: DataFrame, start: str, end: str, strict_month: bool = True) -> DataFrame:
+    """KPIs per calendar week of the range.
+
+    The calendar has one row per day of the range, which bounds its broadcast.
+    """
+    weeks = week_calendar(day_grid(facts.sparkSession, start, end), start, end, strict_month)
+    rows = facts.join(F.broadcast(weeks), "dt")
+    return performance(rows, ("week_start", "week_end"), KPI_MEASURES, KPI_RATES, order=("week_start",))
+
+
+def _two_periods(facts: DataFrame, current, previous) -> DataFrame:
+    """Rows of either period, tagged; one scan serves both."""
+    now = date_between(*current, F.col("dt"))
+    before = date_between(*previous, F.col("dt"))
+    return facts.where(now | before).withColumn(
+        "_period", F.when(now, F.lit("current")).otherwise("previous")
+    )
+
+
+def _side_by_side(df: DataFrame, values) -> DataFrame:
+    """Two tagged rows as one row with ``prev_`` columns."""
+    at = lambda tag, v: F.max(F.when(F.col("_period") == tag, F.col(v)))
+    return df.agg(
+        *[at("current", v).alias(v) for v in values],
+        *[at("previous", v).alias(f"prev_{v}") for v in values],
+    )
+
+
+def kpi_prev_month(facts: DataFrame, start: str, end: str) -> DataFrame:
+    """KPIs of the range beside the same days of the month before."""
+    rows = _two_periods(facts, (start, end), same_range_previous_month(start, end))
+    both = with_rates(summarise(rows, ("_period",), KPI_MEASURES), KPI_RATES)
+    out = _side_by_side(both, (*KPI_MEASURES, *KPI_RATES))
+    return out.withColumn(
+        "revenue_change", change_rate("revenue_purchase", "prev_revenue_purchase")
+    ).withColumn("ctr_change", change_rate("ctr_distinct", "prev_ctr_distinct"))
+
+
+def kpi_prev_week(facts: DataFrame, start: str, end: str) -> DataFrame:
+    """Each week of the range beside the week before it.
+
+    The week before the first one is taken whole, from Monday to Sunday.
+    """
+    spark = facts.sparkSession
+    weeks = week_calendar(day_grid(spark, start, end), start, end)
+    lead_in = previous_week(start, start)[0]
+    before = (
+        spark.range(1)
+        .select(F.date_trunc("week", F.lit(lead_in).cast("date")).cast("date").alias("week_start"))
+        .withColumn("week_end", F.date_add("week_start", 6))
+        .withColumn("dt", F.explode(F.sequence("week_start", "week_end")))
+    )
+    rows = facts.join(F.broadcast(weeks.unionByName(before.select(*weeks.columns))), "dt")
+    weekly = with_rates(summarise(rows, ("week_start", "week_end"), KPI_MEASURES), KPI_RATES)
+    w = W.orderBy("week_start")
+    shown = ("impressions_distinct", "clicks", "revenue_purchase", "roas_report")
+    return (
+        weekly.select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in shown])
+        .withColumn("revenue_change", change_rate("revenue_purchase", "prev_revenue_purchase"))
+        .where(F.col("week_start") >= F.lit(start).cast("date"))
+    )
+
+
+def category_performance(facts: DataFrame, start: str, end: str) -> DataFrame:
+    return performance(
+        within(facts, start, end),
+        ("food_category",),
+        KPI_MEASURES,
+        ("ctr_distinct", "cvr_purchase", "roas_report"),
+        order=(down("revenue_purchase"), "food_category"),
+    )
+
+
+def category_with_previous(facts: DataFrame, current, previous) -> DataFrame:
+    """Category table with the revenue of the previous period."""
+    before = summarise(within(facts, *previous), ("food_category",), ("revenue_purchase",))
+    return with_previous(
+        category_performance(facts, *current), before, ["food_category"], ["revenue_purchase"]
+    ).withColumn("revenue_change", change_rate("revenue_purchase", "prev_revenue_purchase"))
+
+
+_SHOP = ("store_id", "food_category")
+_SHOP_MEASURES = KPI_MEASURES
+_SHOP_RATES = ("ctr_distinct", "roas_report")
+
+
+def shop_top_n(facts: DataFrame, start: str, end: str, n: int = 5) -> DataFrame:
+    return performance(
+        within(facts, start, end), _SHOP, _SHOP_MEASURES, _SHOP_RATES,
+        order=(down("revenue_purchase"), *_SHOP), n=n,
+    )
+
+
+def shop_bottom_n(facts: DataFrame, start: str, end: str, n: int = 5, min_impressions: int = 100) -> DataFrame:
+    return performance(
+        within(facts, start, end), _SHOP, _SHOP_MEASURES, _SHOP_RATES,
+        having=F.col("impressions_distinct") >= min_impressions,
+        order=(up("roas_report"), *_SHOP), n=n,
+    )
+
+
+def shop_top_with_previous(facts: DataFrame, current, previous, n: int = 5) -> DataFrame:
+    before = summarise(within(facts, *previous), _SHOP, ("revenue_purchase",))
+    return with_previous(shop_top_n(facts, *current, n=n), before, list(_SHOP), ["revenue_purchase"])
+
+
+def funnel_counts(facts: DataFrame, start: str, end: str) -> DataFrame:
+    return (
+        within(facts, start, end)
+        .groupBy("conversion_type")
+        .agg(F.count_if("is_conversion").alias("n"))
+        .orderBy(up("conversion_type"))
+    )
+
+
+def funnel_with_previous(facts: DataFrame, current, previous) -> DataFrame:
+    before = within(facts, *previous).groupBy("conversion_type").agg(
+        F.count_if("is_conversion").alias("n")
+    )
+    return with_previous(funnel_counts(facts, *current), before, ["conversion_type"], ["n"])
+
+
+def funnel_rates(counts: DataFrame, stages=FUNNEL_STAGES) -> DataFrame:
+    """Stages in order: percent of the first stage and of the previous present one.
+
+    Without a first stage the count is compared with 1, as the reports do.
+    """
+    place = F.array_position(F.array(*[F.lit(s) for s in stages]), F.col("conversion_type"))
+    listed = counts.where(F.col("conversion_type").isin(*stages)).withColumn("stage_no", place)
+    first = counts.agg(
+        F.coalesce(
+            F.max(F.when(F.col("conversion_type") == stages[0], F.col("n"))), F.lit(1)
+        ).alias("_first")
+    )
+    w = W.orderBy("stage_no")
+    return (
+        listed.crossJoin(F.broadcast(first))
+        .withColumn("_prev", F.lag("n").over(w))
+        .select(
+            "stage_no",
+            F.col("conversion_type").alias("stage"),
+            "n",
+            ratio("n", "_first", 100, 2, empty=0.0).alias("percent_of_first"),
+            ratio("n", "_prev", 100, 1).alias("percent_of_previous"),
+        )
+    )
+
+
+def yesterday_vs_mtd(facts: DataFrame, start: str, end: str) -> DataFrame:
+    """Month-to-date KPIs beside those of the last day; a missing day is null."""
+    rows = within(facts, start, end)
+    total = performance(rows, (), KPI_MEASURES, KPI_RATES)
+    last = performance(within(facts, end, end), ("dt",), KPI_MEASURES, ("ctr_distinct", "roas_report"))
+    last = last.select(*[F.col(c).alias(f"day_{c}") for c in last.columns])
+    return total.join(F.broadcast(last), F.lit(True), "left")
+
+
+# ------------------------------------------------------------- rule sections
+
+# Limits of the action rules.
+ALERT_RULES = {
+    "roas_stop": 100.0,
+    "roas_reduce": 200.0,
+    "roas_increase": 500.0,
+    "ctr_drop": 10.0,
+    "cvr_drop": 10.0,
+    "cpc_increase": 15.0,
+    "revenue_growth": 20.0,
+    "funnel_drop": 5.0,
+    "target_critical": 80.0,
+    "min_impressions": 100,
+}
+ACTION_COLUMNS = performance_needs(KPI_MEASURES, ("dt", "store_id", "food_category", "is_conversion"))
+
+
+def _category_change(facts: DataFrame, current, previous) -> DataFrame:
+    rows = _two_periods(facts, current, previous)
+    both = with_rates(
+        summarise(rows, ("food_category", "_period"), KPI_MEASURES),
+        ("ctr_distinct", "cvr_purchase"),
+    )
+    shown = ("ctr_distinct", "cvr_purchase", "revenue_purchase")
+    at = lambda tag, v: F.max(F.when(F.col("_period") == tag, F.col(v).cast("double")))
+    wide = both.groupBy("food_category").agg(
+        *[at("current", v).alias(v) for v in shown],
+        *[at("previous", v).alias(f"prev_{v}") for v in shown],
+    )
+    return wide.select("*", *[change_rate(v, f"prev_{v}").alias(f"{v}_change") for v in shown])
+
+
+def _funnel_change(facts: DataFrame, current, previous) -> DataFrame:
+    now = funnel_rates(funnel_counts(facts, *current)).select(
+        "stage", F.col("percent_of_previous").alias("now")
+    )
+    before = funnel_rates(funnel_counts(facts, *previous)).select(
+        "stage", F.col("percent_of_previous").alias("before")
+    )
+    return now.join(before, "stage", "inner")
+
+
+def attainment(facts: DataFrame, start: str, end: str, targets: dict[str, float]) -> DataFrame:
+    """Actual, target and percent per named KPI of the period."""
+    total = summarise(within(facts, start, end), (), tuple(targets))
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("kpi"),
+                F.coalesce(F.col(name).cast("double"), F.lit(0.0)).alias("actual"),
+                F.lit(float(goal)).alias("target"),
+            )
+            for name, goal in targets.items()
+        ]
+    )
+    return total.select(F.explode(entries).alias("_e")).select(
+        "_e.*", ratio("_e.actual", "_e.target", 100, 1).alias("percent")
+    )
+
+
+def action_items(
+    facts: DataFrame, current, previous, targets: dict[str, float], rules: dict | None = None
+) -> DataFrame:
+    """Rule table: what to do, for what, and the numbers it rests on."""
+    limit = {**ALERT_RULES, **(rules or {})}
+    shops = performance(
+        within(facts, *current), ("store_id",), KPI_MEASURES, ("roas_report",),
+        having=F.col("impressions_distinct") >= limit["min_impressions"],
+    )
+    categories = _category_change(facts, current, previous)
+    overall = _side_by_side(
+        with_rates(
+            summarise(_two_periods(facts, current, previous), ("_period",), ("cost_click", "clicks")),
+            ("cpc",),
+        ),
+        ("cpc",),
+    ).withColumn("cpc_change", change_rate("cpc", "prev_cpc"))
+    funnel = _funnel_change(facts, current, previous)
+    goals = attainment(facts, *current, targets)
+
+    def rows(df, condition, priority, rule, target, now, before=None):
+        return df.where(condition).select(
+            F.lit(priority).alias("priority"),
+            F.lit(rule).alias("rule"),
+            target.alias("target"),
+            now.cast("double").alias("current_value"),
+            (F.lit(None) if before is None else before).cast("double").alias("previous_value"),
+        )
+
+    c = F.col
+    roas = c("roas_report")
+    parts = [
+        rows(shops, roas < limit["roas_stop"], "urgent", "pause_campaign", c("store_id"), roas),
+        rows(
+            shops, (roas >= limit["roas_stop"]) & (roas <= limit["roas_reduce"]),
+            "high", "lower_bid", c("store_id"), roas,
+        ),
+        rows(shops, roas > limit["roas_increase"], "medium", "raise_budget", c("store_id"), roas),
+        rows(
+            overall, c("cpc_change") >= limit["cpc_increase"],
+            "medium", "watch_cpc", F.lit("all"), c("cpc"), c("prev_cpc"),
+        ),
+        rows(
+            categories, c("ctr_distinct_change") <= -limit["ctr_drop"],
+            "high", "check_creative", c("food_category"), c("ctr_distinct"), c("prev_ctr_distinct"),
+        ),
+        rows(
+            categories, c("cvr_purchase_change") <= -limit["cvr_drop"],
+            "medium", "check_landing", c("food_category"), c("cvr_purchase"), c("prev_cvr_purchase"),
+        ),
+        rows(
+            funnel, c("now") - c("before") <= -limit["funnel_drop"],
+            "medium", "check_funnel", c("stage"), c("now"), c("before"),
+        ),
+        rows(
+            categories, c("revenue_purchase_change") >= limit["revenue_growth"],
+            "info", "extend_budget", c("food_category"), c("revenue_purchase"), c("prev_revenue_purchase"),
+        ),
+        rows(
+            goals, c("percent") < limit["target_critical"],
+            "urgent", "target_missed", c("kpi"), c("actual"), c("target"),
+        ),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def highlights(
+    facts: DataFrame, current, previous, targets: dict[str, float], rules: dict | None = None
+) -> DataFrame:
+    """Best and worst of the period: one row per kind that has a candidate."""
+    limit = {**ALERT_RULES, **(rules or {})}
+    c = F.col
+    categories = _category_change(facts, current, previous)
+    shops = performance(
+        within(facts, *current), ("store_id",), KPI_MEASURES, ("roas_report",),
+        having=(c("impressions_distinct") >= limit["min_impressions"])
+        & (c("roas_report") <= limit["roas_stop"]),
+    )
+
+    def best(df, kind, name, value, highest: bool):
+        """First by value, ties by name."""
+        order = F.struct(F.when(F.lit(highest), -value).otherwise(value).alias("v"), name.alias("n"))
+        return (
+            df.where(value.isNotNull())
+            .agg(F.min_by(F.struct(name.alias("name"), value.cast("double").alias("value")), order).alias("_b"))
+            .where(c("_b").isNotNull())
+            .select(F.lit(kind).alias("kind"), "_b.name", "_b.value")
+        )
+
+    dropped = categories.select(
+        "food_category", F.least("ctr_distinct_change", "cvr_purchase_change").alias("worst_change")
+    ).where(c("worst_change") <= -min(limit["ctr_drop"], limit["cvr_drop"]))
+    parts = [
+        best(categories, "best_growth", c("food_category"), c("revenue_purchase_change"), True),
+        best(attainment(facts, *current, targets), "best_target", c("kpi"), c("percent"), True),
+        best(dropped, "worst_drop", c("food_category"), c("worst_change"), False),
+        best(shops, "worst_shop", c("store_id"), c("roas_report"), False),
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -166,3 +166,25 @@ def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event log with a zoned event time (the stored one has no zone)."""
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+# How the event log stands in for ad events.
+EVENT_KINDS = {"view": "impression", "click": "click", "purchase": "conversion", "signup": "conversion"}
+
+
+def ad_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event log in ad terms: ``props.k`` is the ad, ``value`` the bid or click cost."""
+    kind = F.col("event_type")
+    named = None
+    for raw, name in EVENT_KINDS.items():
+        named = F.when(kind == raw, name) if named is None else named.when(kind == raw, name)
+    return events(spark, sf_dir).select(
+        "event_id",
+        "ts",
+        F.col("ts").cast("date").alias("date"),
+        F.get_json_object("props", "$.k").alias("ad_id"),
+        F.col("user_id").cast("string").alias("user_id"),
+        named.otherwise("other").alias("event_type"),
+        F.col("value").alias("bid_price"),
+        F.when(kind == "click", F.col("value")).alias("cpc_cost"),
+    )
