@@ -127,7 +127,7 @@ def journey(
 
 
 def _window_days(column="attribution_window") -> Column:
-    return F.regexp_extract(F.col(column), r"^(\d+)", 1).try_cast("int")
+    return F.regexp_extract(F.col(column), r"^(\d+)", 1).try_cast("bigint")
 
 
 def attribute_within_window(facts: DataFrame, conversions: DataFrame) -> DataFrame:

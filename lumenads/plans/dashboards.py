@@ -685,3 +685,65 @@ def distinct_values_joined(df: DataFrame, key: str, value: str, name: str = "joi
     return df.select(key, value).distinct().groupBy(key).agg(
         F.array_join(F.sort_array(F.collect_set(value)), ",").alias(name)
     )
+
+
+# Click delay buckets as (limit, label), limits excluded.
+DELAY_STEPS = ((10, "under 10"), (30, "10 to 30"), (60, "30 to 60"), (300, "60 to 300"))
+DELAY_LABELS = (*(label for _, label in DELAY_STEPS), "300 and over")
+
+
+def click_delay_histogram(hourly: DataFrame, unit_ms: int = 1000) -> DataFrame:
+    """Clicked rows by time from impression to click, in units of ``unit_ms``."""
+    delay = (F.col("click_timestamp") - F.col("impression_timestamp")) / F.lit(float(unit_ms))
+    label = bucket(delay, DELAY_STEPS, DELAY_LABELS[-1], strict=True)
+    counts = (
+        hourly.where(F.col("is_click") & F.col("click_timestamp").isNotNull())
+        .groupBy(label.alias("click_delay"))
+        .agg(F.count(F.lit(1)).alias("clicks"))
+    )
+    shared = with_share(counts, 2, percentage="clicks")
+    return shared.orderBy(rank_of_label(F.col("click_delay"), DELAY_LABELS))
+
+
+def _is(kind: str) -> Column:
+    return F.count_if(F.col("event_type") == kind)
+
+
+def five_minute_traffic(events: DataFrame, time: str = "ts") -> DataFrame:
+    counts = events.groupBy(F.window(time, "5 minutes").alias("_w")).agg(
+        _is("impression").alias("impressions"), _is("click").alias("clicks")
+    )
+    return counts.select(
+        F.col("_w.start").alias("bucket"), "impressions", "clicks",
+        ratio("clicks", "impressions", 100).alias("ctr"),
+    )
+
+
+def minute_event_counts(events: DataFrame, time: str = "ts") -> DataFrame:
+    return events.groupBy(F.date_trunc("minute", time).alias("minute"), "event_type").agg(
+        F.count(F.lit(1)).alias("event_count")
+    )
+
+
+def latest_ctr_alert(events: DataFrame, time: str = "ts", critical: float = 1.0, warning: float = 1.5) -> DataFrame:
+    """CTR of the newest hour and its alert level."""
+    hours = events.groupBy(F.date_trunc("hour", time).alias("hour")).agg(
+        _is("impression").alias("_i"), _is("click").alias("_c")
+    )
+    newest = hours.orderBy(F.desc("hour")).limit(1).select("hour", ratio("_c", "_i", 100).alias("ctr"))
+    level = F.when(F.col("ctr") < critical, "CRITICAL").when(F.col("ctr") < warning, "WARNING").otherwise("OK")
+    return newest.withColumn("status", level)
+
+
+def ordered_range_scan(rows: DataFrame, start: str, end: str, key: str, n: int | None = None) -> DataFrame:
+    """Rows of the range, newest first; with ``n`` only a bounded top is gathered."""
+    out = within(rows, start, end).orderBy(F.desc("timestamp"), key)
+    return out if n is None else out.limit(n)
+
+
+# Fixed value: rows shown when the caller names no limit.
+DEFAULT_LIMIT = 1000
+
+
+def default_limit(df: DataFrame, n: int | None = None) -> DataFrame:
+    return df.limit(DEFAULT_LIMIT if n is None else n)
