@@ -57,7 +57,7 @@ def epoch_normalise(column) -> Column:
     value = F.col(column) if isinstance(column, str) else column
     size = F.abs(value)
     micros = (
-        F.when(size >= 10**17, F.floor(value / 1000))
+        F.when(size >= 10**17, F.call_function("div", value, F.lit(1000)))
         .when(size >= 10**11, value * 1000)
         .otherwise(value * 1000000)
     )

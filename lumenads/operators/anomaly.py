@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Task code travels by value, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # 95 % interval, outlier share and seed of the two detectors.
 Z_95 = 1.959963984540054
 CONTAMINATION = 0.05
@@ -106,7 +112,7 @@ def score_band(
 
 # ---------------------------------------------------------- isolation forest
 
-_TREE_SCHEMA = T.StructType.fromDDL("tree int, edges array<double>, path_lengths array<double>")
+_TREE_SCHEMA = "tree int, edges array<double>, path_lengths array<double>"
 
 
 def average_path(n) -> np.ndarray:
@@ -158,8 +164,8 @@ def fit_forest(history: DataFrame, time: str, value: str, trees: int = TREES, sa
     w = W.partitionBy("tree").orderBy("_h", "_t")
     drawn = keyed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= sample)
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(key[0])
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(pdf["tree"].iloc[0])
         edges, lengths = _grow(pdf["value"].to_numpy(dtype=float), seed * 100_003 + tree)
         return pd.DataFrame({"tree": [tree], "edges": [edges], "path_lengths": [lengths]})
 
@@ -224,15 +230,45 @@ def ensemble_flag(df: DataFrame, band_type: str = "anomaly_type", outlier: str =
 
 
 def latest_alert(scored: DataFrame, time: str, minutes: int = 5) -> DataFrame:
-    """The newest window if it is anomalous, with the span it closes; else no row."""
+    """The newest window and whether it raises an alert; only then it names the span."""
     names = [c for c in scored.columns if c != time]
     newest = scored.agg(
         F.max(time).alias(time), F.max_by(F.struct(*names), F.col(time)).alias("_r")
     ).select(time, "_r.*")
     start = F.date_format(F.col(time) - F.expr(f"INTERVAL {minutes} MINUTES"), "HH:mm")
-    return newest.where(F.col("status") == "ANOMALY").withColumn(
-        "span", F.concat(start, F.lit(" ~ "), F.date_format(time, "HH:mm"))
+    span = F.concat(start, F.lit(" ~ "), F.date_format(time, "HH:mm"))
+    alert = F.col("status") == "ANOMALY"
+    return newest.withColumns({"alert": alert, "span": F.when(alert, span)})
+
+
+def retrain_scores(
+    series: DataFrame, time: str, value: str, step_seconds: int = 300, every: int = 288,
+    slot_seconds: int = 3600,
+) -> DataFrame:
+    """Scores by a model that is refitted after every ``every`` windows.
+
+    Windows are numbered by time since the first one. Each batch of windows is
+    scored by the slot means and spreads of the batch before it, the rows that
+    had accumulated when the refit ran; the first batch has no model yet.
+    """
+    first = series.agg(F.min(time).alias("_first"))
+    second = F.hour(time) * 3600 + F.minute(time) * 60
+    number = (F.unix_seconds(F.col(time)) - F.unix_seconds(F.col("_first"))) / step_seconds
+    placed = series.crossJoin(F.broadcast(first)).select(
+        *series.columns,
+        F.floor(number / every).cast("bigint").alias("model_no"),
+        F.floor(second / slot_seconds).cast("int").alias("slot"),
     )
+    fitted = placed.groupBy((F.col("model_no") + 1).alias("model_no"), "slot").agg(
+        F.avg(value).alias("predicted"),
+        F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("spread"),
+    )
+    joined = placed.join(fitted, ["model_no", "slot"], "left")
+    margin = F.lit(Z_95) * F.col("spread")
+    kind = F.when(F.col(value) < F.col("predicted") - margin, "Sudden Drop").when(
+        F.col(value) > F.col("predicted") + margin, "Sudden Spike"
+    )
+    return joined.select(*series.columns, "model_no", "predicted", "spread", kind.alias("anomaly_type"))
 
 
 def sigma_status(current: str, mean: str, sd: str, width: float = 2.0) -> Column:
@@ -251,3 +287,51 @@ def cost_status(current: str, mean: str) -> Column:
         .when(F.col(current) < F.col(mean) * 0.5, "UNDER")
         .otherwise("NORMAL")
     )
+
+
+def hour_sigma_alert(hourly: DataFrame, current: DataFrame) -> DataFrame:
+    """Current hours against mean and spread of the same hour on earlier days.
+
+    ``hourly`` has one row per earlier day and hour, ``current`` one per hour,
+    both with impressions, clicks and cost.
+    """
+    usual = hourly.groupBy("hour").agg(
+        F.avg("impressions").alias("mean_impressions"),
+        F.avg("clicks").alias("mean_clicks"),
+        F.avg("cost").alias("mean_cost"),
+        F.stddev_samp("impressions").alias("sd_impressions"),
+        F.stddev_samp("clicks").alias("sd_clicks"),
+    )
+    return current.join(usual, "hour", "inner").select(
+        "hour", "impressions", "clicks", "cost", "mean_impressions", "mean_clicks",
+        sigma_status("impressions", "mean_impressions", "sd_impressions").alias("impressions_status"),
+        sigma_status("clicks", "mean_clicks", "sd_clicks").alias("clicks_status"),
+        cost_status("cost", "mean_cost").alias("cost_status"),
+    )
+
+
+def ctr_sigma_outliers(rated: DataFrame, history: Column, target: Column, min_rows: int = 100) -> DataFrame:
+    """Target rows whose CTR lies more than two spreads from the history mean.
+
+    ``rated`` has one row per group and day with impressions and ctr_percent.
+    """
+    stats = rated.where(history).agg(
+        F.round(F.avg("ctr_percent"), 6).alias("mean_ctr"),
+        F.round(F.stddev_samp("ctr_percent"), 6).alias("sd_ctr"),
+    )
+    joined = rated.where(target & (F.col("impressions") >= min_rows)).crossJoin(F.broadcast(stats))
+    margin = 2.0 * F.col("sd_ctr")
+    status = F.when(F.col("ctr_percent") > F.col("mean_ctr") + margin, "Unusually High").when(
+        F.col("ctr_percent") < F.col("mean_ctr") - margin, "Unusually Low"
+    )
+    return (
+        joined.withColumns(
+            {
+                "ctr_diff": F.round(F.col("ctr_percent") - F.col("mean_ctr"), 2),
+                "ctr_status": status,
+            }
+        )
+        .where(F.col("ctr_status").isNotNull())
+        .drop("sd_ctr")
+        .orderBy(F.desc(F.abs("ctr_diff")))
+    )

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenads.functions.text import DAILY_TABLE, HOURLY_TABLE
 
+# Task code travels by value, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Query vectors scored in one pass over the corpus; more are taken in blocks
 # of this many, so that what is shipped to every task stays bounded.
 QUERY_BLOCK = 1024

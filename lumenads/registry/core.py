@@ -20,7 +20,7 @@ DAY = "1998-06-15"
 
 
 def present(df: DataFrame) -> DataFrame:
-    """Exact decimals leave as doubles, narrow integers as longs."""
+    """Exact decimals leave as doubles, narrow integers as longs, times without zone."""
     out = []
     for field in df.schema.fields:
         column = F.col(f"`{field.name}`")
@@ -30,6 +30,8 @@ def present(df: DataFrame) -> DataFrame:
             column = column.cast("bigint")
         elif isinstance(field.dataType, T.FloatType):
             column = column.cast("double")
+        elif isinstance(field.dataType, T.TimestampType):
+            column = column.cast("timestamp_ntz")
         out.append(column.alias(field.name))
     return df.select(*out)
 

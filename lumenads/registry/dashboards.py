@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from lumenads.operators.performance import performance, with_share
 
-from lumenads.functions.metrics import performance_needs
+from lumenads.functions.metrics import performance_needs, summarise
 from lumenads.plans import dashboards as D
 from lumenads.plans.testbed import ad_facts, clicks, conversions, impressions
 from lumenads.registry.core import (
@@ -316,9 +317,6 @@ def _(spark, d):
 @register("W4_share_of_total", f"""WITH {FACTS}, g AS (SELECT device_type, {pick('impressions', 'cost_full', 'revenue')} FROM facts WHERE {between(WHOLE)} GROUP BY 1)
 SELECT *, {_shares(impression_share='impressions', cost_share='cost_full', revenue_share='revenue')} FROM g""")
 def _(spark, d):
-    from lumenads.functions.metrics import summarise
-    from lumenads.operators.performance import with_share
-
     m = ("impressions", "cost_full", "revenue")
     return with_share(
         summarise(facts(spark, d, m, "device_type"), ("device_type",), m),
@@ -374,22 +372,16 @@ _ICV = ("impressions", "clicks", "conversions")
 
 @register("G16_hourly_ctr", grouped(("dt", "hour"), ("impressions", "clicks"), between(WHOLE), ("ctr_percent",)))
 def _(spark, d):
-    from lumenads.operators.performance import performance
-
     return performance(facts(spark, d, ("clicks",), "hour"), ("dt", "hour"), ("impressions", "clicks"), ("ctr_percent",))
 
 
 @register("G16_platform_hour_ctr", grouped(("hour", "platform"), ("impressions", "clicks"), between(WHOLE), ("ctr_percent",)))
 def _(spark, d):
-    from lumenads.operators.performance import performance
-
     return performance(facts(spark, d, ("clicks",), "hour", "platform"), ("hour", "platform"), ("impressions", "clicks"), ("ctr_percent",))
 
 
 @register("G16_platform_ctr", grouped(("platform",), ("impressions", "clicks"), between(WHOLE), ("ctr_percent",)))
 def _(spark, d):
-    from lumenads.operators.performance import performance
-
     return performance(facts(spark, d, ("clicks",), "platform"), ("platform",), ("impressions", "clicks"), ("ctr_percent",))
 
 
@@ -466,8 +458,6 @@ def _(spark, d):
 
 @register("G43_distinct_users_month", f"WITH {FACTS} SELECT COUNT(DISTINCT user_id) AS users, COUNT(*) AS impressions FROM facts WHERE {between(WHOLE)}")
 def _(spark, d):
-    from lumenads.functions.metrics import summarise
-
     return summarise(facts(spark, d, ("users",)), (), ("users", "impressions"))
 
 
@@ -498,8 +488,6 @@ _PRE = """pre AS (SELECT campaign_id, dt, COUNT(*) AS impressions, COUNT(*) FILT
 
 
 def _summary(spark, d):
-    from lumenads.functions.metrics import summarise
-
     rows = facts(spark, d, (*_ICV, "cost_full"), "campaign_id", "cost_per_click")
     mean = F.sum(F.col("cost_per_click").cast("decimal(18,4)")).cast("double") / F.nullif(F.count("cost_per_click").cast("double"), F.lit(0.0))
     base = summarise(rows, ("campaign_id", "dt"), (*_ICV, "cost_full"))

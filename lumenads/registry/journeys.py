@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from lumenads.functions.text import partition_hash
+from pyspark.sql.types import StructType
+from lumenads.plans.reports import within
 
 from lumenads.functions.dates import partition_date
-from lumenads.functions.metrics import performance_needs, ratio
+from lumenads.functions.metrics import performance_needs, ratio, distinct_rollup, half_up, measure
 from lumenads.operators import joins as J
 from lumenads.operators import quality as Q
-from lumenads.operators.performance import performance
+from lumenads.operators.performance import performance, rank_of_label, ranked_top
 from lumenads.plans import dashboards as D
 from lumenads.plans import legacy as L
-from lumenads.plans.testbed import ad_events, ad_facts, clicks, conversions, impressions
+from lumenads.plans.testbed import (
+    ad_events, ad_facts, clicks, conversions, impressions, events, table,
+)
 from lumenads.registry.core import FACTS, SQL, WHOLE, between, div, pick, r, rates, register
 from lumenads.session import shared_dir
 from lumenads.sources import catalog as C
@@ -254,8 +259,6 @@ def _(spark, d):
  COUNT(*) AS clicks FROM j GROUP BY 1) SELECT click_delay, clicks,
  ROW_NUMBER() OVER (ORDER BY CASE click_delay WHEN 'under 10' THEN 1 WHEN '10 to 30' THEN 2 WHEN '30 to 60' THEN 3 WHEN '60 to 300' THEN 4 ELSE 5 END) AS position FROM g""")
 def _(spark, d):
-    from lumenads.operators.performance import rank_of_label, ranked_top
-
     rows = D.click_delay_histogram(hourly(spark, d), unit_ms=86_400_000)
     order = (rank_of_label(F.col("click_delay"), D.DELAY_LABELS),)
     return ranked_top(rows, order, len(D.DELAY_LABELS), "position").select("click_delay", "clicks", "position")
@@ -291,8 +294,6 @@ def _impression_cost():
 
 
 def _mean_cost(digits=4):
-    from lumenads.functions.metrics import half_up
-
     return half_up(_impression_cost().cast("double") / F.count("cost_per_impression").cast("double"), digits)
 
 
@@ -331,8 +332,6 @@ def _(spark, d):
 @register("G27_advertiser_top10_reach", f"""WITH {FACTS} SELECT advertiser_id, COUNT(DISTINCT impression_id) AS impressions, COUNT(DISTINCT user_id) AS reach, {SQL['cost_impression']} AS spend,
  {r(SQL['cost_impression'] + ' / COUNT(*)', 6)} AS mean_cost FROM facts GROUP BY 1 ORDER BY impressions DESC, advertiser_id LIMIT 10""")
 def _(spark, d):
-    from lumenads.functions.metrics import half_up, measure
-
     rows = ad_facts(spark, d, ("advertiser_id", "impression_id", "user_id", "cost_per_impression"))
     out = rows.groupBy("advertiser_id").agg(
         measure("impressions_distinct").alias("impressions"), measure("users").alias("reach"),
@@ -362,8 +361,6 @@ def _(spark, d):
 
 @register("U3_union_months", f"WITH {FACTS} SELECT dt, {pick('impressions', 'clicks')} FROM facts WHERE dt BETWEEN DATE '1997-06-20' AND DATE '1999-07-11' GROUP BY 1")
 def _(spark, d):
-    from lumenads.plans.reports import within
-
     rows = ad_facts(spark, d, ("dt", "is_click"))
     parts = [within(rows, "1997-06-20", "1998-06-30"), within(rows, "1998-07-01", "1999-07-11")]
     return performance(parts[0].unionByName(parts[1]), ("dt",), ("impressions", "clicks"))
@@ -389,9 +386,17 @@ def _(spark, d):
 
 
 # --- data quality -----------------------------------------------------------
+def _rewritten(spark, rows, label):
+    """The whole range written by one job and read back."""
+    root = shared_dir(spark, label)
+    S.write_partitioned(rows, root, YEAR)
+    return S.scan_hive_parquet(spark, root, StructType([f for f in rows.schema if f.name != "year"]), YEAR)
+
+
 @register("Q1_backfill_hours", f"WITH {RAW}, {HOURLY} SELECT year, month, day, COUNT(*) AS impressions, COUNT(*) FILTER (WHERE is_click) AS clicks FROM hourly GROUP BY 1, 2, 3")
 def _(spark, d):
-    return hourly(spark, d).groupBy("year", "month", "day").agg(
+    rows = hourly(spark, d).select("impression_id", "month", "day", "is_click", "year")
+    return _rewritten(spark, rows, "q1-hours").groupBy("year", "month", "day").agg(
         F.count(F.lit(1)).alias("impressions"), F.count_if("is_click").alias("clicks")
     )
 
@@ -399,7 +404,8 @@ def _(spark, d):
 @register("Q1_backfill_days", f"""WITH {RAW}, {HOURLY}, {DAILY} SELECT year, month, day, COUNT(*) AS impressions, COUNT(*) FILTER (WHERE is_click) AS clicks,
  COUNT(*) FILTER (WHERE is_conversion) AS conversions FROM daily GROUP BY 1, 2, 3""")
 def _(spark, d):
-    return daily(spark, d).groupBy("year", "month", "day").agg(
+    rows = daily(spark, d).select("impression_id", "month", "day", "is_click", "is_conversion", "year")
+    return _rewritten(spark, rows, "q1-days").groupBy("year", "month", "day").agg(
         F.count(F.lit(1)).alias("impressions"), F.count_if("is_click").alias("clicks"),
         F.count_if("is_conversion").alias("conversions"),
     )
@@ -417,8 +423,6 @@ _SLIM_COLUMNS = ("impression_id", "user_id", "device_type", "cost_per_impression
 
 def _stored(spark, d, label, codec="snappy"):
     """Impressions written by year and month into the shared folder."""
-    from pyspark.sql.types import StructType
-
     root = shared_dir(spark, label)
     S.write_partitioned(impressions(spark, d).select(*_SLIM_COLUMNS, "year", "month"), root, ("year", "month"), codec)
     return S.scan_hive_parquet(spark, root, StructType.fromDDL(_SLIM), ("year", "month")), root
@@ -433,8 +437,6 @@ def _(spark, d):
 
 @register("A5_partition_overwrite", f"""WITH {RAW} SELECT year, CASE WHEN year = '1998' THEN 'rewritten' ELSE 'kept' END AS state, COUNT(*) AS impressions FROM imp GROUP BY 1, 2""")
 def _(spark, d):
-    from pyspark.sql.types import StructType
-
     root = shared_dir(spark, "a5")
     rows = impressions(spark, d).select("impression_id", F.lit("kept").alias("state"), "year")
     S.write_partitioned(rows, root, YEAR)
@@ -493,8 +495,6 @@ def _(spark, d):
 @register("A11_ctas_hourly_rollup", f"""WITH {FACTS} SELECT campaign_id, device_type, hour, COUNT(DISTINCT impression_id) AS impressions, COUNT(DISTINCT click_id) AS clicks,
  {div('COUNT(DISTINCT click_id)', 'COUNT(DISTINCT impression_id)', 100, None, True)} AS ctr FROM facts GROUP BY 1, 2, 3""")
 def _(spark, d):
-    from lumenads.functions.metrics import distinct_rollup
-
     path = shared_dir(spark, "a11")
     keys = ("campaign_id", "device_type", "hour")
     rows = distinct_rollup(ad_facts(spark, d, (*keys, "impression_id", "click_id")), keys)
@@ -504,8 +504,6 @@ def _(spark, d):
 
 @register("A14_partition_key_hash", f"WITH {RAW} SELECT impression_id, md5(coalesce(user_id, impression_id)) AS partition_key FROM imp")
 def _(spark, d):
-    from lumenads.functions.text import partition_hash
-
     none = F.lit(None).cast("string")
     return impressions(spark, d).select("impression_id", partition_hash(none, "user_id", "impression_id").alias("partition_key"))
 
@@ -516,16 +514,12 @@ def _(spark, d):
 
 
 def ad_events_raw(spark, d):
-    from lumenads.plans.testbed import events
-
     return events(spark, d)
 
 
 @register("D1_dedup_by_key", """WITH g AS (SELECT l_orderkey, l_linenumber, MIN((l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate)) AS m FROM lineitem GROUP BY 1, 2)
 SELECT l_orderkey, l_linenumber, m[1] AS l_partkey, m[2] AS l_suppkey FROM g""")
 def _(spark, d):
-    from lumenads.plans.testbed import table
-
     lines = table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"
     )

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lumenads.functions.dates import epoch_normalise
 from lumenads.operators.quality import event_type_of
-from lumenads.schemas import CLICKS, CONVERSIONS, HOUR_PARTITION, IMPRESSIONS
+from lumenads.schemas import CLICKS, CONVERSIONS, DAY_PARTITION, IMPRESSIONS
 
 TRIGGER = "60 seconds"
 MAX_FILES = 256
@@ -22,7 +23,7 @@ def read_lines(spark: SparkSession, path: str, max_files: int = MAX_FILES) -> Da
 
 def parse_json(lines: DataFrame, schema, column: str = "value") -> DataFrame:
     """Typed record and, for a line that does not parse, the line itself."""
-    shape = f"{schema.toDDL()}, {CORRUPT} string" if hasattr(schema, "toDDL") else schema
+    shape = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
     parsed = F.from_json(
         F.col(column), shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     )
@@ -56,6 +57,8 @@ def _append_once(df: DataFrame, root: str, batch_id: int, partitions=()) -> None
     A batch replayed after a failure overwrites the folder it left half done,
     so the sink stays free of duplicates.
     """
+    if partitions:
+        df = df.hint("rebalance", *partitions)
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partitions:
         writer = writer.partitionBy(*partitions)
@@ -63,14 +66,15 @@ def _append_once(df: DataFrame, root: str, batch_id: int, partitions=()) -> None
 
 
 def ndjson_ingest(
-    lines: DataFrame, schema, sink: str, errors: str, checkpoint: str, available_now: bool = False
+    lines: DataFrame, schema, sink: str, errors: str, checkpoint: str, available_now: bool = False,
+    partitions=DAY_PARTITION,
 ) -> StreamingQuery:
-    """Land JSON lines as Parquet by hour; lines that fail go to ``errors``."""
+    """Land JSON lines as Parquet by event day; lines that fail go to ``errors``."""
 
     def land(batch: DataFrame, batch_id: int) -> None:
         parsed = parse_json(batch, schema).persist()
         try:
-            _append_once(with_hour_partition(good(parsed)), sink, batch_id, HOUR_PARTITION)
+            _append_once(with_hour_partition(good(parsed)), sink, batch_id, partitions)
             _append_once(rejected(parsed), errors, batch_id)
         finally:
             parsed.unpersist()
