@@ -21,7 +21,7 @@ from lumenads.operators.performance import (
     vs_average,
     with_share,
 )
-from lumenads.plans.reports import down, up, within
+from lumenads.plans.reports import down, within
 
 BASE = ("impressions", "clicks", "cost_full", "revenue", "conversions")
 BASE_COLUMNS = performance_needs(BASE, ("dt",))

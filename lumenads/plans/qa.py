@@ -7,9 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenads.functions.dates import day_type
 from lumenads.functions.metrics import change_rate, half_up, performance_needs, ratio, summarise, with_rates
-from lumenads.operators.performance import nth_row, performance, ranked_top
+from lumenads.operators.performance import nth_row, performance
 from lumenads.plans.reports import down, up, within
 
 

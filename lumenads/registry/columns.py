@@ -7,9 +7,8 @@ from pyspark.sql import functions as F, Window as W
 from lumenads.functions import dates as D
 from lumenads.functions import text as X
 from lumenads.functions.metrics import change_rate, half_up, summarise
-from lumenads.plans.dashboards import default_limit
 from lumenads.plans.testbed import ad_events, ad_facts, events, impressions, table, clicks
-from lumenads.registry.core import FACTS, SQL, WHOLE, between, div, pick, r, register
+from lumenads.registry.core import FACTS, between, r, register
 from lumenads.registry.journeys import EV, RAW
 
 _COUNT = "COUNT(*) AS impressions, COUNT(*) FILTER (WHERE is_click) AS clicks"

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from lumenads.operators.performance import performance, with_share
 
 from lumenads.functions.metrics import performance_needs, summarise
+from lumenads.operators.performance import performance, with_share
 from lumenads.plans import dashboards as D
-from lumenads.plans.testbed import ad_facts, clicks, conversions, impressions
+from lumenads.plans.testbed import ad_facts
 from lumenads.registry.core import (
-    DAY, FACTS, MONTH, SQL, WHOLE, between, div, grouped, pick, r, rates, register,
+    DAY, FACTS, SQL, WHOLE, between, div, grouped, pick, r, rates, register,
 )
 
 BASE = D.BASE

@@ -5,7 +5,7 @@ from __future__ import annotations
 from lumenads.functions.metrics import performance_needs
 from lumenads.plans import qa
 from lumenads.plans.testbed import ad_facts
-from lumenads.registry.core import FACTS, SQL, WHOLE, between, div, grouped, pick, r, rates, register
+from lumenads.registry.core import FACTS, WHOLE, between, div, grouped, pick, r, rates, register
 
 DAY = ("1999-12-01", "1999-12-01")
 WEEK = ("1999-11-29", "1999-12-05")

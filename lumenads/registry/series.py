@@ -10,7 +10,7 @@ from lumenads.operators import anomaly as A
 from lumenads.operators import series as S
 from lumenads.operators.performance import performance
 from lumenads.plans.testbed import ad_events, ad_facts, events, impressions, table
-from lumenads.registry.core import FACTS, SQL, WHOLE, between, div, pick, r, rates, register
+from lumenads.registry.core import FACTS, SQL, WHOLE, between, pick, r, rates, register
 from lumenads.registry.journeys import EV, RAW
 from lumenads.session import shared_dir
 from lumenads.streaming import ingest as I
