@@ -77,9 +77,9 @@ NEEDS = {
 
 
 def half_up(value: Column, digits: int) -> Column:
-    """Half-up rounding of a double. Going through a decimal keeps a last-bit
-    error of the division from tipping a tie."""
-    return F.round(value.cast("decimal(38,10)"), digits).cast("double")
+    """Half-up rounding of a double. Going through a decimal with four more
+    places keeps a last-bit error of the division from tipping a tie."""
+    return F.round(value.cast(f"decimal(38,{digits + 4})"), digits).cast("double")
 
 
 def ratio(num, den, factor: float = 1.0, digits: int | None = 2, empty: float | None = None) -> Column:

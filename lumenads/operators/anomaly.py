@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenads.functions.metrics import half_up
+
 # Task code travels by value, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -41,35 +43,44 @@ def seasonal_slot(time: str, slot_seconds: int) -> list[Column]:
 
 
 def fit_band(history: DataFrame, time: str, value: str, slot_seconds: int = 300) -> DataFrame:
-    """Level, trend and seasonality by aggregates only, one row per (weekday, slot).
+    """Trend and weekly seasonality by aggregates only, one row per (weekday, slot).
 
-    The trend is the regression of the value on time. What it leaves is
-    averaged per slot of the week and its spread is taken over all points of
-    the same slot of the day, so a slot with few weeks still has a band.
+    The trend is the least-squares slope within slots of the day, so the daily
+    cycle cannot leak into it. What it leaves is averaged per slot of the week.
+    The spread is the pooled variation around those averages in the same slot of
+    the day, widened for the few weeks an average rests on; with only one week
+    there is none to pool and the variation between weekdays stands in.
     """
     origin = history.agg(F.min(time).alias("origin"))
-    timed = history.crossJoin(F.broadcast(origin)).withColumn("_x", _hours(time, "origin"))
-    line = timed.agg(
-        F.coalesce(F.regr_slope(value, "_x"), F.lit(0.0)).alias("slope"),
-        F.coalesce(F.regr_intercept(value, "_x"), F.avg(value)).alias("level"),
-    )
-    left = timed.crossJoin(F.broadcast(line)).select(
+    timed = history.crossJoin(F.broadcast(origin)).select(
         *seasonal_slot(time, slot_seconds),
         "origin",
-        "slope",
-        "level",
-        (F.col(value) - F.col("level") - F.col("slope") * F.col("_x")).alias("_rest"),
+        F.col(value).cast("double").alias("_y"),
+        _hours(time, "origin").alias("_x"),
+    )
+    moments = timed.groupBy("slot").agg(
+        (F.covar_pop("_y", "_x") * F.count("_y")).alias("_xy"),
+        (F.var_pop("_x") * F.count("_y")).alias("_xx"),
     )
-    weekly = left.groupBy("weekday", "slot").agg(
+    slope = moments.agg(
+        F.coalesce(F.sum("_xy") / F.nullif(F.sum("_xx"), F.lit(0.0)), F.lit(0.0)).alias("slope")
+    )
+    left = timed.crossJoin(F.broadcast(slope)).withColumn("_rest", F.col("_y") - F.col("slope") * F.col("_x"))
+    cells = left.groupBy("weekday", "slot").agg(
         F.first("origin").alias("origin"),
         F.first("slope").alias("slope"),
-        F.first("level").alias("level"),
         F.avg("_rest").alias("season"),
+        F.count("_rest").alias("_n"),
+        (F.var_pop("_rest") * F.count("_rest")).alias("_ss"),
+    )
+    pooled = cells.groupBy("slot").agg(
+        F.sqrt(F.sum("_ss") / F.nullif(F.sum("_n") - F.count("_n"), F.lit(0))).alias("_within")
     )
-    spread = left.groupBy("slot").agg(
-        F.coalesce(F.stddev_samp("_rest"), F.lit(0.0)).alias("spread")
+    between = left.groupBy("slot").agg(F.stddev_samp("_rest").alias("_between"))
+    spread = F.coalesce("_within", "_between", F.lit(0.0)) * F.sqrt(1.0 + 1.0 / F.col("_n"))
+    return cells.join(pooled, "slot").join(between, "slot").select(
+        "weekday", "slot", "origin", "slope", "season", spread.alias("spread")
     )
-    return weekly.join(spread, "slot")
 
 
 def score_band(
@@ -87,7 +98,7 @@ def score_band(
     """
     slotted = series.select("*", *seasonal_slot(time, slot_seconds))
     joined = slotted.join(model, ["weekday", "slot"], "left")
-    predicted = F.col("level") + F.col("slope") * _hours(time, "origin") + F.col("season")
+    predicted = F.col("slope") * _hours(time, "origin") + F.col("season")
     lower = F.greatest(F.lit(float(lower_bound)), predicted - F.lit(Z_95) * F.col("spread"))
     upper = (predicted + F.lit(Z_95) * F.col("spread")) * F.lit(float(upper_weight))
     out = joined.withColumns(
@@ -316,8 +327,8 @@ def ctr_sigma_outliers(rated: DataFrame, history: Column, target: Column, min_ro
     ``rated`` has one row per group and day with impressions and ctr_percent.
     """
     stats = rated.where(history).agg(
-        F.round(F.avg("ctr_percent"), 6).alias("mean_ctr"),
-        F.round(F.stddev_samp("ctr_percent"), 6).alias("sd_ctr"),
+        half_up(F.avg("ctr_percent"), 6).alias("mean_ctr"),
+        half_up(F.stddev_samp("ctr_percent"), 6).alias("sd_ctr"),
     )
     joined = rated.where(target & (F.col("impressions") >= min_rows)).crossJoin(F.broadcast(stats))
     margin = 2.0 * F.col("sd_ctr")
@@ -327,7 +338,7 @@ def ctr_sigma_outliers(rated: DataFrame, history: Column, target: Column, min_ro
     return (
         joined.withColumns(
             {
-                "ctr_diff": F.round(F.col("ctr_percent") - F.col("mean_ctr"), 2),
+                "ctr_diff": half_up(F.col("ctr_percent") - F.col("mean_ctr"), 2),
                 "ctr_status": status,
             }
         )

@@ -100,7 +100,7 @@ def pick(*names: str) -> str:
 
 def r(expr: str, digits: int = 2) -> str:
     """Half-up rounding of a double, as Spark does it."""
-    return f"CAST(ROUND(CAST({expr} AS DECIMAL(38,10)), {digits}) AS DOUBLE)"
+    return f"CAST(ROUND(CAST({expr} AS DECIMAL(38,{digits + 4})), {digits}) AS DOUBLE)"
 
 
 def div(num: str, den: str, factor: float = 1, digits: int | None = 2, zero: bool = False) -> str:

@@ -264,7 +264,7 @@ def _(spark, d):
 
 # --- trends -----------------------------------------------------------------
 def _ma(column):
-    return (f"CAST(ROUND(CAST(CAST(SUM(CAST({column} AS DECIMAL(28,4))) OVER w AS DOUBLE) / COUNT({column}) OVER w AS DECIMAL(38,10)), 2) AS DOUBLE)")
+    return r(f"CAST(SUM(CAST({column} AS DECIMAL(28,4))) OVER w AS DOUBLE) / COUNT({column}) OVER w")
 
 
 @register("W2_moving_avg_7", f"""WITH {FACTS}, g AS (SELECT dt, {pick(*BASE)} FROM facts WHERE {between(WHOLE)} GROUP BY 1),

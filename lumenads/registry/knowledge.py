@@ -142,9 +142,9 @@ _COS = "greatest(CAST(ROUND(CAST(list_cosine_similarity(e, v) AS DECIMAL(38,12))
 _L2 = "CAST(ROUND(CAST(1.0 / (1.0 + list_distance(e, v) * list_distance(e, v)) AS DECIMAL(38,12)), 6) AS DOUBLE)"
 
 
-def _top(score, k, name="hits"):
+def _top(score, k, name="hits", where=""):
     return f"""{name} AS (SELECT * FROM (SELECT query_id, vec_id, score, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
-  FROM (SELECT query_id, vec_id, {score} AS score FROM q CROSS JOIN c)) WHERE rank <= {k})"""
+  FROM (SELECT query_id, vec_id, {score} AS score FROM q CROSS JOIN c {where})) WHERE rank <= {k})"""
 
 
 def _search(spark, d, k, metric="cosine", corpus=None):
@@ -162,7 +162,7 @@ def _(spark, d):
     return _search(spark, d, 10, "l2")
 
 
-@register("V3_doc_topk", f"""WITH {_QUERY}, {_top(_COS, 10)} SELECT query_id, vec_id AS doc_id, score, rank, lang, n_chars, md5(text) AS text_md5 FROM hits JOIN documents ON vec_id = doc_id""")
+@register("V3_doc_topk", f"""WITH {_QUERY}, {_top(_COS, 10, where='WHERE vec_id IN (SELECT doc_id FROM documents)')} SELECT query_id, vec_id AS doc_id, score, rank, lang, n_chars, md5(text) AS text_md5 FROM hits JOIN documents ON vec_id = doc_id""")
 def _(spark, d):
     docs = table(spark, d, "documents")
     corpus = table(spark, d, "embeddings").join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")

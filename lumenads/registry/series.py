@@ -107,10 +107,12 @@ def _(spark, d):
 # --- seasonal band ----------------------------------------------------------
 _BAND = """s AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS t, COUNT(*) AS n FROM events GROUP BY 1),
  x AS (SELECT *, (epoch(t) - (SELECT MIN(epoch(t)) FROM s)) / 3600.0::DOUBLE AS h, isodow(t) AS wd, hour(t) AS slot FROM s),
- l AS (SELECT COALESCE(regr_slope(n, h), 0.0) AS slope, COALESCE(regr_intercept(n, h), AVG(n)) AS lvl FROM x),
- e AS (SELECT x.*, slope, lvl, n - lvl - slope * h AS rest FROM x CROSS JOIN l),
- sea AS (SELECT wd, slot, AVG(rest) AS season FROM e GROUP BY 1, 2), sp AS (SELECT slot, COALESCE(stddev_samp(rest), 0.0) AS spread FROM e GROUP BY 1),
- b AS (SELECT t, n, lvl + slope * h + season AS p, spread * 1.959963984540054 AS m FROM e JOIN sea USING (wd, slot) JOIN sp USING (slot)),
+ ms AS (SELECT slot, covar_pop(n, h) * COUNT(*) AS xy, var_pop(h) * COUNT(*) AS xx FROM x GROUP BY 1),
+ e AS (SELECT x.*, slope, n - slope * h AS rest FROM x CROSS JOIN (SELECT COALESCE(SUM(xy) / NULLIF(SUM(xx), 0), 0.0) AS slope FROM ms)),
+ cell AS (SELECT wd, slot, AVG(rest) AS season, COUNT(*) AS k, var_pop(rest) * COUNT(*) AS ss FROM e GROUP BY 1, 2),
+ win AS (SELECT slot, sqrt(SUM(ss) / NULLIF(SUM(k) - COUNT(*), 0)) AS s FROM cell GROUP BY 1), btw AS (SELECT slot, stddev_samp(rest) AS s FROM e GROUP BY 1),
+ sea AS (SELECT wd, slot, season, COALESCE(win.s, btw.s, 0.0) * sqrt(1.0 + 1.0::DOUBLE / k) AS spread FROM cell JOIN win USING (slot) JOIN btw USING (slot)),
+ b AS (SELECT t, n, slope * h + season AS p, spread * 1.959963984540054 AS m FROM e JOIN sea USING (wd, slot)),
  band AS (SELECT t AS window_start, n, p AS predicted, GREATEST(0.0, p - m) AS lower, p + m AS upper,
   CASE WHEN n < GREATEST(0.0, p - m) THEN 'Sudden Drop' WHEN n > p + m THEN 'Sudden Spike' END AS anomaly_type FROM b)"""
 _STATUS = "CASE WHEN anomaly_type IS NULL THEN 'NORMAL' ELSE 'ANOMALY' END AS status"
