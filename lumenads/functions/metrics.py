@@ -1,31 +1,48 @@
 """Metric dictionary: every measure and rate under one unambiguous name.
 
-Money is summed as ``DECIMAL(18,4)`` so that totals do not depend on the order
-in which partitions are merged; rates divide doubles once and round last.
+Money is summed exactly, so totals do not depend on the order in which
+partitions are merged; rates divide doubles once and round last. Amounts become
+whole ten-thousandths first: a long turns into a decimal far faster than a
+double does, and the decimal sum cannot overflow.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,4)"
+MONEY = "decimal(28,4)"
+UNITS = 10_000
+
+
+def units(value) -> Column:
+    """Amount in whole ten-thousandths, as a long."""
+    return F.rint(_as_column(value) * F.lit(float(UNITS))).cast("bigint")
 
 
-def money(name: str) -> Column:
-    return F.col(name).cast(MONEY)
+def units_sum(amount: Column) -> Column:
+    """Exact total of an amount given in units."""
+    total = F.sum(amount.cast("decimal(18,0)"))
+    return (total * F.lit(Decimal(1) / UNITS)).cast(MONEY)
 
 
-def _zero() -> Column:
-    return F.lit(0).cast(MONEY)
+def money_sum(value) -> Column:
+    """Exact total of a money column."""
+    return units_sum(units(value))
+
+
+def _as_column(value) -> Column:
+    return F.col(value) if isinstance(value, str) else value
 
 
 def _purchase() -> Column:
     return (F.col("conversion_type") == "purchase") & F.col("is_click")
 
 
-def _sum_if(condition: Column, value: Column) -> Column:
-    return F.sum(F.when(condition, value).otherwise(_zero()))
+def _sum_if(condition: Column, name: str) -> Column:
+    return units_sum(F.when(condition, units(name)).otherwise(F.lit(0).cast("bigint")))
 
 
 def measure(name: str) -> Column:
@@ -39,14 +56,14 @@ _MEASURES = {
     "clicks": lambda: F.count_if(F.col("is_click")),
     "conversions": lambda: F.count_if(F.col("is_conversion")),
     "conversions_purchase": lambda: F.count_if(_purchase()),
-    "revenue": lambda: _sum_if(F.col("is_conversion"), money("conversion_value")),
-    "revenue_purchase": lambda: _sum_if(_purchase(), money("conversion_value")),
-    "cost_click": lambda: F.sum(F.coalesce(money("cost_per_click"), _zero())),
-    "cost_impression": lambda: F.sum(money("cost_per_impression")),
-    "cost_clicked": lambda: _sum_if(F.col("is_click"), money("cost_per_click")),
-    "cost_full": lambda: F.sum(money("cost_per_impression"))
-    + _sum_if(F.col("is_click"), money("cost_per_click")),
-    "cost_null_trap": lambda: F.sum(money("cost_per_impression") + money("cost_per_click")),
+    "revenue": lambda: _sum_if(F.col("is_conversion"), "conversion_value"),
+    "revenue_purchase": lambda: _sum_if(_purchase(), "conversion_value"),
+    "cost_click": lambda: units_sum(F.coalesce(units("cost_per_click"), F.lit(0).cast("bigint"))),
+    "cost_impression": lambda: money_sum("cost_per_impression"),
+    "cost_clicked": lambda: _sum_if(F.col("is_click"), "cost_per_click"),
+    "cost_full": lambda: money_sum("cost_per_impression")
+    + _sum_if(F.col("is_click"), "cost_per_click"),
+    "cost_null_trap": lambda: units_sum(units("cost_per_impression") + units("cost_per_click")),
     "users": lambda: F.count_distinct("user_id"),
     "advertisers": lambda: F.count_distinct("advertiser_id"),
     "campaigns": lambda: F.count_distinct("campaign_id"),
@@ -96,10 +113,6 @@ def ratio(num, den, factor: float = 1.0, digits: int | None = 2, empty: float |
     return value if empty is None else F.coalesce(value, F.lit(float(empty)))
 
 
-def _as_column(value) -> Column:
-    return F.col(value) if isinstance(value, str) else value
-
-
 # name -> (numerator, denominator, factor, digits)
 _RATES = {
     "ctr_percent": ("clicks", "impressions", 100, 2),

@@ -196,13 +196,19 @@ def safe_int(value, default: int = 0) -> Column:
     return F.coalesce(whole.cast("bigint"), F.lit(default).cast("bigint"))
 
 
-def normalised_scalar(value) -> Column:
-    """A value as comparable text: whole numbers bare, others to six places."""
+def normalised_scalar(value, kind: str = "string") -> Column:
+    """A value as comparable text: whole numbers bare, others to six places.
+
+    ``kind`` is the Spark type; only text needs to be tried as a number first.
+    """
     text = _c(value).cast("string")
-    number = text.try_cast("double")
-    whole = F.format_string("%d", number.try_cast("bigint"))
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return text
+    if kind not in ("string", "float", "double") and not kind.startswith("decimal"):
+        return text
+    number = text.try_cast("double") if kind == "string" else _c(value).cast("double")
     return (
         F.when(number.isNull() | F.isnan(number) | (F.abs(number) >= 9e18), text)
-        .when(number == F.floor(number), whole)
+        .when(number == F.floor(number), number.try_cast("bigint").cast("string"))
         .otherwise(F.round(number, 6).cast("string"))
     )

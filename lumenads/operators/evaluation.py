@@ -16,7 +16,10 @@ def row_key(df: DataFrame, ordered: bool = False) -> Column:
     Lengths in front of the values keep ('a', 'b') and ('ab', '') apart.
     """
     values = F.array(
-        *[F.coalesce(normalised_scalar(f"`{c}`"), F.lit("\u0000null")) for c in df.columns]
+        *[
+            F.coalesce(normalised_scalar(f"`{name}`", kind), F.lit("\u0000null"))
+            for name, kind in df.dtypes
+        ]
     )
     if not ordered:
         values = F.sort_array(values)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenads.functions.dates import day_type, iso_weekday, month_bounds
-from lumenads.functions.metrics import half_up, measure, performance_needs, rate, ratio, summarise, with_rates
+from lumenads.functions.metrics import half_up, measure, money_sum, performance_needs, rate, ratio, summarise, with_rates
 from lumenads.operators.performance import (
     best_per_key,
     bucket,
@@ -487,7 +487,7 @@ def funnel_events_users(facts: DataFrame, start: str, end: str) -> DataFrame:
         F.count_distinct(user).alias("ui"),
         F.count_distinct(F.when(F.col("is_click"), user)).alias("uc"),
         F.count_distinct(F.when(F.col("is_conversion"), user)).alias("uv"),
-        F.sum(F.when(F.col("is_conversion"), F.col("conversion_value").cast("decimal(18,4)"))).alias("rev"),
+        money_sum(F.when(F.col("is_conversion"), F.col("conversion_value"))).alias("rev"),
     )
     full, c = F.lit(100.0), F.col
     stage = lambda name, events, users, of_first, of_prev, money: F.struct(

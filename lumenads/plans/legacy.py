@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenads.functions.metrics import half_up, money, ratio
+from lumenads.functions.metrics import half_up, money_sum, ratio, units, units_sum
 from lumenads.operators.joins import outer_merge
 from lumenads.operators.performance import best_per_key
 
@@ -21,8 +21,8 @@ def _counts(spend: bool = True):
         _n("conversion").alias("conversions"),
     ]
     if spend:
-        paid = F.when(F.col("event_type") == "impression", money("bid_price"))
-        out.append(F.sum(F.coalesce(paid, F.lit(0).cast("decimal(18,4)"))).alias("cost"))
+        paid = F.when(F.col("event_type") == "impression", units("bid_price"))
+        out.append(units_sum(F.coalesce(paid, F.lit(0).cast("bigint"))).alias("cost"))
     return out
 
 
@@ -40,17 +40,16 @@ def day_stats(events: DataFrame) -> DataFrame:
     """Impressions, clicks and the bids of all events."""
     return events.groupBy("date").agg(
         _n("impression").alias("impressions"), _n("click").alias("clicks"),
-        F.sum(money("bid_price")).alias("total_revenue"),
+        money_sum("bid_price").alias("total_revenue"),
     )
 
 
 def ad_day_metrics(events: DataFrame) -> DataFrame:
     """Ad by day: counts, mean click cost, CTR and conversion rate as fractions."""
-    cost = money("cpc_cost")
     used = events.where(
         F.col("event_type").isin("impression", "click", "conversion") | F.col("cpc_cost").isNotNull()
     )
-    mean = F.sum(cost).cast("double") / F.nullif(F.count(cost).cast("double"), F.lit(0.0))
+    mean = ratio(money_sum("cpc_cost"), F.count("cpc_cost"), 1, None)
     out = used.groupBy("ad_id", "date").agg(
         *_counts(spend=False), F.coalesce(mean, F.lit(0.0)).alias("avg_cpc")
     )
@@ -62,13 +61,12 @@ def ad_day_metrics(events: DataFrame) -> DataFrame:
 def ad_day_metrics_merged(events: DataFrame) -> DataFrame:
     """The counts and mean cost as four grouped frames, merged outer."""
     keys = ("ad_id", "date")
-    cost = money("cpc_cost")
     frames = [
         events.where(F.col("event_type") == kind).groupBy(*keys).agg(F.count("event_id").alias(name))
         for kind, name in (("impression", "impressions"), ("click", "clicks"), ("conversion", "conversions"))
     ]
-    costs = events.where(cost.isNotNull()).groupBy(*keys).agg(
-        (F.sum(cost).cast("double") / F.count(cost).cast("double")).alias("avg_cpc")
+    costs = events.where(F.col("cpc_cost").isNotNull()).groupBy(*keys).agg(
+        ratio(money_sum("cpc_cost"), F.count("cpc_cost"), 1, None).alias("avg_cpc")
     )
     return outer_merge([*frames, costs], keys)
 

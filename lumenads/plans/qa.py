@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenads.functions.metrics import change_rate, half_up, performance_needs, ratio, summarise, with_rates
+from lumenads.functions.metrics import MONEY, change_rate, half_up, performance_needs, ratio, summarise, with_rates
 from lumenads.operators.performance import nth_row, performance
 from lumenads.plans.reports import down, up, within
 
@@ -138,7 +138,7 @@ def spend_growth_by_key(facts: DataFrame, key: str, current, previous) -> DataFr
     spend = lambda p: summarise(within(facts, *p), (key,), ("cost_null_trap",))
     this = spend(current).withColumnRenamed("cost_null_trap", "this_spend")
     last = spend(previous).withColumnRenamed("cost_null_trap", "last_spend")
-    zero = F.lit(0).cast("decimal(18,4)")
+    zero = F.lit(0).cast(MONEY)
     return this.join(last, key, "left").select(
         key, F.coalesce("last_spend", zero).alias("last_spend"), "this_spend",
         (F.col("this_spend") - F.coalesce("last_spend", zero)).alias("spend_growth"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lumenads.functions.metrics import performance_needs, ratio, distinct_rollup, half_up, measure
+from lumenads.functions.metrics import distinct_rollup, half_up, measure, money_sum, performance_needs, ratio
 from lumenads.functions.text import partition_hash
 from lumenads.operators import joins as J
 from lumenads.operators import quality as Q
@@ -114,7 +114,7 @@ def _(spark, d):
     joined = J.hour_of_daily(hourly(spark, d), daily(spark, d).drop("hour"))
     return joined.groupBy("hour").agg(
         F.count(F.lit(1)).alias("impressions"), F.count_if("is_conversion").alias("conversions"),
-        F.sum(F.col("conversion_value").cast("decimal(18,4)")).alias("revenue"),
+        money_sum("conversion_value").alias("revenue"),
     )
 
 
@@ -289,7 +289,7 @@ _IMPCOST = "CAST(SUM(CAST(cost_per_impression AS DECIMAL(18,4))) AS DOUBLE)"
 
 
 def _impression_cost():
-    return F.sum(F.col("cost_per_impression").cast("decimal(18,4)"))
+    return money_sum("cost_per_impression")
 
 
 def _mean_cost(digits=4):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lumenads.functions.metrics import half_up, performance_needs, summarise
+from lumenads.functions.metrics import half_up, money_sum, performance_needs, summarise
 from lumenads.operators import anomaly as A
 from lumenads.operators import series as S
 from lumenads.operators.performance import performance
@@ -21,7 +21,7 @@ _SUM = "CAST(SUM(CAST(value AS DECIMAL(18,4))) AS DOUBLE)"
 
 
 def _total():
-    return F.sum(F.col("value").cast("decimal(18,4)")).alias("total")
+    return money_sum("value").alias("total")
 
 
 def _count():
@@ -287,7 +287,7 @@ def _(spark, d):
     landed = spark.read.schema(f"{_INGEST_SHAPE}, {parts}").parquet(sink)
     rejects = spark.read.schema("line string, batch string").parquet(errors).agg(F.count(F.lit(1)).alias("rejects"))
     return landed.groupBy("year", "month", "day").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("bid_price").cast("decimal(18,4)")).alias("bids")
+        F.count(F.lit(1)).alias("n"), money_sum("bid_price").alias("bids")
     ).crossJoin(F.broadcast(rejects))
 
 
