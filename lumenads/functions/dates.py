@@ -73,11 +73,23 @@ def time_breakdown(df: DataFrame, epoch_ms: str, zone: str = DEFAULT_ZONE) -> Da
     utc = F.timestamp_millis(F.col(epoch_ms).cast("bigint"))
     local = F.from_utc_timestamp(utc, zone)
     stamp = "yyyy-MM-dd HH:mm:ss.SSS"
+    minutes = ((F.unix_seconds(local) - F.unix_seconds(utc)) / 60).cast("int")
+    sign = F.when(minutes < 0, "-").otherwise("+")
+    hours = F.floor(F.abs(minutes) / 60).cast("int")
+    offset = F.format_string("%s%02d:%02d", sign, hours, F.abs(minutes) % 60)
+
+    def iso(time, zone_offset):
+        whole = F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")
+        rest = F.date_format(time, ".SSSSSS")
+        return F.concat(whole, F.when(rest == ".000000", "").otherwise(rest), zone_offset)
+
     return df.select(
         "*",
         F.floor(F.col(epoch_ms) / 1000).alias("timestamp_seconds"),
         F.date_format(utc, stamp).alias("utc"),
+        iso(utc, F.lit("+00:00")).alias("utc_iso"),
         F.date_format(local, stamp).alias("local"),
+        iso(local, offset).alias("local_iso"),
         F.lit(zone).alias("timezone"),
         F.date_format(local, "yyyy-MM-dd").alias("date"),
         F.date_format(local, "HH:mm:ss").alias("time"),

@@ -65,6 +65,15 @@ def kpi_weekly(facts: DataFrame, start: str, end: str, strict_month: bool = True
     return performance(rows, ("week_start", "week_end"), KPI_MEASURES, KPI_RATES, order=("week_start",))
 
 
+def kpi_weekly_days(facts: DataFrame, start: str, end: str, strict_month: bool = True) -> DataFrame:
+    """The days of each calendar week of the range."""
+    weeks = week_calendar(day_grid(facts.sparkSession, start, end), start, end, strict_month)
+    rows = facts.join(F.broadcast(weeks), "dt")
+    return performance(
+        rows, ("week_start", "dt"), KPI_MEASURES, ("ctr_distinct", "roas_report"), order=("week_start", "dt")
+    )
+
+
 def _two_periods(facts: DataFrame, current, previous) -> DataFrame:
     """Rows of either period, tagged; one scan serves both."""
     now = date_between(*current, F.col("dt"))

@@ -283,7 +283,8 @@ _MS = "make_timestamp(epoch_us(ts) // 1000 * 1000)"
 
 
 @register("S10_time_breakdown", f"""WITH q AS (SELECT event_id, epoch_us(ts) // 1000 AS ms, {_MS} AS u, {_MS} + INTERVAL 9 HOUR AS l FROM events)
-SELECT event_id, ms, CAST(floor(ms / 1000) AS BIGINT) AS timestamp_seconds, strftime(u, '%Y-%m-%d %H:%M:%S.%g') AS utc, strftime(l, '%Y-%m-%d %H:%M:%S.%g') AS "local",
+SELECT event_id, ms, CAST(floor(ms / 1000) AS BIGINT) AS timestamp_seconds, replace(strftime(u, '%Y-%m-%dT%H:%M:%S.%f'), '.000000', '') || '+00:00' AS utc_iso,
+ replace(strftime(l, '%Y-%m-%dT%H:%M:%S.%f'), '.000000', '') || '+09:00' AS local_iso, strftime(u, '%Y-%m-%d %H:%M:%S.%g') AS utc, strftime(l, '%Y-%m-%d %H:%M:%S.%g') AS "local",
  'Asia/Seoul' AS timezone, strftime(l, '%Y-%m-%d') AS date, strftime(l, '%H:%M:%S') AS time, dayname(l) AS weekday, strftime(l, '%Y년 %m월 %d일 %H시 %M분 %S초') AS readable FROM q""")
 def _(spark, d):
     rows = events(spark, d).select("event_id", F.unix_millis("ts").alias("ms"))

@@ -54,6 +54,12 @@ def _(spark, d):
     return R.kpi_weekly(_facts(spark, d), *QUARTER, strict_month=False)
 
 
+@register("G3_kpi_weekly_days", f"""WITH {FACTS}, g AS (SELECT GREATEST(date_trunc('week', dt)::DATE, DATE '{QUARTER[0]}') AS week_start, dt,
+ {pick(*MEASURES)} FROM facts WHERE {between(QUARTER)} GROUP BY 1, 2) SELECT *, {rates('ctr_distinct', 'roas_report')} FROM g""")
+def _(spark, d):
+    return R.kpi_weekly_days(_facts(spark, d), *QUARTER)
+
+
 _MTD = ("1999-03-01", "1999-03-30")
 _MTD_BEFORE = ("1999-02-01", "1999-02-28")
 

@@ -283,7 +283,7 @@ def _(spark, d):
     sink, errors = shared_dir(spark, "landed"), shared_dir(spark, "rejected")
     lines = I.read_lines(spark, _as_lines(spark, d, True))
     I.ndjson_ingest(lines, StructType.fromDDL(_INGEST_SHAPE), sink, errors, shared_dir(spark, "state"), True).awaitTermination()
-    parts = "batch string, year string, month string, day string"
+    parts = "year string, month string, day string, batch string"
     landed = spark.read.schema(f"{_INGEST_SHAPE}, {parts}").parquet(sink)
     rejects = spark.read.schema("line string, batch string").parquet(errors).agg(F.count(F.lit(1)).alias("rejects"))
     return landed.groupBy("year", "month", "day").agg(

@@ -51,12 +51,3 @@ def shared_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="lumenads-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def checkpointed(df):
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark, "checkpoint"))
-    return df.checkpoint(eager=True)

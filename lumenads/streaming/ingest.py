@@ -12,13 +12,13 @@ from lumenads.operators.quality import event_type_of
 from lumenads.schemas import CLICKS, CONVERSIONS, DAY_PARTITION, IMPRESSIONS
 
 TRIGGER = "60 seconds"
-MAX_FILES = 256
+MAX_BYTES = 64 * 1024 * 1024
 CORRUPT = "_corrupt"
 
 
-def read_lines(spark: SparkSession, path: str, max_files: int = MAX_FILES) -> DataFrame:
-    """Raw text lines as a stream, a bounded number of files per micro-batch."""
-    return spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
+def read_lines(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Raw text lines as a stream, a bounded volume of new files per micro-batch."""
+    return spark.readStream.option("maxBytesPerTrigger", max_bytes).text(path)
 
 
 def parse_json(lines: DataFrame, schema, column: str = "value") -> DataFrame:
@@ -52,17 +52,20 @@ def with_hour_partition(df: DataFrame, column: str = "timestamp") -> DataFrame:
 
 
 def _append_once(df: DataFrame, root: str, batch_id: int, partitions=()) -> None:
-    """Write one micro-batch below its own batch folder.
+    """Write one micro-batch into folders of its own below the partitions.
 
-    A batch replayed after a failure overwrites the folder it left half done,
-    so the sink stays free of duplicates.
+    A batch replayed after a failure replaces the folders it left half done,
+    so the sink stays free of duplicates and other batches are not touched.
     """
     if partitions:
         df = df.hint("rebalance", *partitions)
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
-    if partitions:
-        writer = writer.partitionBy(*partitions)
-    writer.parquet(f"{root.rstrip('/')}/batch={batch_id}")
+    (
+        df.withColumn("batch", F.lit(batch_id))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*partitions, "batch")
+        .parquet(root)
+    )
 
 
 def ndjson_ingest(
