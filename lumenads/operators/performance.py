@@ -32,17 +32,20 @@ def performance(
     return out if n is None else out.limit(n)
 
 
-def total_of(df: DataFrame, *columns) -> DataFrame:
-    return df.agg(*[F.sum(c).alias(f"_total_{c}") for c in columns])
-
-
-def with_share(df: DataFrame, digits: int = 1, **shares: str) -> DataFrame:
+def with_share(df: DataFrame, digits: int = 1, many_groups: bool = False, **shares: str) -> DataFrame:
     """Percent of the column total; ``shares`` maps output name to column.
 
-    The total is a one-row aggregate beside the rows: no window gathers them.
+    With few groups a window over the aggregate reads the facts once. With
+    ``many_groups`` no task may hold them all, so the totals are a one-row
+    aggregate beside the rows, at the price of a second pass over the facts.
     """
-    totals = total_of(df, *dict.fromkeys(shares.values()))
-    joined = df.crossJoin(F.broadcast(totals))
+    columns = list(dict.fromkeys(shares.values()))
+    if many_groups:
+        totals = df.agg(*[F.sum(c).alias(f"_total_{c}") for c in columns])
+        joined = df.crossJoin(F.broadcast(totals))
+    else:
+        every = W.partitionBy()
+        joined = df.select("*", *[F.sum(c).over(every).alias(f"_total_{c}") for c in columns])
     out = [
         ratio(column, f"_total_{column}", 100, digits).alias(name)
         for name, column in shares.items()
@@ -51,15 +54,13 @@ def with_share(df: DataFrame, digits: int = 1, **shares: str) -> DataFrame:
 
 
 def vs_average(df: DataFrame, column: str, name: str, digits: int = 1) -> DataFrame:
-    """Percent above or below the mean of the column."""
-    mean = df.agg(
-        F.sum(column).cast("double").alias("_sum"), F.count(column).cast("double").alias("_n")
-    )
-    joined = df.crossJoin(F.broadcast(mean))
-    relative = F.col(column).cast("double") * 100.0 * F.col("_n") / F.nullif(
-        F.col("_sum"), F.lit(0.0)
+    """Percent above or below the mean of the column; for aggregates with few rows."""
+    every = W.partitionBy()
+    total = F.sum(column).over(every).cast("double")
+    relative = F.col(column).cast("double") * 100.0 * F.count(column).over(every).cast("double")
+    return df.select(
+        "*", half_up(relative / F.nullif(total, F.lit(0.0)) - 100.0, digits).alias(name)
     )
-    return joined.select(*df.columns, half_up(relative - 100.0, digits).alias(name))
 
 
 def ranked_top(df: DataFrame, order, n: int, name: str = "rank") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenads.functions.dates import day_type, iso_weekday, month_bounds
@@ -379,26 +380,21 @@ def peak_label(facts: DataFrame, day: str, value: str = "revenue") -> DataFrame:
         within(facts, day, day), ("hour",), ("revenue", "impressions", "clicks", "conversions", "users"),
         ("ctr_percent", "cvr_percent"), 0.0,
     )
-    bounds = hours.agg(
-        F.max(value).alias("_max"),
-        F.sum(value).cast("double").alias("_sum"),
-        F.count(F.lit(1)).cast("double").alias("_n"),
-    )
+    every = W.partitionBy()
+    total = F.sum(value).over(every).cast("double")
     hour = F.col("hour").cast("int")
     span = None
     for first, last, label in HOUR_SPANS:
         inside = hour.between(first, last)
         span = F.when(inside, label) if span is None else span.when(inside, label)
-    x = F.col(value).cast("double") * F.col("_n")
+    x = F.col(value).cast("double") * F.count(F.lit(1)).over(every)
     status = (
-        F.when(F.col(value) == F.col("_max"), "PEAK")
-        .when(x > F.col("_sum") * 1.2, "HIGH")
-        .when(x < F.col("_sum") * 0.8, "LOW")
+        F.when(F.col(value) == F.max(value).over(every), "PEAK")
+        .when(x > total * 1.2, "HIGH")
+        .when(x < total * 0.8, "LOW")
         .otherwise("NORMAL")
     )
-    return hours.crossJoin(F.broadcast(bounds)).select(
-        *hours.columns, span.otherwise("other").alias("span"), status.alias("status")
-    )
+    return hours.select("*", span.otherwise("other").alias("span"), status.alias("status"))
 
 
 # --------------------------------------------------------------------- trends
@@ -436,32 +432,24 @@ def rank_roas(facts: DataFrame, start: str, end: str, dim: str = "campaign_id",
         paid, (dim,), BASE, ("ctr_percent", "cvr_percent"), 0.0,
         (F.col("cost_full") > 0) & (F.col("revenue") > 0),
     ).withColumn("roas", ratio("revenue", "cost_full", 1, 6))
-    return ranked_top(with_share(groups, revenue_share="revenue"), (down("roas"), dim), n)
+    shared = with_share(groups, many_groups=True, revenue_share="revenue")
+    return ranked_top(shared, (down("roas"), dim), n)
 
 
 def top_and_bottom_n(facts: DataFrame, start: str, end: str, n: int = 10) -> DataFrame:
-    """Advertisers with the highest and lowest revenue and their rank.
+    """Advertisers with the highest and lowest revenue, ranked within their group.
 
-    Two bounded top-n picks instead of two windows over every advertiser. With
-    fewer than ``2 n`` of them one advertiser can be in both groups and is then
-    shown as top only.
+    Two bounded top-n picks over one shuffle instead of two windows over every
+    advertiser. With fewer than ``2 n`` of them one advertiser can be in both
+    groups and is then shown as top only.
     """
     groups = performance(
         within(facts, start, end), ("advertiser_id",), (*BASE, "active_days"), ("roas_dash",), 0.0
     ).withColumn("ctr3", ratio("clicks", "impressions", 100, 3, 0.0))
-    total = groups.agg(F.count(F.lit(1)).alias("_n"))
-    top = ranked_top(groups, (down("revenue"), "advertiser_id"), n, "revenue_rank").withColumn(
-        "group", F.lit("top")
-    )
-    low = ranked_top(groups, (F.asc("revenue"), F.desc("advertiser_id")), n, "_back")
-    low = (
-        low.crossJoin(F.broadcast(total))
-        .withColumn("revenue_rank", (F.col("_n") - F.col("_back") + 1).cast("int"))
-        .where(F.col("revenue_rank") > n)
-        .drop("_back", "_n")
-        .withColumn("group", F.lit("bottom"))
-    )
-    return top.unionByName(low)
+    top = ranked_top(groups, (down("revenue"), "advertiser_id"), n, "group_rank")
+    low = ranked_top(groups, (F.asc("revenue"), F.desc("advertiser_id")), n, "group_rank")
+    both = top.withColumn("group", F.lit("top")).unionByName(low.withColumn("group", F.lit("bottom")))
+    return best_per_key(both, "advertiser_id", (F.desc("group"),))
 
 
 def peak_hour_per_ad(hourly: DataFrame, min_rows: int = 100, n: int = 50) -> DataFrame:

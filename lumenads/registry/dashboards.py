@@ -328,7 +328,8 @@ def _(spark, d):
  h AS (SELECT *, {rates('roas_dash', zero=True)}, {div('clicks', 'impressions', 100, 3, True)} AS ctr3,
   ROW_NUMBER() OVER (ORDER BY revenue DESC, advertiser_id) AS revenue_rank,
   ROW_NUMBER() OVER (ORDER BY revenue ASC, advertiser_id DESC) AS back FROM g)
-SELECT * EXCLUDE (back), CASE WHEN revenue_rank <= 10 THEN 'top' ELSE 'bottom' END AS "group" FROM h WHERE revenue_rank <= 10 OR back <= 10""")
+SELECT * EXCLUDE (revenue_rank, back), CASE WHEN revenue_rank <= 10 THEN revenue_rank ELSE back END AS group_rank,
+ CASE WHEN revenue_rank <= 10 THEN 'top' ELSE 'bottom' END AS "group" FROM h WHERE revenue_rank <= 10 OR back <= 10""")
 def _(spark, d):
     return D.top_and_bottom_n(facts(spark, d, _BASE_DAYS, "advertiser_id"), *WHOLE)
 

@@ -110,7 +110,9 @@ def test_funnel_skips_missing_stage(spark):
 
 def test_share_best_and_nth(spark):
     df = spark.createDataFrame([("a", 1), ("b", 3), ("c", 4)], "k string, v long")
-    assert {r.k: r.s for r in with_share(df, s="v").collect()} == {"a": 12.5, "b": 37.5, "c": 50.0}
+    for many in (False, True):
+        shares = with_share(df, many_groups=many, s="v").collect()
+        assert {r.k: r.s for r in shares} == {"a": 12.5, "b": 37.5, "c": 50.0}
     assert nth_row(df, (F.desc("v"), "k"), 2).first().k == "b"
     groups = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3)], "k string, v long")
     assert sorted((r.k, r.v) for r in best_per_key(groups, "k", (F.desc("v"),)).collect()) == [("x", 2), ("y", 3)]
@@ -123,5 +125,7 @@ def test_top_and_bottom_overlap_is_shown_once(spark):
         "cost_per_click double, conversion_value double, dt date",
     )
     out = top_and_bottom_n(rows, "2026-01-01", "2026-01-01").collect()
-    assert sorted(r.revenue_rank for r in out) == list(range(1, 16))
-    assert sum(r.group == "top" for r in out) == 10
+    assert sorted(r.group_rank for r in out if r.group == "top") == list(range(1, 11))
+    assert [r.advertiser_id for r in sorted(out, key=lambda r: r.group_rank) if r.group == "bottom"] == [
+        "a0", "a1", "a2", "a3", "a4"
+    ]
