@@ -104,5 +104,4 @@ def session_tail(turns: DataFrame, n: int = 5, session: str = "session_id", turn
     """Last ``n`` turns of each session and the number of its next turn."""
     w = W.partitionBy(session).orderBy(F.desc(turn))
     last = turns.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
-    following = turns.groupBy(session).agg((F.max(turn) + 1).alias("next_turn"))
-    return last.join(following, session, "inner")
+    return last.withColumn("next_turn", F.max(turn).over(W.partitionBy(session)) + 1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenads.functions.dates import tuple_range
 from lumenads.operators.joins import attach_clicks, attach_conversions
-from lumenads.operators.quality import hour_completeness
+from lumenads.operators.quality import hour_completeness, validate_daily, validate_hourly
 from lumenads.schemas import (
     CLICKS,
     CONVERSIONS,
@@ -65,6 +65,30 @@ def raw_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     }
 
 
+def run_hour(spark: SparkSession, raw_root: str, fact_root: str, moment: datetime) -> DataFrame:
+    """Scheduled hourly job: join, replace the partition, return its check row."""
+    where = one_hour(moment)
+    facts = build_hourly(raw_tables(spark, raw_root), where)
+    write_partitioned(facts, f"{fact_root}/hourly", HOUR_PARTITION, cluster=False)
+    stored = scan_hive_parquet(spark, f"{fact_root}/hourly", HOURLY_FACT)
+    return validate_hourly(stored.where(where))
+
+
+def run_day(spark: SparkSession, raw_root: str, fact_root: str, day: date) -> DataFrame:
+    """Scheduled daily job over the stored hours: join, replace, return its check row.
+
+    Missing hours do not stop it; ``hours`` says how many were there.
+    """
+    where = tuple_range(day.isoformat(), day.isoformat())
+    hourly = scan_hive_parquet(spark, f"{fact_root}/hourly", HOURLY_FACT)
+    conversions = raw_tables(spark, raw_root)["conversions"]
+    facts = build_daily(hourly, conversions, where)
+    write_partitioned(facts, f"{fact_root}/daily", DAY_PARTITION, cluster=False)
+    stored = scan_hive_parquet(spark, f"{fact_root}/daily", DAILY_FACT, DAY_PARTITION)
+    hours = hourly.where(where).agg(F.count_distinct("hour").alias("hours"))
+    return validate_daily(stored.where(where)).crossJoin(F.broadcast(hours))
+
+
 def backfill_hours(
     spark: SparkSession, raw_root: str, fact_root: str, start: str, end: str,
     first: int = 0, last: int = 23, now: datetime | None = None,

@@ -193,22 +193,16 @@ def funnel_rates(counts: DataFrame, stages=FUNNEL_STAGES) -> DataFrame:
     """
     place = F.array_position(F.array(*[F.lit(s) for s in stages]), F.col("conversion_type"))
     listed = counts.where(F.col("conversion_type").isin(*stages)).withColumn("stage_no", place)
-    first = counts.agg(
-        F.coalesce(
-            F.max(F.when(F.col("conversion_type") == stages[0], F.col("n"))), F.lit(1)
-        ).alias("_first")
-    )
+    first = F.max(F.when(F.col("conversion_type") == stages[0], F.col("n"))).over(W.partitionBy())
     w = W.orderBy("stage_no")
-    return (
-        listed.crossJoin(F.broadcast(first))
-        .withColumn("_prev", F.lag("n").over(w))
-        .select(
-            "stage_no",
-            F.col("conversion_type").alias("stage"),
-            "n",
-            ratio("n", "_first", 100, 2, empty=0.0).alias("percent_of_first"),
-            ratio("n", "_prev", 100, 1).alias("percent_of_previous"),
-        )
+    return listed.withColumns(
+        {"_first": F.coalesce(first, F.lit(1)), "_prev": F.lag("n").over(w)}
+    ).select(
+        "stage_no",
+        F.col("conversion_type").alias("stage"),
+        "n",
+        ratio("n", "_first", 100, 2, empty=0.0).alias("percent_of_first"),
+        ratio("n", "_prev", 100, 1).alias("percent_of_previous"),
     )
 
 
@@ -302,52 +296,77 @@ def action_items(
     funnel = _funnel_change(facts, current, previous)
     goals = attainment(facts, *current, targets)
 
-    def rows(df, condition, priority, rule, target, now, before=None):
-        return df.where(condition).select(
-            F.lit(priority).alias("priority"),
-            F.lit(rule).alias("rule"),
-            target.alias("target"),
-            now.cast("double").alias("current_value"),
-            (F.lit(None) if before is None else before).cast("double").alias("previous_value"),
-        )
-
     c = F.col
     roas = c("roas_report")
     parts = [
-        rows(shops, roas < limit["roas_stop"], "urgent", "pause_campaign", c("store_id"), roas),
-        rows(
-            shops, (roas >= limit["roas_stop"]) & (roas <= limit["roas_reduce"]),
-            "high", "lower_bid", c("store_id"), roas,
-        ),
-        rows(shops, roas > limit["roas_increase"], "medium", "raise_budget", c("store_id"), roas),
-        rows(
-            overall, c("cpc_change") >= limit["cpc_increase"],
-            "medium", "watch_cpc", F.lit("all"), c("cpc"), c("prev_cpc"),
+        _emit(
+            shops,
+            (roas < limit["roas_stop"], "urgent", "pause_campaign", c("store_id"), roas, None),
+            (
+                (roas >= limit["roas_stop"]) & (roas <= limit["roas_reduce"]),
+                "high", "lower_bid", c("store_id"), roas, None,
+            ),
+            (roas > limit["roas_increase"], "medium", "raise_budget", c("store_id"), roas, None),
         ),
-        rows(
-            categories, c("ctr_distinct_change") <= -limit["ctr_drop"],
-            "high", "check_creative", c("food_category"), c("ctr_distinct"), c("prev_ctr_distinct"),
+        _emit(
+            overall,
+            (
+                c("cpc_change") >= limit["cpc_increase"],
+                "medium", "watch_cpc", F.lit("all"), c("cpc"), c("prev_cpc"),
+            ),
         ),
-        rows(
-            categories, c("cvr_purchase_change") <= -limit["cvr_drop"],
-            "medium", "check_landing", c("food_category"), c("cvr_purchase"), c("prev_cvr_purchase"),
+        _emit(
+            categories,
+            (
+                c("ctr_distinct_change") <= -limit["ctr_drop"],
+                "high", "check_creative", c("food_category"), c("ctr_distinct"), c("prev_ctr_distinct"),
+            ),
+            (
+                c("cvr_purchase_change") <= -limit["cvr_drop"],
+                "medium", "check_landing", c("food_category"), c("cvr_purchase"), c("prev_cvr_purchase"),
+            ),
+            (
+                c("revenue_purchase_change") >= limit["revenue_growth"],
+                "info", "extend_budget", c("food_category"), c("revenue_purchase"), c("prev_revenue_purchase"),
+            ),
         ),
-        rows(
-            funnel, c("now") - c("before") <= -limit["funnel_drop"],
-            "medium", "check_funnel", c("stage"), c("now"), c("before"),
+        _emit(
+            funnel,
+            (
+                c("now") - c("before") <= -limit["funnel_drop"],
+                "medium", "check_funnel", c("stage"), c("now"), c("before"),
+            ),
         ),
-        rows(
-            categories, c("revenue_purchase_change") >= limit["revenue_growth"],
-            "info", "extend_budget", c("food_category"), c("revenue_purchase"), c("prev_revenue_purchase"),
-        ),
-        rows(
-            goals, c("percent") < limit["target_critical"],
-            "urgent", "target_missed", c("kpi"), c("actual"), c("target"),
+        _emit(
+            goals,
+            (
+                c("percent") < limit["target_critical"],
+                "urgent", "target_missed", c("kpi"), c("actual"), c("target"),
+            ),
         ),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
+def _emit(df: DataFrame, *rules) -> DataFrame:
+    """One row per rule that holds; all rules of a frame share its single pass."""
+    items = [
+        F.when(
+            condition,
+            F.struct(
+                F.lit(priority).alias("priority"),
+                F.lit(rule).alias("rule"),
+                target.alias("target"),
+                now.cast("double").alias("current_value"),
+                (F.lit(None) if before is None else before).cast("double").alias("previous_value"),
+            ),
+        )
+        for condition, priority, rule, target, now, before in rules
+    ]
+    held = F.filter(F.array(*items), lambda item: item.isNotNull())
+    return df.select(F.explode(held).alias("_i")).select("_i.*")
+
+
 def highlights(
     facts: DataFrame, current, previous, targets: dict[str, float], rules: dict | None = None
 ) -> DataFrame:
@@ -361,23 +380,26 @@ def highlights(
         & (c("roas_report") <= limit["roas_stop"]),
     )
 
-    def best(df, kind, name, value, highest: bool):
-        """First by value, ties by name."""
-        order = F.struct(F.when(F.lit(highest), -value).otherwise(value).alias("v"), name.alias("n"))
-        return (
-            df.where(value.isNotNull())
-            .agg(F.min_by(F.struct(name.alias("name"), value.cast("double").alias("value")), order).alias("_b"))
-            .where(c("_b").isNotNull())
-            .select(F.lit(kind).alias("kind"), "_b.name", "_b.value")
-        )
+    def best(kind, name, value, highest: bool, eligible=None):
+        """First by value, ties by name, of the rows that qualify."""
+        order = F.struct((-value if highest else value).alias("v"), name.alias("n"))
+        able = value.isNotNull() if eligible is None else value.isNotNull() & eligible
+        row = F.struct(F.lit(kind).alias("kind"), name.alias("name"), value.cast("double").alias("value"))
+        return F.min_by(F.when(able, row), F.when(able, order))
+
+    def picked(df, *bests):
+        held = F.filter(F.array(*bests), lambda item: item.isNotNull())
+        return df.agg(held.alias("_b")).select(F.explode("_b").alias("_i")).select("_i.*")
 
-    dropped = categories.select(
-        "food_category", F.least("ctr_distinct_change", "cvr_purchase_change").alias("worst_change")
-    ).where(c("worst_change") <= -min(limit["ctr_drop"], limit["cvr_drop"]))
+    drop = F.least("ctr_distinct_change", "cvr_purchase_change")
+    category, shop = c("food_category"), c("store_id")
     parts = [
-        best(categories, "best_growth", c("food_category"), c("revenue_purchase_change"), True),
-        best(attainment(facts, *current, targets), "best_target", c("kpi"), c("percent"), True),
-        best(dropped, "worst_drop", c("food_category"), c("worst_change"), False),
-        best(shops, "worst_shop", c("store_id"), c("roas_report"), False),
+        picked(
+            categories,
+            best("best_growth", category, c("revenue_purchase_change"), True),
+            best("worst_drop", category, drop, False, drop <= -min(limit["ctr_drop"], limit["cvr_drop"])),
+        ),
+        picked(attainment(facts, *current, targets), best("best_target", c("kpi"), c("percent"), True)),
+        picked(shops, best("worst_shop", shop, c("roas_report"), False)),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenads.functions.metrics import performance_needs, summarise
+from lumenads.functions.metrics import measure, performance_needs, summarise
 from lumenads.operators.performance import performance, with_share
 from lumenads.plans import dashboards as D
 from lumenads.plans.testbed import ad_facts
@@ -491,9 +491,8 @@ _PRE = """pre AS (SELECT campaign_id, dt, COUNT(*) AS impressions, COUNT(*) FILT
 def _summary(spark, d):
     rows = facts(spark, d, (*_ICV, "cost_full"), "campaign_id", "cost_per_click")
     mean = F.sum(F.col("cost_per_click").cast("decimal(18,4)")).cast("double") / F.nullif(F.count("cost_per_click").cast("double"), F.lit(0.0))
-    base = summarise(rows, ("campaign_id", "dt"), (*_ICV, "cost_full"))
-    means = rows.groupBy("campaign_id", "dt").agg(mean.cast("decimal(18,4)").alias("avg_cpc"))
-    return base.join(means, ["campaign_id", "dt"])
+    measures = [measure(m).alias(m) for m in (*_ICV, "cost_full")]
+    return rows.groupBy("campaign_id", "dt").agg(*measures, mean.cast("decimal(18,4)").alias("avg_cpc"))
 
 
 @register("G50_preagg_daily", f"""WITH {FACTS}, {_PRE}, g AS (SELECT dt, SUM(impressions)::BIGINT AS impressions, SUM(clicks)::BIGINT AS clicks,

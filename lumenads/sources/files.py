@@ -29,17 +29,18 @@ def scan_hive_parquet(
 
 
 def write_partitioned(
-    df: DataFrame, root: str, partitions=HOUR_PARTITION, codec: str = "snappy"
+    df: DataFrame, root: str, partitions=HOUR_PARTITION, codec: str = "snappy", cluster: bool = True
 ) -> None:
     """Replace exactly the partitions present in ``df``; others keep their files.
 
     An empty result therefore leaves old data alone. Rows are clustered by the
     partition columns first; the rebalance lets adaptive execution split a
-    partition that is far larger than the rest and merge the small ones.
+    partition that is far larger than the rest and merge the small ones. A job
+    that writes a single partition passes ``cluster=False`` and saves the shuffle.
     """
+    rows = df.hint("rebalance", *partitions) if cluster else df
     (
-        df.hint("rebalance", *partitions)
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", codec)
         .partitionBy(*partitions)

@@ -98,6 +98,17 @@ def test_backfill_end_to_end_and_rerun(spark, raw, tmp_path):
     assert {r.outcome: r.hours for r in outcome.collect()} == {"done": 2, "missing": 46, "future": 24}
 
 
+def test_scheduled_jobs_return_check_rows(spark, raw, tmp_path):
+    raw_root, fact_root = str(tmp_path / "raw"), str(tmp_path / "facts")
+    for name, df in raw.items():
+        write_raw(df, f"{raw_root}/{name}")
+    for hour, expected in ((9, (4, 2, 2, 50.0)), (10, (1, 0, 0, 0.0))):
+        row = etl.run_hour(spark, raw_root, fact_root, datetime(2026, 3, 14, hour)).first()
+        assert (row.impressions, row.clicks, row.unique_clicks, row.ctr) == expected
+    row = etl.run_day(spark, raw_root, fact_root, datetime(2026, 3, 14).date()).first()
+    assert (row.impressions, row.clicks, row.conversions, row.campaigns, row.hours) == (4, 2, 2, 2, 2)
+
+
 def test_empty_rerun_keeps_old_partition(spark, tmp_path):
     root = str(tmp_path / "t")
     df = spark.createDataFrame([("a", "2026"), ("b", "2027")], "x string, year string")
