@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from lumenads.llm.mixing import op4_mixing
 from lumenads.llm.packing import op1_packing
 from lumenads.llm.simhash import op2_simhash
 from lumenads.llm.token_files import op10_token_files
 
 QUERIES = {
+    "op4_mixing": op4_mixing,
     "op2_simhash": op2_simhash,
     "op1_packing": op1_packing,
     "op10_token_files": op10_token_files,
