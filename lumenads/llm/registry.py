@@ -6,8 +6,10 @@ from lumenads.llm.mixing import op4_mixing
 from lumenads.llm.packing import op1_packing
 from lumenads.llm.simhash import op2_simhash
 from lumenads.llm.token_files import op10_token_files
+from lumenads.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op6_toxicity": op6_toxicity,
     "op4_mixing": op4_mixing,
     "op2_simhash": op2_simhash,
     "op1_packing": op1_packing,
