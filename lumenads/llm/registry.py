@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lumenads.llm.language import op5_language
 from lumenads.llm.mixing import op4_mixing
 from lumenads.llm.packing import op1_packing
 from lumenads.llm.simhash import op2_simhash
@@ -9,6 +10,7 @@ from lumenads.llm.token_files import op10_token_files
 from lumenads.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op5_language": op5_language,
     "op6_toxicity": op6_toxicity,
     "op4_mixing": op4_mixing,
     "op2_simhash": op2_simhash,
