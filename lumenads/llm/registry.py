@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lumenads.llm.language import op5_language
 from lumenads.llm.mixing import op4_mixing
+from lumenads.llm.neighbours import op3_neighbours
 from lumenads.llm.packing import op1_packing
 from lumenads.llm.simhash import op2_simhash
 from lumenads.llm.sketch import op8_sketch
@@ -11,6 +12,7 @@ from lumenads.llm.token_files import op10_token_files
 from lumenads.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op3_neighbours": op3_neighbours,
     "op8_sketch": op8_sketch,
     "op5_language": op5_language,
     "op6_toxicity": op6_toxicity,
