@@ -80,30 +80,70 @@ class Encoder(dict):
         shown = text.encode().decode("latin-1").translate(self.bytes)
         return packed([t.id for t in self.library.model.tokenize(shown)])
 
+    def of_cut(self, cut: str) -> bytes:
+        word = PLAIN_WORD.match(cut)
+        if word is None:
+            return self._whole(cut)
+        if self.lower:
+            return self._word(word[2].lower())
+        if word[1] == "\n":
+            return self.line_feed + self._word(word[2])
+        return self._word(cut)
+
     def __missing__(self, cut: str) -> bytes:
         ids = self.older.get(cut)
         if ids is None:
-            word = PLAIN_WORD.match(cut)
-            if word is None:
-                ids = self._whole(cut)
-            elif self.lower:
-                ids = self._word(word[2].lower())
-            elif word[1] == "\n":
-                ids = self.line_feed + self._word(word[2])
-            else:
-                ids = self._word(cut)
+            ids = self.of_cut(cut)
         if len(self) >= KEPT_CUTS:
             self.older = dict(self)
             self.clear()
         self[cut] = ids
         return ids
 
+    def may_cut(self, text: str) -> bool:
+        """Whether the ids of the cuts are those of the text."""
+        if UNUSUAL_SPACE.search(text) or any(s in text for s in self.specials):
+            return False
+        return not self.lower or text.isascii() or unicodedata.is_normalized("NFC", text)
+
     def ids(self, text: str | None) -> bytes:
         """Ids of the whole text; a null text is an empty one."""
         if not text:
             return b""
-        if UNUSUAL_SPACE.search(text) or any(s in text for s in self.specials):
-            return self._whole(text)
-        if self.lower and not text.isascii() and not unicodedata.is_normalized("NFC", text):
+        if not self.may_cut(text):
             return self._whole(text)
         return b"".join(map(self.__getitem__, CUTS.findall(text)))
+
+
+class Counter(dict):
+    """Numbers of ids by several tokenizers at once: cut -> counts, packed in one integer."""
+
+    BITS = 40
+
+    def __init__(self, names: tuple[str, ...]):
+        super().__init__()
+        self.encoders = [Encoder(n) for n in names]
+
+    def __missing__(self, cut: str) -> int:
+        if len(self) >= 2 * KEPT_CUTS:
+            self.clear()
+        self[cut] = value = sum((len(e.of_cut(cut)) // 4) << (self.BITS * i) for i, e in enumerate(self.encoders))
+        return value
+
+    def counts(self, text: str | None) -> list[int]:
+        if not text:
+            return [0] * len(self.encoders)
+        if not all(e.may_cut(text) for e in self.encoders):
+            return [len(e.ids(text)) // 4 for e in self.encoders]
+        total = sum(map(self.__getitem__, CUTS.findall(text)))
+        return [(total >> (self.BITS * i)) & ((1 << self.BITS) - 1) for i in range(len(self.encoders))]
+
+
+_COUNTERS: dict[tuple[str, ...], Counter] = {}
+
+
+def counter(names: tuple[str, ...]) -> Counter:
+    """One counter per set of files and Python worker."""
+    if names not in _COUNTERS:
+        _COUNTERS[names] = Counter(names)
+    return _COUNTERS[names]
