@@ -6,6 +6,7 @@ from lumenads.llm.language import op5_language
 from lumenads.llm.mixing import op4_mixing
 from lumenads.llm.neighbours import op3_neighbours
 from lumenads.llm.packing import op1_packing
+from lumenads.llm.quality import op9_quality
 from lumenads.llm.simhash import op2_simhash
 from lumenads.llm.sketch import op8_sketch
 from lumenads.llm.token_counts import op7_token_counts
@@ -13,6 +14,7 @@ from lumenads.llm.token_files import op10_token_files
 from lumenads.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op9_quality": op9_quality,
     "op7_token_counts": op7_token_counts,
     "op3_neighbours": op3_neighbours,
     "op8_sketch": op8_sketch,
