@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lumenads.llm.language import op5_language
 from lumenads.llm.mixing import op4_mixing
 from lumenads.llm.neighbours import op3_neighbours
@@ -14,15 +15,18 @@ from lumenads.llm.token_files import op10_token_files
 from lumenads.llm.toxicity import op6_toxicity
 
 QUERIES = {
-    "op9_quality": op9_quality,
-    "op7_token_counts": op7_token_counts,
+    "op1_packing": op1_packing,
+    "op2_simhash": op2_simhash,
     "op3_neighbours": op3_neighbours,
-    "op8_sketch": op8_sketch,
+    "op4_mixing": op4_mixing,
     "op5_language": op5_language,
     "op6_toxicity": op6_toxicity,
-    "op4_mixing": op4_mixing,
-    "op2_simhash": op2_simhash,
-    "op1_packing": op1_packing,
+    "op7_token_counts": op7_token_counts,
+    "op8_sketch": op8_sketch,
+    "op9_quality": op9_quality,
     "op10_token_files": op10_token_files,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
