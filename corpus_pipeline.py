@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenads.llm.language import in_known_language
 from lumenads.llm.mixing import copies
+from lumenads.llm.near_copies import near_copies
 from lumenads.llm.packing import packed
 from lumenads.llm.simhash import one_of_each
 from lumenads.llm.tables import stored, table
@@ -28,8 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the least id stays."""
-    return one_of_each(docs)
+    """Of documents linked by 0.8 of their five-word shingles that with the least id stays."""
+    return one_of_each(docs, near_copies(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

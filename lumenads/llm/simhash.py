@@ -93,17 +93,20 @@ def grid_points(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(points)
 
 
-def _gridded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gridded(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = batch.column("print").to_numpy()
         nodes = batch.column("node").to_numpy(zero_copy_only=False)
-        for first in range(0, len(prints), 2_000):
-            some, their = prints[first : first + 2_000], nodes[first : first + 2_000]
-            rows, points = grid_points(some.view(np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(points.view(np.int64)), pa.array(some[rows]), pa.array(their[rows])],
-                names=["point", "print", "node"],
-            )
+        for k, name in enumerate(columns):
+            prints = batch.column(name).to_numpy()
+            for first in range(0, len(prints), 2_000):
+                some, their = prints[first : first + 2_000], nodes[first : first + 2_000]
+                rows, points = grid_points(some.view(np.uint64))
+                # each fingerprint has a grid of its own
+                points |= np.uint64(k << 33)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(points.view(np.int64)), pa.array(some[rows]), pa.array(their[rows])],
+                    names=["point", "print", "node"],
+                )
 
 
 def _close(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, most: int) -> np.ndarray:
@@ -217,11 +220,12 @@ LINKS = "a long, b long, point long, print long, node long"
 
 
 def links(nodes: DataFrame, most: int = MOST_BITS, tile: int = TILE) -> DataFrame:
-    """(a, b) between nodes (print, node) so that those within ``most`` bits, at most 4,
-    are connected; every link is verified."""
+    """(a, b) between nodes (node, and one or more fingerprint columns) so that those within
+    ``most`` bits, at most 4, in any one fingerprint are connected; every link is verified."""
     if most > 4:
         raise ValueError("two halves and steps of one find up to 4 differing bits")
-    gridded = nodes.mapInArrow(_gridded, "point long, print long, node long")
+    columns = [c for c in nodes.columns if c != "node"]
+    gridded = nodes.mapInArrow(lambda batches: _gridded(batches, columns), "point long, print long, node long")
     met = stored(
         gridded.repartition("point")
         .sortWithinPartitions("point")
@@ -268,12 +272,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BI
     )
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each component is kept: the one
-    with the least doc_id, once. Rows without a doc_id stay only if nothing links to them."""
-    found = near_duplicates(docs, shingle, most)
-    keep = stored(found.where("doc_id = component_id").select("doc_id").distinct(), "simhash-kept")
-    loose = docs.where("doc_id is null")
+def one_of_each(docs: DataFrame, components: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each component (doc_id,
+    component_id) is kept: the one with the least doc_id, once. Rows without a doc_id
+    stay."""
+    keep = stored(components.where("doc_id = component_id").select("doc_id").distinct(), "simhash-kept")
     first = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
     kept = (
         docs.join(keep, "doc_id", "left_semi")
@@ -281,7 +284,7 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST_BITS)
         .where("__place = 1")
         .select(*docs.columns)
     )
-    return kept.unionByName(loose)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
