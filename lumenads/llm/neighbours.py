@@ -3,8 +3,9 @@
 Vectors are dealt to shards of bounded size. Each shard keeps, for every one of
 ``PROJECTIONS`` random directions, its vectors' projections as one sorted array.
 A query opens a window around its own projection in all arrays and widens them
-step by step (radius times ``RATIO``); no array is built again for a new radius.
-A vector that lies in at least ``THRESHOLD`` of the windows is verified by its
+step by step (radius times ``RATIO``); no array is built again for a new radius. The
+first radius is a part of the k-th distance among the vectors next to the query in
+the arrays, which bounds the radius in the end. A vector that lies in at least ``THRESHOLD`` of the windows is verified by its
 exact distance. The search of a shard ends when its k-th verified distance is
 within the radius: a vector within the radius reaches the threshold with a
 probability of at least 0.95, by the choice of both numbers. Nothing is capped.
@@ -16,6 +17,7 @@ shard are merged by query.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -24,17 +26,21 @@ from pyspark.sql import functions as F
 
 from lumenads.llm.tables import stored, table
 
-PROJECTIONS = 64
+PROJECTIONS = 48
 # Half a window, in radii: a direction keeps 68 % of the vectors at one radius in it.
 HALF_WINDOW = 1.0
-THRESHOLD = 37
-RATIO = 1.15
+THRESHOLD = 28
+RATIO = 1.25
+# The first radius, in those of the pilot vectors; how many on either side of the query are looked at.
+FIRST = 0.64
+BESIDE = 6
 SEED = 7
 SHARD_ROWS = 8_192
 BLOCK_QUERIES = 512
 SHARD = "shard long, rows long, width long, ids binary, vectors binary, values binary, order binary"
 
 
+@cache
 def directions(width: int) -> np.ndarray:
     return np.random.default_rng((SEED, width)).standard_normal((width, PROJECTIONS))
 
@@ -60,10 +66,11 @@ def _index(key, rows: pd.DataFrame) -> pd.DataFrame:
     blobs = (
         rows["vec_id"].to_numpy(np.int64),
         data,
-        np.take_along_axis(values, order, axis=0).T,
+        np.take_along_axis(values, order, axis=0).T.astype(np.float32),
         order.T.astype(np.int32),
     )
-    return pd.DataFrame([[key[0], len(data), key[1], *(np.ascontiguousarray(b).tobytes() for b in blobs)]], columns=[c.split()[0] for c in SHARD.split(", ")])
+    columns = [c.split()[0] for c in SHARD.split(", ")]
+    return pd.DataFrame([[key[0], len(data), key[1], *(np.ascontiguousarray(b).tobytes() for b in blobs)]], columns=columns)
 
 
 def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -81,50 +88,49 @@ class Shard:
         n, width = row.rows, row.width
         self.ids = np.frombuffer(row.ids, np.int64)
         self.vectors = np.frombuffer(row.vectors, np.float64).reshape(n, width)
-        self.values = np.frombuffer(row.values, np.float64).reshape(PROJECTIONS, n)
+        self.values = np.frombuffer(row.values, np.float32).reshape(PROJECTIONS, n)
         self.order = np.frombuffer(row.order, np.int32).reshape(PROJECTIONS, n)
 
     def nearest(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of the k nearest verified, nearest first, ties by id."""
         n = len(self.ids)
-        centre = query @ directions(len(query))
-        counts = np.zeros(n, np.int16)
-        lows = np.array([np.searchsorted(v, c) for v, c in zip(self.values, centre)])
-        highs = lows.copy()
-        # the first radius: half of the windows reach the k-th value beside the query
-        beside = [
-            min(abs(v[min(n - 1, l + k)] - c), abs(v[max(0, l - k)] - c)) for v, c, l in zip(self.values, centre, lows)
-        ]
-        radius = max(float(np.median(beside)) / HALF_WINDOW, 1e-12)
-        verified = np.zeros(n, bool)
-        distances = np.full(n, np.inf)
+        centre = (query @ directions(len(query))).astype(np.float32)
         own = self.ids == query_id
         wanted = min(k, n - int(own.sum()))
         if wanted <= 0:
-            return self.ids[:0], distances[:0]
+            return self.ids[:0], np.zeros(0)
+        distances = np.full(n, np.inf)
+        verified = own.copy()
+
+        def verify(new: np.ndarray) -> None:
+            verified[new] = True
+            difference = self.vectors[new] - query
+            distances[new] = np.sqrt((difference * difference).sum(axis=1))
+
+        lows = np.array([np.searchsorted(v, c) for v, c in zip(self.values, centre)])
+        near = np.clip(lows[:, None] + np.arange(-BESIDE, BESIDE), 0, n - 1)
+        pilot = np.unique(np.take_along_axis(self.order, near, axis=1))
+        pilot = pilot[~own[pilot]]
+        if len(pilot) < wanted:
+            pilot = np.flatnonzero(~own)
+        verify(pilot)
+        kth = np.partition(distances, wanted - 1)[wanted - 1]
+        radius, highs, counts = FIRST * kth, lows.copy(), np.zeros(n, np.int16)
+        # bounds are rounded outwards, since the arrays hold single precision
+        slack = 1e-5 * float(np.abs(centre).max()) + 1e-30
         while True:
-            reach = radius * HALF_WINDOW
-            for j in range(PROJECTIONS):
-                low = np.searchsorted(self.values[j], centre[j] - reach, "left")
-                high = np.searchsorted(self.values[j], centre[j] + reach, "right")
+            reach = np.float32(radius * HALF_WINDOW + slack)
+            for j, (values, order, c) in enumerate(zip(self.values, self.order, centre)):
+                low, high = np.searchsorted(values, c - reach, "left"), np.searchsorted(values, c + reach, "right")
                 # a vector stands once in each array, so plain increments count right
-                if low < lows[j]:
-                    counts[self.order[j, low : lows[j]]] += 1
-                    lows[j] = low
-                if high > highs[j]:
-                    counts[self.order[j, highs[j] : high]] += 1
-                    highs[j] = high
-            new = np.flatnonzero((counts >= THRESHOLD) & ~verified & ~own)
-            if len(new):
-                verified[new] = True
-                difference = self.vectors[new] - query
-                distances[new] = np.sqrt((difference * difference).sum(axis=1))
-            found = int(verified.sum())
-            if found >= wanted:
-                kth = np.partition(distances, wanted - 1)[wanted - 1]
-                if kth <= radius or found == n - int(own.sum()):
-                    break
-            radius *= RATIO
+                counts[order[low : lows[j]]] += 1
+                counts[order[highs[j] : high]] += 1
+                lows[j], highs[j] = min(low, lows[j]), max(high, highs[j])
+            verify(np.flatnonzero((counts >= THRESHOLD) & ~verified))
+            kth = np.partition(distances, wanted - 1)[wanted - 1]
+            if kth <= radius or verified.all():
+                break
+            radius = min(radius * RATIO, kth)
         best = np.flatnonzero(distances <= kth)
         best = best[np.lexsort((self.ids[best], distances[best]))][:wanted]
         return self.ids[best], distances[best]
@@ -145,7 +151,8 @@ def _searched(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]
 def _block(key, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("vec_id", kind="stable")
     ids, data = rows["vec_id"].to_numpy(np.int64), np.stack(rows["vector"].to_numpy()).astype(np.float64)
-    return pd.DataFrame([[key[0], key[1], ids.tobytes(), np.ascontiguousarray(data).tobytes()]], columns=["block", "width", "query_ids", "query_vectors"])
+    columns = ["block", "width", "query_ids", "query_vectors"]
+    return pd.DataFrame([[key[0], key[1], ids.tobytes(), data.tobytes()]], columns=columns)
 
 
 def search(shards: DataFrame, queries: DataFrame, k: int, block_queries: int = BLOCK_QUERIES) -> DataFrame:
