@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,7 @@ BATCH = 64
 STEP = 4e-3
 UNKNOWN = "und"
 CHUNK_WINDOWS = 16
+HASH_STEPS = 1 << 30
 
 
 @dataclass
@@ -117,6 +118,13 @@ def trained(windows: np.ndarray, answers: np.ndarray, languages: list[str], epoc
     return net
 
 
+def laid_out(text: str) -> bytes:
+    """Bytes of the lower-cased text in whole windows, zeros before and after it, so that no
+    window looks into another text."""
+    data = bytes(LOOK_AHEAD) + text.lower().encode("utf-8", "replace")
+    return data.ljust(-(-(len(data) + LOOK_AHEAD) // WINDOW) * WINDOW, b"\0")
+
+
 class Predictor:
     """Probabilities of whole texts."""
 
@@ -149,10 +157,9 @@ class Predictor:
         """Mean probabilities of each text over its windows, by the bytes in them."""
         parts, sizes = [], []
         for text in texts:
-            data = text.lower().encode("utf-8", "replace")
-            count = max(1, -(-(len(data) + LOOK_AHEAD) // WINDOW))
-            parts.append(data.ljust(count * WINDOW, b"\0"))
-            sizes.append((len(data), count))
+            data = laid_out(text)
+            parts.append(data)
+            sizes.append((len(data.rstrip(b"\0")), len(data) // WINDOW))
         found = self.windows(np.frombuffer(b"".join(parts) + bytes(LOOK_AHEAD), np.uint8))
         out, at = np.empty((len(texts), found.shape[1])), 0
         for i, (size, count) in enumerate(sizes):
@@ -166,8 +173,8 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         languages, windows = [], []
         for doc_id, language, text in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "lang", "text"))):
-            data = text.lower().encode("utf-8", "replace")
-            count = max(1, -(-(len(data) + LOOK_AHEAD) // WINDOW))
+            data = laid_out(text)
+            count = len(data) // WINDOW
             rng = np.random.default_rng(abs(doc_id or 0))
             for k in rng.choice(count, min(count, WINDOWS_A_DOCUMENT), replace=False):
                 piece = data[k * WINDOW : (k + 1) * WINDOW + LOOK_AHEAD]
@@ -177,8 +184,8 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learned(docs: DataFrame) -> Network | None:
-    """Fit on at most ``MOST_DOCUMENTS`` documents, of each language those with the least
-    hashes of their ids, ``WINDOWS_A_DOCUMENT`` windows from anywhere in each. Only
+    """Fit on about ``DOCUMENTS_A_LANGUAGE`` documents of each language and ``MOST_DOCUMENTS`` in
+    all, those whose hash of the id is below the share wanted, ``WINDOWS_A_DOCUMENT`` windows from anywhere in each. Only
     rows with a language and crc32 of the id modulo 3 not 1 are used; without any: None.
     """
     known = docs.select(
@@ -189,18 +196,16 @@ def learned(docs: DataFrame) -> Network | None:
     known = known.where("text is not null")
     # the commonest languages, as many as the bound has room for
     room = MOST_DOCUMENTS // LEAST_DOCUMENTS_A_LANGUAGE
-    languages = sorted(r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(room).collect())
+    counts = dict(known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(room).collect())
+    languages = sorted(counts)
     if not languages:
         return None
     each = min(DOCUMENTS_A_LANGUAGE, MOST_DOCUMENTS // len(languages))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.where(F.col("lang").isin(languages)).select("doc_id", "lang")
-    some = ids.withColumn("place", place).where(F.col("place") <= each).select("doc_id").distinct()
-    # at most MOST_DOCUMENTS ids, so they may be broadcast
+    shares = F.create_map(*[F.lit(x) for lang in languages for x in (lang, each / counts[lang])])
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(HASH_STEPS)) < shares[F.col("lang")] * HASH_STEPS
     rows = (
-        known.join(F.broadcast(some), "doc_id")
+        known.where(chosen)
         .mapInArrow(_sampled, "lang string, window binary")
-        .where(F.col("lang").isin(languages))
         .orderBy("lang", "window")
         .collect()
     )
