@@ -7,48 +7,27 @@ from pyspark.sql import functions as F
 
 from lumenads.schemas import DAY_PARTITION, HOUR_PARTITION
 
-# A right-hand key with more rows than this is spread over several tasks.
-HOT_ROWS = 1_000_000
-# At most this many keys take the spread path, which bounds what is broadcast;
-# further hot keys stay on the plain path and still give the same rows.
-HOT_KEYS = 1_000
-SALTS = 64
-
-
-def spread_left_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys,
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Left join that survives a key holding a large share of the right side.
+# Left rows without a key are dealt over this many partitions of the anti join.
+SPREAD = 1_024
+
+
+def spread_left_join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """Left join that survives a hot key on either side and rows without a key.
 
-    Adaptive execution splits a skewed left side of a left join, never the
-    right one. Keys with very many right rows are therefore joined apart: they
-    have a match by construction, so that part is an inner join in which the
-    right rows are dealt over ``salts`` and the left rows are repeated per salt.
+    An inner join, of which adaptive execution splits skewed partitions on both
+    sides, united with the left rows that have no partner. Those are found
+    against the different right keys, which are reduced inside each task, so no
+    key is hot there; left rows with a null key match nothing and are dealt out
+    by their other columns.
     """
     keys = list(keys)
-    hot = (
-        right.where(_all_present(keys))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") >= hot_rows)
-        .orderBy(F.desc("_rows"), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys)
-    )
-    few = F.broadcast(hot)
-    cold = left.join(few, keys, "left_anti").join(right.join(few, keys, "left_anti"), keys, "left")
-    value_columns = [c for c in right.columns if c not in keys]
-    deal = F.pmod(F.xxhash64(*value_columns), F.lit(salts)).cast("int")
-    hot_right = right.join(few, keys, "left_semi").withColumn("_salt", deal)
-    hot_left = left.join(few, keys, "left_semi").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    spread = hot_left.join(hot_right, [*keys, "_salt"], "inner").drop("_salt")
-    return cold.unionByName(spread.select(*cold.columns))
+    matched = left.join(right, keys, "inner")
+    present = _all_present(keys)
+    deal = F.when(present, F.lit(-1)).otherwise(F.pmod(F.xxhash64(*left.columns), F.lit(SPREAD)).cast("int"))
+    known = right.where(present).select(*keys).distinct().withColumn("_deal", F.lit(-1))
+    lone = left.withColumn("_deal", deal).join(known, [*keys, "_deal"], "left_anti").drop("_deal")
+    nothing = {c: F.lit(None).cast(right.schema[c].dataType) for c in right.columns if c not in keys}
+    return matched.unionByName(lone.withColumns(nothing).select(*matched.columns))
 
 
 def _all_present(keys) -> Column:
@@ -62,7 +41,6 @@ def attach_clicks(
     impressions: DataFrame,
     clicks: DataFrame,
     partition=HOUR_PARTITION,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Hourly fact: impressions with the clicks of the same partition."""
     side = clicks.withColumnRenamed("timestamp", "click_timestamp")
@@ -83,7 +61,6 @@ def attach_clicks(
         impressions.withColumnRenamed("timestamp", "impression_timestamp"),
         side,
         ["impression_id", *partition],
-        hot_rows,
     )
     return joined.withColumn("is_click", F.col("click_id").isNotNull())
 
@@ -92,7 +69,6 @@ def attach_conversions(
     facts: DataFrame,
     conversions: DataFrame,
     partition=DAY_PARTITION,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Daily fact: the hourly fact with the conversions of the same partition."""
     side = conversions.withColumnRenamed("timestamp", "conversion_timestamp")
@@ -110,7 +86,7 @@ def attach_conversions(
         if c in side.columns
     ]
     side = side.select("impression_id", *partition, *kept)
-    joined = spread_left_join(facts, side, ["impression_id", *partition], hot_rows)
+    joined = spread_left_join(facts, side, ["impression_id", *partition])
     return joined.withColumn("is_conversion", F.col("conversion_id").isNotNull())
 
 
@@ -137,23 +113,17 @@ def attribute_within_window(facts: DataFrame, conversions: DataFrame) -> DataFra
     outside the window attach to nothing; the impression row stays.
     """
     day_ms = 86_400_000
-    stamped = facts.select("impression_id", "impression_timestamp").distinct()
-    conv = conversions.withColumnRenamed("timestamp", "conversion_timestamp")
-    lag = F.col("conversion_timestamp") - F.col("impression_timestamp")
-    inside = (lag >= 0) & (lag <= _window_days() * F.lit(day_ms))
-    valid = conv.join(stamped, "impression_id", "inner").where(inside)
-    keep = [
-        "impression_id",
-        "impression_timestamp",
+    conv = conversions.select(
+        F.col("impression_id").alias("_impression"),
         "conversion_id",
         "conversion_type",
         "conversion_value",
         "attribution_window",
-        "conversion_timestamp",
-    ]
-    joined = spread_left_join(
-        facts, valid.select(*keep), ["impression_id", "impression_timestamp"]
+        F.col("timestamp").alias("conversion_timestamp"),
     )
+    lag = F.col("conversion_timestamp") - F.col("impression_timestamp")
+    inside = (lag >= 0) & (lag <= _window_days() * F.lit(day_ms))
+    joined = facts.join(conv, (F.col("impression_id") == F.col("_impression")) & inside, "left").drop("_impression")
     return joined.withColumn("is_conversion", F.col("conversion_id").isNotNull())
 
 
