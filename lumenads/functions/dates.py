@@ -53,11 +53,12 @@ def day_type(column) -> Column:
 
 
 def epoch_normalise(column) -> Column:
-    """Epoch in seconds, milliseconds or nanoseconds, told apart by magnitude, as a timestamp."""
+    """Epoch in seconds, milli-, micro- or nanoseconds, told apart by magnitude, as a timestamp."""
     value = F.col(column) if isinstance(column, str) else column
     size = F.abs(value)
     micros = (
         F.when(size >= 10**17, F.call_function("div", value, F.lit(1000)))
+        .when(size >= 10**14, value)
         .when(size >= 10**11, value * 1000)
         .otherwise(value * 1000000)
     )

@@ -11,15 +11,16 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenads.functions.text import DAILY_TABLE, HOURLY_TABLE
 
 # Task code travels by value, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Query vectors scored in one pass over the corpus; more are taken in blocks
-# of this many, so that what is shipped to every task stays bounded.
+# Queries of one block and corpus rows of one slice; a task scores a block against a slice.
 QUERY_BLOCK = 1024
+SLICE_ROWS = 8192
 # Corpus rows scored at once inside a task.
 CHUNK = 2048
 ALL_TABLES = (HOURLY_TABLE, DAILY_TABLE)
@@ -58,74 +59,79 @@ def vector_topk(
 ) -> DataFrame:
     """The ``k`` best corpus rows per query vector, ties by smaller id.
 
-    ``queries`` has ``query_id`` and ``query_vector``. Each task multiplies its
-    corpus batches with the block of queries and keeps its own best ``k`` per
-    query, so it emits at most ``k`` rows per query and never all pairs; one
-    window over those partial winners finishes the job. Scores are rounded
-    before ranking so that a different summation order cannot swap rows.
+    ``queries`` has ``query_id`` and ``query_vector``; ids may be of any type that
+    sorts. Queries are packed into blocks and corpus rows into slices, both of
+    bounded size, and every block meets every slice in one join of packed rows.
+    A task keeps the best ``k`` per query of its slice, so it never emits all pairs;
+    one window over those partial winners finishes the job. The corpus is read
+    once, whatever the number of queries, and nothing passes through the driver
+    but the two counts. Scores are rounded before ranking so that a different
+    summation order cannot swap rows.
     """
-    numbered = queries.select(
-        "query_id", F.col("query_vector").cast("array<double>").alias("query_vector")
+    rows = corpus.where(F.col(vector_column).isNotNull() & F.col(id_column).isNotNull()).select(
+        F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("vector")
     )
-    parts = []
-    last = None
-    while True:
-        page = numbered if last is None else numbered.where(F.col("query_id") > F.lit(last))
-        rows = page.orderBy("query_id").limit(QUERY_BLOCK).collect()
-        if not rows:
-            break
-        ids = [row["query_id"] for row in rows]
-        matrix = np.array([row["query_vector"] for row in rows], dtype=np.float64)
-        parts.append(_partial_topk(corpus, ids, matrix, k, metric, id_column, vector_column, digits))
-        last = ids[-1]
-        if len(rows) < QUERY_BLOCK:
-            break
-    if not parts:
-        return corpus.sparkSession.createDataFrame(
-            [], f"query_id bigint, {id_column} bigint, score double, rank int"
-        )
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
+    asked = queries.where(F.col("query_vector").isNotNull() & F.col("query_id").isNotNull()).select(
+        F.col("query_id").alias("id"), F.col("query_vector").cast("array<double>").alias("vector")
+    )
+    slices, slice_count = _packed(rows, "slice", SLICE_ROWS)
+    blocks, _ = _packed(asked, "block", QUERY_BLOCK)
+    tasks = (
+        blocks.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slice_count - 1))))
+        .withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors"})
+        .join(slices, "slice")
+        .repartition("slice", "block")
+    )
+    shape = T.StructType(
+        [
+            T.StructField("query_id", asked.schema["id"].dataType),
+            T.StructField(id_column, rows.schema["id"].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    merged = tasks.mapInPandas(_best_of_slices(k, metric, digits, id_column), shape)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), id_column)
     return merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _partial_topk(corpus, ids, matrix, k, metric, id_column, vector_column, digits):
-    context = corpus.sparkSession.sparkContext
-    shipped = context.broadcast((np.asarray(ids, dtype=np.int64), matrix))
+def _packed(rows: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
+    """Rows dealt by a hash of their id into groups of about ``size``, one row each."""
+    groups = max(1, -(-rows.count() // size))
+    dealt = rows.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+    packed = dealt.groupBy(name).agg(F.collect_list("id").alias("ids"), F.collect_list("vector").alias("vectors"))
+    return packed, groups
+
+
+def _best_of_slices(k: int, metric: str, digits: int, id_column: str):
     score_of = _SCORES[metric]
 
+    def matrix(vectors) -> np.ndarray:
+        return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, query_matrix = shipped.value
-        kept = None
         for batch in batches:
-            for start in range(0, len(batch), CHUNK):
-                piece = batch.iloc[start : start + CHUNK]
-                vectors = np.stack(piece[vector_column].to_numpy()).astype(np.float64)
-                row_ids = piece[id_column].to_numpy(dtype=np.int64)
-                pool_ids = np.broadcast_to(row_ids, (len(query_ids), len(row_ids)))
-                pool_scores = np.round(score_of(vectors, query_matrix), digits).T
-                if kept is not None:
-                    pool_ids = np.concatenate([kept[0], pool_ids], axis=1)
-                    pool_scores = np.concatenate([kept[1], pool_scores], axis=1)
-                order = np.lexsort((pool_ids, -pool_scores), axis=1)[:, :k]
-                kept = (
-                    np.take_along_axis(pool_ids, order, axis=1),
-                    np.take_along_axis(pool_scores, order, axis=1),
+            for row in batch.itertuples():
+                ids, vectors, queries = np.asarray(row.ids), matrix(row.vectors), matrix(row.query_vectors)
+                order = np.argsort(ids, kind="stable")
+                ids, vectors = ids[order], vectors[order]
+                # the place in id order stands for the id, so ids need not be numbers
+                places, scores = np.zeros((len(queries), 0), np.int64), np.zeros((len(queries), 0))
+                for start in range(0, len(ids), CHUNK):
+                    piece = np.arange(start, min(start + CHUNK, len(ids)))
+                    places = np.concatenate([places, np.broadcast_to(piece, (len(queries), len(piece)))], axis=1)
+                    new = np.round(score_of(vectors[piece], queries), digits).T
+                    scores = np.concatenate([scores, new], axis=1)
+                    kept = np.lexsort((places, -scores), axis=1)[:, :k]
+                    places, scores = np.take_along_axis(places, kept, axis=1), np.take_along_axis(scores, kept, axis=1)
+                yield pd.DataFrame(
+                    {
+                        "query_id": np.repeat(np.asarray(row.query_ids), places.shape[1]),
+                        id_column: ids[places.ravel()],
+                        "score": scores.ravel(),
+                    }
                 )
-        if kept is not None:
-            width = kept[0].shape[1]
-            yield pd.DataFrame(
-                {
-                    "query_id": np.repeat(query_ids, width),
-                    id_column: kept[0].ravel(),
-                    "score": kept[1].ravel(),
-                }
-            )
-
-    slim = corpus.where(F.col(vector_column).isNotNull()).select(id_column, vector_column)
-    return slim.mapInPandas(best, f"query_id bigint, {id_column} bigint, score double")
+
+    return best
 
 
 def group_centroids(corpus: DataFrame, group: str, vector_column: str = "embedding") -> DataFrame:

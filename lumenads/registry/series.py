@@ -49,25 +49,24 @@ def _stream(spark, d):
 
 
 def _drained(spark, d, width, lateness):
-    out = W.tumbling_sum(_stream(spark, d), "ts", F.col("value").cast("decimal(18,4)"), width=width, lateness=lateness)
+    amount = F.col("value").cast("decimal(18,4)")
+    out = W.tumbling_sum(_stream(spark, d), "ts", amount, width=width, lateness=lateness)
     path = shared_dir(spark, "stream")
     W.drain_to_parquet(out, path, shared_dir(spark, "stream-state")).awaitTermination()
-    return spark.read.schema(out.schema).parquet(path)
+    W.flush_open_windows(events(spark, d), path, "ts", amount, width=width, lateness=lateness)
+    return W.drained(spark, path, out.schema)
 
 
-def _closed(width_minutes, late_minutes):
-    """Windows the watermark has passed when the stream has been drained."""
-    w = f"time_bucket(INTERVAL {width_minutes} MINUTE, ts)"
-    return f"""WITH g AS (SELECT {w} AS window_start, {_SUM} AS total FROM events GROUP BY 1)
-SELECT * FROM g WHERE window_start + INTERVAL {width_minutes} MINUTE <= (SELECT date_trunc('millisecond', MAX(ts)) - INTERVAL {late_minutes} MINUTE FROM events)"""
+def _windows(width_minutes):
+    return f"SELECT time_bucket(INTERVAL {width_minutes} MINUTE, ts) AS window_start, {_SUM} AS total FROM events GROUP BY 1"
 
 
-@register("R1_tumbling_sum_stream", _closed(5, 10))
+@register("R1_tumbling_sum_stream", _windows(5))
 def _(spark, d):
     return _drained(spark, d, "5 minutes", "10 minutes")
 
 
-@register("R2_late_data", _closed(60, 1440))
+@register("R2_late_data", _windows(60))
 def _(spark, d):
     return _drained(spark, d, "60 minutes", "1440 minutes")
 
@@ -263,7 +262,8 @@ _INGEST_SHAPE = "event_id string, timestamp bigint, user_id string, bid_price do
 
 
 def _as_lines(spark, d, broken):
-    """Events as JSON lines; purchases arrive cut off and cannot be parsed."""
+    """Events as JSON lines. If ``broken``, conversions arrive cut off, clicks leave a blank
+    line and a record without a time behind."""
     rows = ad_events(spark, d)
     record = F.to_json(
         F.struct(
@@ -273,19 +273,24 @@ def _as_lines(spark, d, broken):
     )
     cut = F.when(F.col("event_type") == "conversion", F.substring(record, 1, 20)).otherwise(record)
     path = shared_dir(spark, "lines")
-    rows.select((cut if broken else record).alias("value")).write.text(path)
+    lines = F.array(record)
+    if broken:
+        timeless = F.to_json(F.struct(F.col("event_id").cast("string").alias("event_id"), "user_id"))
+        lines = F.when(F.col("event_type") == "click", F.array(cut, F.lit(""), timeless)).otherwise(F.array(cut))
+    rows.select(F.explode(lines).alias("value")).write.text(path)
     return path
 
 
 @register("A12_ndjson_ingest", f"""WITH {EV} SELECT strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day,
- COUNT(*) AS n, CAST(SUM(bid_price) AS DOUBLE) AS bids, (SELECT COUNT(*) FROM ev WHERE event_type = 'conversion') AS rejects FROM ev WHERE event_type <> 'conversion' GROUP BY 1, 2, 3""")
+ COUNT(*) AS n, CAST(SUM(bid_price) AS DOUBLE) AS bids, (SELECT COUNT(*) FILTER (WHERE event_type = 'conversion') + 2 * COUNT(*) FILTER (WHERE event_type = 'click') FROM ev) AS rejects FROM ev WHERE event_type <> 'conversion' GROUP BY 1, 2, 3""")
 def _(spark, d):
     sink, errors = shared_dir(spark, "landed"), shared_dir(spark, "rejected")
     lines = I.read_lines(spark, _as_lines(spark, d, True))
     I.ndjson_ingest(lines, StructType.fromDDL(_INGEST_SHAPE), sink, errors, shared_dir(spark, "state"), True).awaitTermination()
-    parts = "year string, month string, day string, batch string"
+    batch = "stream string, run string, batch string"
+    parts = f"year string, month string, day string, hour string, {batch}"
     landed = spark.read.schema(f"{_INGEST_SHAPE}, {parts}").parquet(sink)
-    rejects = spark.read.schema("line string, batch string").parquet(errors).agg(F.count(F.lit(1)).alias("rejects"))
+    rejects = spark.read.schema(f"line string, {batch}").parquet(errors).agg(F.count(F.lit(1)).alias("rejects"))
     return landed.groupBy("year", "month", "day").agg(
         F.count(F.lit(1)).alias("n"), money_sum("bid_price").alias("bids")
     ).crossJoin(F.broadcast(rejects))
@@ -312,7 +317,7 @@ def _(spark, d):
     I.event_router(stream, sinks, shared_dir(spark, "router-state"), True).awaitTermination()
     out = None
     for name, path in sinks.items():
-        part = spark.read.schema("event_id string, user_id string").parquet(f"{path}/batch=*").agg(
+        part = spark.read.schema("event_id string, user_id string").parquet(path).agg(
             F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users")
         ).withColumn("kind", F.lit(name))
         out = part if out is None else out.unionByName(part)

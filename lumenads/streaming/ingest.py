@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,25 +11,32 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lumenads.functions.dates import epoch_normalise
 from lumenads.operators.quality import event_type_of
-from lumenads.schemas import CLICKS, CONVERSIONS, DAY_PARTITION, IMPRESSIONS
+from lumenads.schemas import CLICKS, CONVERSIONS, HOUR_PARTITION, IMPRESSIONS
+from lumenads.sources.files import write_raw
 
 TRIGGER = "60 seconds"
-MAX_BYTES = 64 * 1024 * 1024
 CORRUPT = "_corrupt"
 
 
-def read_lines(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Raw text lines as a stream, a bounded volume of new files per micro-batch."""
-    return spark.readStream.option("maxBytesPerTrigger", max_bytes).text(path)
+def read_lines(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """Raw text lines as a stream; all new files per micro-batch, or about ``max_bytes``."""
+    reader = spark.readStream
+    return (reader if max_bytes is None else reader.option("maxBytesPerTrigger", max_bytes)).text(path)
 
 
-def parse_json(lines: DataFrame, schema, column: str = "value") -> DataFrame:
-    """Typed record and, for a line that does not parse, the line itself."""
+def parse_json(lines: DataFrame, schema, column: str = "value", time: str = "timestamp") -> DataFrame:
+    """Typed record and, for a line that is blank, does not parse or has no usable event
+    time, the line itself."""
     shape = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
     parsed = F.from_json(
         F.col(column), shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     )
-    return lines.select(F.col(column).alias("_line"), parsed.alias("_r")).select("_line", "_r.*")
+    rows = lines.select(F.col(column).alias("_line"), parsed.alias("_r"))
+    unusable = F.col("_r").isNull()
+    if time in schema.fieldNames():
+        unusable = unusable | epoch_normalise(F.col(f"_r.{time}").try_cast("bigint")).isNull()
+    failed = F.coalesce(f"_r.{CORRUPT}", F.when(unusable, F.coalesce("_line", F.lit(""))))
+    return rows.select("_line", *(F.col(f"_r.{f.name}") for f in schema.fields), failed.alias(CORRUPT))
 
 
 def good(parsed: DataFrame) -> DataFrame:
@@ -51,40 +60,70 @@ def with_hour_partition(df: DataFrame, column: str = "timestamp") -> DataFrame:
     )
 
 
-def _append_once(df: DataFrame, root: str, batch_id: int, partitions=()) -> None:
-    """Write one micro-batch into folders of its own below the partitions.
+BATCH_FOLDERS = ("stream", "run", "batch")
+
+
+class Batches:
+    """Writes the micro-batches of one stream, each into folders of its own.
 
-    A batch replayed after a failure replaces the folders it left half done,
-    so the sink stays free of duplicates and other batches are not touched.
+    A folder carries the stream's name, the id of its query, which lasts as long as
+    its checkpoint, and the batch number. A batch replayed after a failure replaces
+    what it left half done; other streams into the same sink, and the same stream
+    on a new checkpoint, never meet it.
     """
-    if partitions:
-        df = df.hint("rebalance", *partitions)
-    (
-        df.withColumn("batch", F.lit(batch_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partitions, "batch")
-        .parquet(root)
-    )
+
+    def __init__(self, stream: str):
+        self.stream, self._run, self._started = stream, "", threading.Event()
+
+    def start(self, writer) -> StreamingQuery:
+        query = writer.start()
+        self._run = str(query.id)
+        self._started.set()
+        return query
+
+    def folders(self, batch_id: int) -> dict[str, str]:
+        self._started.wait()
+        return dict(zip(BATCH_FOLDERS, (self.stream, self._run, str(batch_id))))
+
+    def append(self, df: DataFrame, root: str, batch_id: int, partitions=()) -> None:
+        if partitions:
+            df = df.hint("rebalance", *partitions)
+        (
+            df.withColumns({k: F.lit(v) for k, v in self.folders(batch_id).items()})
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*partitions, *BATCH_FOLDERS)
+            .parquet(root)
+        )
 
 
 def ndjson_ingest(
     lines: DataFrame, schema, sink: str, errors: str, checkpoint: str, available_now: bool = False,
-    partitions=DAY_PARTITION,
+    partitions=HOUR_PARTITION, stream: str = "events",
 ) -> StreamingQuery:
-    """Land JSON lines as Parquet by event day; lines that fail go to ``errors``."""
+    """Land JSON lines as Parquet by event hour; lines that fail go to ``errors``."""
+    batches = Batches(stream)
 
     def land(batch: DataFrame, batch_id: int) -> None:
         parsed = parse_json(batch, schema).persist()
         try:
-            _append_once(with_hour_partition(good(parsed)), sink, batch_id, partitions)
-            _append_once(rejected(parsed), errors, batch_id)
+            batches.append(with_hour_partition(good(parsed)), sink, batch_id, partitions)
+            batches.append(rejected(parsed), errors, batch_id)
         finally:
             parsed.unpersist()
 
     writer = lines.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": TRIGGER}
-    return writer.trigger(**trigger).start()
+    return batches.start(writer.trigger(**trigger))
+
+
+def compact(landed: DataFrame, raw_root: str) -> None:
+    """Landed batches as the raw table of the hourly job: one folder per hour, replaced as a
+    whole, so batch folders need not be read again and small files are merged.
+
+    ``landed`` is the ingest sink, limited to the hours to rewrite.
+    """
+    write_raw(landed.drop(*BATCH_FOLDERS), raw_root)
 
 
 _SHAPES = {"impression": IMPRESSIONS, "click": CLICKS, "conversion": CONVERSIONS}
@@ -102,18 +141,19 @@ def route(records: DataFrame) -> dict[str, DataFrame]:
 
 
 def event_router(
-    records: DataFrame, sinks: dict[str, str], checkpoint: str, available_now: bool = False
+    records: DataFrame, sinks: dict[str, str], checkpoint: str, available_now: bool = False, stream: str = "events"
 ) -> StreamingQuery:
     """One stream of mixed records to one Parquet sink per kind."""
+    batches = Batches(stream)
 
     def send(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             for kind, part in route(batch).items():
-                _append_once(part, sinks[kind], batch_id)
+                batches.append(part, sinks[kind], batch_id)
         finally:
             batch.unpersist()
 
     writer = records.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": TRIGGER}
-    return writer.trigger(**trigger).start()
+    return batches.start(writer.trigger(**trigger))

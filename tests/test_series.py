@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from lumenads.operators import anomaly as A
 from lumenads.operators import series as S
 from lumenads.operators import similarity as V
-from lumenads.schemas import CLICKS, IMPRESSIONS
-from lumenads.sources.files import csv_series_read, csv_write, retention_filter, ttl_filter
+from lumenads.schemas import CLICKS, HOUR_PARTITION, IMPRESSIONS
+from lumenads.sources.files import csv_series_read, csv_write, retention_filter, scan_hive_parquet, ttl_filter
 from lumenads.streaming import ingest as I
 from lumenads.streaming import windows as W
 
@@ -132,14 +132,37 @@ def test_ndjson_ingest_lands_good_and_rejects_bad(spark, tmp_path):
     source = tmp_path / "lines"
     source.mkdir()
     good = [{"event_id": str(i), "timestamp": 1772445600000 + i, "impression_id": "i"} for i in range(3)]
-    (source / "a.json").write_text("\n".join(json.dumps(x) for x in good) + "\n{broken\n")
+    bad = ["{broken", "", json.dumps({"event_id": "9"}), json.dumps({"event_id": "8", "timestamp": "soon"})]
+    (source / "a.json").write_text("\n".join([json.dumps(x) for x in good] + bad) + "\n")
     sink, errors = str(tmp_path / "sink"), str(tmp_path / "errors")
     stream = I.read_lines(spark, str(source))
     for _ in range(2):
         I.ndjson_ingest(stream, IMPRESSIONS, sink, errors, str(tmp_path / "state"), True).awaitTermination()
     landed = spark.read.parquet(sink)
     assert landed.count() == 3 and {r.day for r in landed.select("day").collect()} == {2}
-    assert [r.line for r in spark.read.parquet(errors).collect()] == ["{broken"]
+    assert sorted(r.line for r in spark.read.parquet(errors).collect()) == sorted(bad)
+    # another stream, and the same one on a new checkpoint, add to both sinks and replace nothing
+    I.ndjson_ingest(stream, IMPRESSIONS, sink, errors, str(tmp_path / "other"), True, stream="b").awaitTermination()
+    I.ndjson_ingest(stream, IMPRESSIONS, sink, errors, str(tmp_path / "again"), True).awaitTermination()
+    assert spark.read.parquet(sink).count() == 9 and spark.read.parquet(errors).count() == 3 * len(bad)
+    hour = scan_hive_parquet(spark, sink, IMPRESSIONS, where=F.col("hour") == "10")
+    assert hour.count() == 9 and "PartitionFilters: []" not in hour._jdf.queryExecution().executedPlan().toString()
+    I.compact(scan_hive_parquet(spark, sink, IMPRESSIONS), str(tmp_path / "raw"))
+    raw = scan_hive_parquet(spark, str(tmp_path / "raw"), IMPRESSIONS)
+    assert raw.count() == 9 and {tuple(r) for r in raw.select(*HOUR_PARTITION).collect()} == {("2026", "03", "02", "10")}
+
+
+def test_flush_adds_open_windows_once(spark, tmp_path):
+    rows = [(minute(m), 1) for m in (0, 1, 12, 40, 41, 55)]
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    counts(spark, rows).write.parquet(source)
+    stream = spark.readStream.schema("ts timestamp, n long").parquet(source)
+    W.drain_to_parquet(W.tumbling_sum(stream, "ts", F.col("n")), path, str(tmp_path / "state")).awaitTermination()
+    closed = spark.read.parquet(path).count()
+    for _ in range(2):
+        W.flush_open_windows(spark.read.parquet(source), path, "ts", F.col("n"))
+    got = sorted((r.window_start, r.total) for r in spark.read.parquet(path).collect())
+    assert closed < 4 and got == [(minute(0), 2), (minute(10), 1), (minute(40), 2), (minute(55), 1)]
 
 
 def test_router_drops_fields_a_kind_does_not_own(spark):
@@ -177,9 +200,10 @@ def test_csv_series_and_retention(spark, tmp_path):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
-@pytest.mark.parametrize("block", [3, 1024])
-def test_vector_topk_equals_brute_force(spark, monkeypatch, metric, block):
+@pytest.mark.parametrize("block, slice_rows", [(3, 100), (1024, 8192)])
+def test_vector_topk_equals_brute_force(spark, monkeypatch, metric, block, slice_rows):
     monkeypatch.setattr(V, "QUERY_BLOCK", block)
+    monkeypatch.setattr(V, "SLICE_ROWS", slice_rows)
     rng = np.random.default_rng(1)
     corpus, queries = rng.normal(size=(500, 8)), rng.normal(size=(10, 8))
     corpus[7] = corpus[3]
@@ -197,6 +221,15 @@ def test_vector_topk_equals_brute_force(spark, monkeypatch, metric, block):
         assert [got[q][n + 1][0] for n in range(6)] == [i for _, i in best]
 
 
+def test_vector_topk_with_text_ids(spark):
+    corpus = spark.createDataFrame(
+        [("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", [0.0, 1.0]), ("d", None)], "vec_id string, embedding array<float>"
+    )
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, query_vector array<double>")
+    got = sorted((r["rank"], r.query_id, r.vec_id, r.score) for r in V.vector_topk(corpus, asked, 2).collect())
+    assert got == [(1, "q", "a", 1.0), (2, "q", "b", 1.0)]
+
+
 def test_vector_topk_without_queries_and_backtrace(spark):
     corpus = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
     none = spark.createDataFrame([], "query_id long, query_vector array<double>")
