@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from lumenads.functions.text import id_hash, sql_hash
 
+# Length of the short form of an answer.
 ANSWER_LENGTH = 500
 HISTORY_DAYS = 90
 
 
 def history_rows(runs: DataFrame, days: int = HISTORY_DAYS) -> DataFrame:
-    """Run records as stored: hashed user, short answer, expiry second."""
+    """Run records as stored: hashed user, expiry second, the answer whole."""
     expiry = F.unix_timestamp(F.col("timestamp")) + F.lit(days * 86400)
-    out = runs.withColumn("user_hash", id_hash("user_id")).withColumn("ttl", expiry).drop("user_id")
-    if "answer" in runs.columns:
-        out = out.withColumn("answer", F.substring("answer", 1, ANSWER_LENGTH))
-    return out
+    return runs.withColumn("user_hash", id_hash("user_id")).withColumn("ttl", expiry).drop("user_id")
+
+
+def short_answer(history: DataFrame, length: int = ANSWER_LENGTH) -> DataFrame:
+    """History with answers cut for display."""
+    return history.withColumn("answer", F.substring("answer", 1, length))
 
 
 def append(df: DataFrame, path: str) -> None:

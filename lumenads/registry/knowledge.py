@@ -16,7 +16,7 @@ from lumenads.session import shared_dir
 # --- history ----------------------------------------------------------------
 # A run per order, feedback per accepted or returned line.
 HIST = """hist AS (SELECT o_orderkey::VARCHAR AS history_id, o_orderdate AS timestamp, substr(sha256(o_custkey::VARCHAR), 1, 16) AS user_hash,
- o_orderpriority AS channel, o_orderstatus AS original_question, epoch_ms(o_orderdate) // 1000 + 7776000 AS ttl FROM orders),
+ o_orderpriority AS channel, o_orderstatus AS original_question, epoch_ms(o_orderdate) // 1000 + 7776000 AS ttl, repeat(o_orderpriority || ' ', 80) AS answer FROM orders),
  fb AS (SELECT l_orderkey::VARCHAR AS history_id, CASE WHEN l_returnflag = 'R' THEN 'negative' ELSE 'positive' END AS feedback, l_shipdate AS feedback_at,
  l_linestatus = 'F' AS trained FROM lineitem WHERE l_returnflag <> 'N')"""
 
@@ -28,6 +28,7 @@ def history(spark, d):
         F.col("o_custkey").cast("string").alias("user_id"),
         F.col("o_orderpriority").alias("channel"),
         F.col("o_orderstatus").alias("original_question"),
+        F.repeat(F.concat("o_orderpriority", F.lit(" ")), 80).alias("answer"),
     )
     return H.history_rows(runs)
 
@@ -111,6 +112,12 @@ def _(spark, d):
     return H.by_index(_turns(spark, d), "session_id", 7, ("turn_number",), descending=False)
 
 
+@register("H5_index_feedback", f"""WITH {HIST}, n AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY history_id ORDER BY feedback_at DESC, feedback DESC, trained DESC) AS rn FROM fb) WHERE rn = 1)
+SELECT h.*, n.feedback, n.feedback_at, n.trained FROM hist h JOIN n USING (history_id) WHERE n.feedback = 'negative'""")
+def _(spark, d):
+    return H.by_index(H.with_feedback(history(spark, d), feedback(spark, d)), "feedback", "negative", ("feedback_at",))
+
+
 def _turns(spark, d):
     return table(spark, d, "conversations").select(
         F.col("conv_id").alias("session_id"), F.col("turn").alias("turn_number"), "role", "text"

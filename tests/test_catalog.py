@@ -55,7 +55,8 @@ def test_history_feedback_and_status(spark):
     ).withColumn("timestamp", F.col("t").cast("timestamp")).drop("t")
     rows = H.history_rows(runs)
     first = rows.where("history_id = 'h1'").first()
-    assert len(first.answer) == 500 and len(first.user_hash) == 16
+    assert len(first.answer) == 600 and len(first.user_hash) == 16
+    assert len(H.short_answer(rows).where("history_id = 'h1'").first().answer) == 500
     assert first.ttl == 1772323200 + 90 * 86400
     notes = spark.createDataFrame(
         [("h1", "negative", 1, False), ("h1", "positive", 2, True)], "history_id string, feedback string, feedback_at int, trained boolean"
