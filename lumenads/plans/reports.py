@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -44,6 +45,12 @@ def within(facts: DataFrame, start: str, end: str) -> DataFrame:
     return facts.where(date_between(start, end, F.col("dt")))
 
 
+def monday_of(day: str) -> str:
+    """First day of the week, which a calendar of weeks may reach back to."""
+    found = date.fromisoformat(day)
+    return (found - timedelta(days=found.weekday())).isoformat()
+
+
 def kpi_summary(facts: DataFrame, start: str, end: str) -> DataFrame:
     """One row: purchase KPIs of the period."""
     return performance(within(facts, start, end), (), KPI_MEASURES, KPI_RATES)
@@ -61,14 +68,14 @@ def kpi_weekly(facts: DataFrame, start: str, end: str, strict_month: bool = True
     The calendar has one row per day of the range, which bounds its broadcast.
     """
     weeks = week_calendar(day_grid(facts.sparkSession, start, end), start, end, strict_month)
-    rows = facts.join(F.broadcast(weeks), "dt")
+    rows = within(facts, monday_of(start), end).join(F.broadcast(weeks), "dt")
     return performance(rows, ("week_start", "week_end"), KPI_MEASURES, KPI_RATES, order=("week_start",))
 
 
 def kpi_weekly_days(facts: DataFrame, start: str, end: str, strict_month: bool = True) -> DataFrame:
     """The days of each calendar week of the range."""
     weeks = week_calendar(day_grid(facts.sparkSession, start, end), start, end, strict_month)
-    rows = facts.join(F.broadcast(weeks), "dt")
+    rows = within(facts, monday_of(start), end).join(F.broadcast(weeks), "dt")
     return performance(
         rows, ("week_start", "dt"), KPI_MEASURES, ("ctr_distinct", "roas_report"), order=("week_start", "dt")
     )
@@ -116,7 +123,8 @@ def kpi_prev_week(facts: DataFrame, start: str, end: str) -> DataFrame:
         .withColumn("week_end", F.date_add("week_start", 6))
         .withColumn("dt", F.explode(F.sequence("week_start", "week_end")))
     )
-    rows = facts.join(F.broadcast(weeks.unionByName(before.select(*weeks.columns))), "dt")
+    calendar = weeks.unionByName(before.select(*weeks.columns))
+    rows = within(facts, monday_of(lead_in), end).join(F.broadcast(calendar), "dt")
     weekly = with_rates(summarise(rows, ("week_start", "week_end"), KPI_MEASURES), KPI_RATES)
     w = W.orderBy("week_start")
     shown = ("impressions_distinct", "clicks", "revenue_purchase", "roas_report")
