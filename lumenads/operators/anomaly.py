@@ -123,7 +123,7 @@ def score_band(
 
 # ---------------------------------------------------------- isolation forest
 
-_TREE_SCHEMA = "tree int, edges array<double>, path_lengths array<double>"
+_TREE_SCHEMA = "tree int, rows int, edges array<double>, path_lengths array<double>"
 
 
 def average_path(n) -> np.ndarray:
@@ -162,7 +162,8 @@ def _grow(values: np.ndarray, seed: int) -> tuple[list[float], list[float]]:
 
 
 def fit_forest(history: DataFrame, time: str, value: str, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """One row per tree. Every tree sees its own sample of at most ``sample`` rows.
+    """One row per tree. Every tree sees its own sample of at most ``sample`` rows, the
+    method's subsample size, or the whole history if that is smaller; ``rows`` says.
 
     The sample of a tree is the rows with the smallest hash of (tree, time):
     a bounded top-k per tree that is cut inside each task before the shuffle,
@@ -178,13 +179,14 @@ def fit_forest(history: DataFrame, time: str, value: str, trees: int = TREES, sa
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
         edges, lengths = _grow(pdf["value"].to_numpy(dtype=float), seed * 100_003 + tree)
-        return pd.DataFrame({"tree": [tree], "edges": [edges], "path_lengths": [lengths]})
+        return pd.DataFrame({"tree": [tree], "rows": [len(pdf)], "edges": [edges], "path_lengths": [lengths]})
 
     return drawn.select("tree", "value").groupBy("tree").applyInPandas(grow, _TREE_SCHEMA)
 
 
-def score_forest(series: DataFrame, forest: DataFrame, value: str, sample: int = SAMPLE) -> DataFrame:
-    """Score in (0, 1] per row; higher is more isolated.
+def score_forest(series: DataFrame, forest: DataFrame, value: str) -> DataFrame:
+    """Score in (0, 1] per row; higher is more isolated. Path lengths are measured by the
+    mean path in trees of as many rows as each was grown from.
 
     Trees number ``TREES`` and each has at most ``2 * SAMPLE`` leaves, so the
     collected forest is a few hundred kilobytes whatever the data size.
@@ -195,7 +197,7 @@ def score_forest(series: DataFrame, forest: DataFrame, value: str, sample: int =
     ]
     context = series.sparkSession.sparkContext
     shipped = context.broadcast(model)
-    scale = float(average_path([sample])[0])
+    scale = float(np.mean(average_path([r["rows"] for r in rows]))) or 1.0
 
     @F.pandas_udf(T.DoubleType())
     def isolation(values: pd.Series) -> pd.Series:

@@ -310,10 +310,14 @@ def _(spark, d):
     return events(spark, d).select("event_id", D.epoch_normalise(raw).alias("time"))
 
 
-@register("S13_list_text", """SELECT p_partkey, 2::BIGINT AS n, TRUE AS has_brand, '[''' || p_brand || ''', ''' || p_type || ''']' AS again FROM part""")
+@register("S13_list_text", """WITH t AS (SELECT p_partkey, p_brand, CASE WHEN p_size % 3 = 0 THEN [p_type] WHEN p_size % 3 = 1 THEN [p_brand, p_type] ELSE [p_brand, p_type, p_name] END AS items FROM part)
+SELECT p_partkey, len(items)::BIGINT AS n, list_contains(items, p_brand) AS has_brand, '[' || chr(39) || array_to_string(items, chr(39) || ', ' || chr(39)) || chr(39) || ']' AS again FROM t""")
 def _(spark, d):
-    text = X.list_to_text(F.array("p_brand", "p_type"))
-    items = X.parse_list_text(text)
+    third = F.col("p_size") % 3
+    listed = F.when(third == 0, F.array("p_type")).when(third == 1, F.array("p_brand", "p_type")).otherwise(
+        F.array("p_brand", "p_type", "p_name")
+    )
+    items = X.parse_list_text(X.list_to_text(listed))
     return table(spark, d, "part").select(
         "p_partkey", F.size(items).alias("n"), F.array_contains(items, F.col("p_brand")).alias("has_brand"),
         X.list_to_text(items).alias("again"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -494,11 +496,13 @@ def _(spark, d):
 @register("A11_ctas_hourly_rollup", f"""WITH {FACTS} SELECT campaign_id, device_type, hour, COUNT(DISTINCT impression_id) AS impressions, COUNT(DISTINCT click_id) AS clicks,
  {div('COUNT(DISTINCT click_id)', 'COUNT(DISTINCT impression_id)', 100, None, True)} AS ctr FROM facts GROUP BY 1, 2, 3""")
 def _(spark, d):
+    keys, name = ("campaign_id", "device_type", "hour"), f"lumenads_{uuid.uuid4().hex}"
     path = shared_dir(spark, "a11")
-    keys = ("campaign_id", "device_type", "hour")
-    rows = distinct_rollup(ad_facts(spark, d, (*keys, "impression_id", "click_id")), keys)
-    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    C.save_rollup(ad_facts(spark, d, (*keys, "impression_id", "click_id")), name, path, keys)
+    stored = spark.table(name)
+    # the files stay where they are; only the entry in the catalog goes
+    C.drop_table(spark, name)
+    return spark.read.schema(stored.schema).parquet(path)
 
 
 @register("A14_partition_key_hash", f"WITH {RAW} SELECT impression_id, md5(coalesce(user_id, impression_id)) AS partition_key FROM imp")

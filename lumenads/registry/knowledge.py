@@ -208,11 +208,20 @@ def _(spark, d):
 
 
 # --- evaluation -------------------------------------------------------------
-@register("E1_exact_match", "SELECT doc_id, TRUE AS same, FALSE AS longer, TRUE AS without_limit FROM documents")
+def _canonical(text):
+    bare = f"regexp_replace(regexp_replace({text}, '--[^\\n]*', '', 'g'), '(?s)/\\*.*?\\*/', '', 'g')"
+    return f"trim(regexp_replace(upper(trim(regexp_replace({bare}, '\\s+', ' ', 'g'))), ',\\s*', ', ', 'g'))"
+
+
+@register("E1_exact_match", f"""WITH t AS (SELECT doc_id, text, '-- head' || chr(10) || '  ' || upper(text) || CASE WHEN doc_id % 3 = 0 THEN ' x' ELSE '' END || '  /* tail */' AS noisy,
+ text || chr(10) || CASE WHEN doc_id % 5 = 0 THEN '-- ' ELSE '' END || ' LIMIT 1000 ;' AS limited FROM documents)
+SELECT doc_id, {_canonical('text')} = {_canonical('noisy')} AS same, {_canonical('text')} = {_canonical('limited')} AS longer,
+ {_canonical('text')} = {_canonical("trim(regexp_replace(trim(limited), '(?i)\\s+LIMIT\\s+\\d+\\s*;?\\s*$', ''))")} AS without_limit FROM t""")
 def _(spark, d):
     text = F.col("text")
-    noisy = F.concat(F.lit("-- head\n  "), F.upper(text), F.lit("  /* tail */"))
-    limited = F.concat(text, F.lit("\n LIMIT 1000 ;"))
+    odd = F.when(F.col("doc_id") % 3 == 0, " x").otherwise("")
+    noisy = F.concat(F.lit("-- head\n  "), F.upper(text), odd, F.lit("  /* tail */"))
+    limited = F.concat(text, F.lit("\n"), F.when(F.col("doc_id") % 5 == 0, "-- ").otherwise(""), F.lit(" LIMIT 1000 ;"))
     return table(spark, d, "documents").select(
         "doc_id", exact_match(text, noisy).alias("same"), exact_match(text, limited).alias("longer"),
         exact_match(text, strip_limit(limited)).alias("without_limit"),
@@ -237,7 +246,10 @@ def _(spark, d):
     return E.result_equal(left, right)
 
 
-@register("E2_result_equal_same", "SELECT COUNT(*) >= 0 AS equal, 0::BIGINT AS differing_keys FROM lineitem")
+@register("E2_result_equal_same", """WITH l AS (SELECT l_discount AS x, CAST(l_quantity AS INTEGER) AS y, l_returnflag AS z, COUNT(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+ o AS (SELECT CAST(CAST(l_discount AS VARCHAR) AS DOUBLE) AS x, l_quantity AS y, l_returnflag AS z, COUNT(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+ j AS (SELECT l.n AS a, o.n AS b FROM l FULL JOIN o ON l.x = o.x AND l.y = o.y AND l.z = o.z)
+SELECT COUNT(*) = 0 AS equal, COUNT(*) AS differing_keys FROM j WHERE COALESCE(a, 0) <> COALESCE(b, 0)""")
 def _(spark, d):
     rows = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_discount")
     shuffled = rows.select(

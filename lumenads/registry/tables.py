@@ -28,6 +28,14 @@ def _external(spark, d):
     return name
 
 
+def _read_and_dropped(spark, name, rows):
+    """Result of a query over a table that is dropped after it."""
+    path = shared_dir(spark, "from-table")
+    rows.write.parquet(path)
+    C.drop_table(spark, name)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 _YEARS = f"WITH {RAW} SELECT year, COUNT(*) AS impressions, COUNT(DISTINCT user_id) AS users FROM imp GROUP BY 1"
 
 
@@ -37,12 +45,14 @@ def _by_year(rows):
 
 @register("A7_create_external_table", _YEARS)
 def _(spark, d):
-    return _by_year(spark.table(_external(spark, d)))
+    name = _external(spark, d)
+    return _read_and_dropped(spark, name, _by_year(spark.table(name)))
 
 
 @register("A8_repair_partitions", f"WITH {RAW} SELECT DISTINCT 'year=' || year AS partition FROM imp")
 def _(spark, d):
-    return C.list_partitions(spark, _external(spark, d))
+    name = _external(spark, d)
+    return _read_and_dropped(spark, name, C.list_partitions(spark, name))
 
 
 @register("A9_catalog_checks", f"WITH {RAW} SELECT COUNT(*) > 0 AS before, COUNT(*) = 0 AS after, COUNT(DISTINCT year) AS partitions FROM imp")
@@ -59,4 +69,4 @@ def _(spark, d):
 def _(spark, d):
     name = _external(spark, d)
     require_table(spark, name)
-    return _by_year(spark.table(name))
+    return _read_and_dropped(spark, name, _by_year(spark.table(name)))

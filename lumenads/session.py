@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -40,14 +43,23 @@ def local_session(cores: str = "8", app: str = "lumenads") -> SparkSession:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
-    Executors on every machine must see it, so a machine-local folder is used
-    only when the session itself is local and names no checkpoint folder.
+    Executors on every machine must see it, so a session with other machines has
+    to name one. A local session that names none, as in a test, gets a folder of
+    its own that goes when its process ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="lumenads-")
+        root = _own_folder()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="lumenads-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder

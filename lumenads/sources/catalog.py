@@ -46,15 +46,18 @@ def dt_view(df: DataFrame, name: str | None = None) -> DataFrame:
     return dated
 
 
-def hourly_rollup(facts: DataFrame) -> DataFrame:
+ROLLUP_KEYS = ("campaign_id", "device_type")
+
+
+def hourly_rollup(facts: DataFrame, keys=ROLLUP_KEYS) -> DataFrame:
     """Campaign by device counts; impression and click ids count once."""
-    return distinct_rollup(facts, ("campaign_id", "device_type"))
+    return distinct_rollup(facts, keys)
 
 
-def save_rollup(facts: DataFrame, name: str, location: str) -> None:
+def save_rollup(facts: DataFrame, name: str, location: str, keys=ROLLUP_KEYS) -> None:
     """Store the rollup as its own snappy Parquet table."""
     (
-        hourly_rollup(facts)
+        hourly_rollup(facts, keys)
         .write.mode("overwrite")
         .option("path", location)
         .option("compression", "snappy")

@@ -107,6 +107,14 @@ def test_forest_isolates_extremes(spark):
     assert again == {r.ts: r.score for r in scored.collect()}
 
 
+def test_forest_scores_of_a_short_history(spark):
+    series = counts(spark, [(minute(5 * i), 100 + i % 7) for i in range(60)])
+    forest = A.fit_forest(series, "ts", "n")
+    assert {t.rows for t in forest.collect()} == {60}
+    scores = [r.score for r in A.score_forest(series, forest, "n").collect()]
+    assert 0.3 < min(scores) and max(scores) < 0.65
+
+
 def test_ensemble_labels_and_alert(spark):
     rows = spark.createDataFrame(
         [(minute(0), "Sudden Drop", True), (minute(5), "Sudden Spike", False), (minute(10), None, True), (minute(15), None, False)],
