@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenads.functions.metrics import half_up, ratio, summarise, with_rates
+from lumenads.sources.files import stored
 
 
 def performance(
@@ -37,10 +38,11 @@ def with_share(df: DataFrame, digits: int = 1, many_groups: bool = False, **shar
 
     With few groups a window over the aggregate reads the facts once. With
     ``many_groups`` no task may hold them all, so the totals are a one-row
-    aggregate beside the rows, at the price of a second pass over the facts.
+    aggregate beside the rows, and the rows are stored before both read them.
     """
     columns = list(dict.fromkeys(shares.values()))
     if many_groups:
+        df = stored(df, "grouped")
         totals = df.agg(*[F.sum(c).alias(f"_total_{c}") for c in columns])
         joined = df.crossJoin(F.broadcast(totals))
     else:

@@ -23,6 +23,7 @@ from lumenads.operators.performance import (
     with_share,
 )
 from lumenads.plans.reports import down, within
+from lumenads.sources.files import stored
 
 BASE = ("impressions", "clicks", "cost_full", "revenue", "conversions")
 BASE_COLUMNS = performance_needs(BASE, ("dt",))
@@ -240,7 +241,8 @@ def underperforming_ads(
     c = F.col
     ctr = ratio("clicks", "impressions", 100, None, 0.0)
     roas = ratio("revenue", "cost_full", 1, None, 0.0)
-    rated = ads.withColumn("_ctr", ctr).withColumn("_roas", roas)
+    # one row per ad, read for the averages and for the comparison with them
+    rated = stored(ads.withColumn("_ctr", ctr).withColumn("_roas", roas), "rated-ads")
     averages = rated.where(c("impressions") >= min_rows).agg(
         half_up(F.avg("_ctr"), 6).alias("average_ctr"), half_up(F.avg("_roas"), 6).alias("average_roas")
     )

@@ -16,9 +16,10 @@ from lumenads.functions.dates import (
     same_range_previous_month,
     week_calendar,
 )
-from lumenads.functions.metrics import change_rate, performance_needs, ratio, summarise, with_rates
+from lumenads.functions.metrics import change_rate, measure, performance_needs, ratio, summarise, with_rates
 from lumenads.operators.joins import with_previous
 from lumenads.operators.performance import performance
+from lumenads.sources.files import stored
 
 KPI_MEASURES = (
     "impressions_distinct",
@@ -241,34 +242,76 @@ ALERT_RULES = {
 ACTION_COLUMNS = performance_needs(KPI_MEASURES, ("dt", "store_id", "food_category", "is_conversion"))
 
 
-def _category_change(facts: DataFrame, current, previous) -> DataFrame:
-    rows = _two_periods(facts, current, previous)
-    both = with_rates(
-        summarise(rows, ("food_category", "_period"), KPI_MEASURES),
-        ("ctr_distinct", "cvr_purchase"),
-    )
-    shown = ("ctr_distinct", "cvr_purchase", "revenue_purchase")
-    at = lambda tag, v: F.max(F.when(F.col("_period") == tag, F.col(v).cast("double")))
-    wide = both.groupBy("food_category").agg(
-        *[at("current", v).alias(v) for v in shown],
-        *[at("previous", v).alias(f"prev_{v}") for v in shown],
-    )
-    return wide.select("*", *[change_rate(v, f"prev_{v}").alias(f"{v}_change") for v in shown])
+class _RuleTotals:
+    """All that the rules read, from one scan: measures by shop, category and conversion
+    type and in all, of both periods, by grouping sets. The result has one row per
+    key and period and is stored, so each rule reads it and not the facts."""
+
+    # grouping id of a set: a bit per key, in this order, that is summed over
+    KEYS = ("store_id", "food_category", "conversion_type")
+
+    def __init__(self, facts: DataFrame, current, previous, measures):
+        self.measures = tuple(dict.fromkeys((*KPI_MEASURES, *measures)))
+        sets = [(key, "_period") for key in self.KEYS] + [("_period",)]
+        totals = (
+            _two_periods(facts, current, previous)
+            .groupingSets(sets, *self.KEYS, "_period")
+            .agg(
+                F.grouping_id().alias("_set"),
+                *[measure(m) for m in self.measures],
+                F.count_if("is_conversion").alias("n"),
+            )
+        )
+        self.rows = stored(totals, "rule-totals")
 
+    def by(self, *keys: str) -> DataFrame:
+        out = sum(2 ** (len(self.KEYS) - i) for i, key in enumerate(self.KEYS) if key not in keys)
+        return self.rows.where(F.col("_set") == out).select(*keys, "_period", *self.measures, "n")
 
-def _funnel_change(facts: DataFrame, current, previous) -> DataFrame:
-    now = funnel_rates(funnel_counts(facts, *current)).select(
-        "stage", F.col("percent_of_previous").alias("now")
-    )
-    before = funnel_rates(funnel_counts(facts, *previous)).select(
-        "stage", F.col("percent_of_previous").alias("before")
-    )
-    return now.join(before, "stage", "inner")
+    def shops(self, having) -> DataFrame:
+        now = self.by("store_id").where(F.col("_period") == "current")
+        return with_rates(now.select("store_id", *KPI_MEASURES), ("roas_report",)).where(having)
+
+    def categories(self) -> DataFrame:
+        both = with_rates(
+            self.by("food_category").select("food_category", "_period", *KPI_MEASURES),
+            ("ctr_distinct", "cvr_purchase"),
+        )
+        shown = ("ctr_distinct", "cvr_purchase", "revenue_purchase")
+        at = lambda tag, v: F.max(F.when(F.col("_period") == tag, F.col(v).cast("double")))
+        wide = both.groupBy("food_category").agg(
+            *[at("current", v).alias(v) for v in shown],
+            *[at("previous", v).alias(f"prev_{v}") for v in shown],
+        )
+        return wide.select("*", *[change_rate(v, f"prev_{v}").alias(f"{v}_change") for v in shown])
+
+    def overall(self) -> DataFrame:
+        both = with_rates(self.by().select("_period", "cost_click", "clicks"), ("cpc",))
+        return _side_by_side(both, ("cpc",)).withColumn("cpc_change", change_rate("cpc", "prev_cpc"))
+
+    def funnel(self) -> DataFrame:
+        counts = self.by("conversion_type")
+
+        def rates(period: str, name: str) -> DataFrame:
+            rows = counts.where((F.col("_period") == period) & F.col("conversion_type").isNotNull())
+            return funnel_rates(rows.select("conversion_type", "n")).select(
+                "stage", F.col("percent_of_previous").alias(name)
+            )
+
+        return rates("current", "now").join(rates("previous", "before"), "stage", "inner")
+
+    def goals(self, targets: dict[str, float]) -> DataFrame:
+        now = self.by().where(F.col("_period") == "current")
+        return _attained(now.agg(*[F.max(name).alias(name) for name in targets]), targets)
 
 
 def attainment(facts: DataFrame, start: str, end: str, targets: dict[str, float]) -> DataFrame:
     """Actual, target and percent per named KPI of the period."""
-    total = summarise(within(facts, start, end), (), tuple(targets))
+    return _attained(summarise(within(facts, start, end), (), tuple(targets)), targets)
+
+
+def _attained(total: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """One row per target from the one row of actual values."""
     entries = F.array(
         *[
             F.struct(
@@ -289,20 +332,10 @@ def action_items(
 ) -> DataFrame:
     """Rule table: what to do, for what, and the numbers it rests on."""
     limit = {**ALERT_RULES, **(rules or {})}
-    shops = performance(
-        within(facts, *current), ("store_id",), KPI_MEASURES, ("roas_report",),
-        having=F.col("impressions_distinct") >= limit["min_impressions"],
-    )
-    categories = _category_change(facts, current, previous)
-    overall = _side_by_side(
-        with_rates(
-            summarise(_two_periods(facts, current, previous), ("_period",), ("cost_click", "clicks")),
-            ("cpc",),
-        ),
-        ("cpc",),
-    ).withColumn("cpc_change", change_rate("cpc", "prev_cpc"))
-    funnel = _funnel_change(facts, current, previous)
-    goals = attainment(facts, *current, targets)
+    totals = _RuleTotals(facts, current, previous, targets)
+    shops = totals.shops(F.col("impressions_distinct") >= limit["min_impressions"])
+    categories, overall, funnel = totals.categories(), totals.overall(), totals.funnel()
+    goals = totals.goals(targets)
 
     c = F.col
     roas = c("roas_report")
@@ -381,11 +414,10 @@ def highlights(
     """Best and worst of the period: one row per kind that has a candidate."""
     limit = {**ALERT_RULES, **(rules or {})}
     c = F.col
-    categories = _category_change(facts, current, previous)
-    shops = performance(
-        within(facts, *current), ("store_id",), KPI_MEASURES, ("roas_report",),
-        having=(c("impressions_distinct") >= limit["min_impressions"])
-        & (c("roas_report") <= limit["roas_stop"]),
+    totals = _RuleTotals(facts, current, previous, targets)
+    categories = totals.categories()
+    shops = totals.shops(
+        (c("impressions_distinct") >= limit["min_impressions"]) & (c("roas_report") <= limit["roas_stop"])
     )
 
     def best(kind, name, value, highest: bool, eligible=None):
@@ -407,7 +439,7 @@ def highlights(
             best("best_growth", category, c("revenue_purchase_change"), True),
             best("worst_drop", category, drop, False, drop <= -min(limit["ctr_drop"], limit["cvr_drop"])),
         ),
-        picked(attainment(facts, *current, targets), best("best_target", c("kpi"), c("percent"), True)),
+        picked(totals.goals(targets), best("best_target", c("kpi"), c("percent"), True)),
         picked(shops, best("worst_shop", shop, c("roas_report"), False)),
     ]
     return reduce(DataFrame.unionByName, parts)
