@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lumenads.llm.tables import table
 
@@ -88,7 +87,8 @@ def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = [n for n in batch.schema.names if n != "__text"]
         patterns = [sum(v * 3**i for i, v in enumerate(votes(x.as_py()))) for x in batch.column("__text")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(patterns, pa.int32())], names=[*names, "pattern"])
+        columns = [*(batch.column(n) for n in names), pa.array(patterns, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=[*names, "pattern"])
 
 
 def estimated(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -188,14 +188,34 @@ def _scored(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float)
     scorer = Scorer(weights, bias)
     for batch in batches:
         names = [n for n in batch.schema.names if n != "__text"]
-        both = [(sum(v * 3**i for i, v in enumerate(votes(t))), scorer.score(t)) for t in batch.column("__text").to_pylist()]
-        columns = [pa.array([p for p, _ in both], pa.int32()), pa.array([s for _, s in both], pa.float64())]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns], names=[*names, "pattern", "score"])
+        scores = pa.array([scorer.score(x.as_py()) for x in batch.column("__text")], pa.float64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), scores], names=[*names, "score"])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("__text"))
+
+
+def posteriors(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(pattern, posterior), at most 3^8 rows, from the votes on all rows of ``docs``; and the
+    number of these."""
+    voted = _texts(docs).select("__text").mapInArrow(_voted, "pattern int")
+    counted = sorted(tuple(r) for r in voted.groupBy("pattern").count().collect())
+    patterns, counts = np.array([p for p, _ in counted], np.int64), np.array([c for _, c in counted], np.int64)
+    posterior, _ = estimated(patterns, counts)
+    rows = list(zip(patterns.tolist(), posterior.tolist()))
+    return docs.sparkSession.createDataFrame(rows, "pattern int, posterior double"), int(counts.sum())
+
+
+def labelled(docs: DataFrame, of_pattern: DataFrame) -> DataFrame:
+    """doc_id, text and posterior of every row of ``docs``."""
+    schema = "doc_id long, text string, pattern int"
+    both = _texts(docs).select("doc_id", F.col("__text").alias("text"), "__text").mapInArrow(_voted, schema)
+    return both.join(F.broadcast(of_pattern), "pattern").select("doc_id", "text", "posterior")
 
 
 def classified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, posterior (of good, by the labellers), score (0 to 1) and predicted (1 if
-    score >= 0.5) of every row of ``docs``.
+    """doc_id, score (0 to 1) and predicted (1 if score >= 0.5) of every row of ``docs``.
 
     Labellers and scorer read whole texts of all documents; patterns are counted
     over all. The scorer learns from about ``sample`` documents, those whose hash of
@@ -203,31 +223,14 @@ def classified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     back repeated; an empty table gives no rows. Columns other than doc_id and text
     are not read.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    voted = texts.select(F.col("text").alias("__text")).mapInArrow(_voted, "pattern int")
-    counted = sorted(tuple(r) for r in voted.groupBy("pattern").count().collect())
-    patterns, counts = np.array([p for p, _ in counted], np.int64), np.array([c for _, c in counted], np.int64)
-    posterior, _ = estimated(patterns, counts)
-    of_pattern = docs.sparkSession.createDataFrame(
-        list(zip(patterns.tolist(), posterior.tolist())), "pattern int, posterior double"
-    )
-    chosen = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(HASH_STEPS)) < sample / max(1, counts.sum()) * HASH_STEPS)
-    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("pattern", T.IntegerType())])
-    learning = (
-        chosen.select("text", F.col("text").alias("__text"))
-        .mapInArrow(_voted, schema)
-        .join(F.broadcast(of_pattern), "pattern")  # at most 3^8 rows
-        .select("posterior", "text")
-        .mapInArrow(_features, "posterior double, places array<int>, shares array<float>")
-    )
-    rows = sorted((r.posterior, tuple(r.places), tuple(r.shares)) for r in learning.collect())
+    of_pattern, size = posteriors(docs)
+    share = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(HASH_STEPS)) < sample / max(1, size) * HASH_STEPS
+    learning = labelled(docs.where(share), of_pattern).select("posterior", "text")
+    found = learning.mapInArrow(_features, "posterior double, places array<int>, shares array<float>").collect()
+    rows = sorted((r.posterior, tuple(r.places), tuple(r.shares)) for r in found)
     weights, bias = trained([(p, s) for _, p, s in rows], np.array([a for a, _, _ in rows]))
-    found = texts.select("doc_id", F.col("text").alias("__text")).mapInArrow(
-        lambda batches: _scored(batches, weights, bias), "doc_id long, pattern int, score double"
-    )
-    return found.join(F.broadcast(of_pattern), "pattern").select(
-        "doc_id", "posterior", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
-    )
+    scores = _texts(docs).mapInArrow(lambda batches: _scored(batches, weights, bias), "doc_id long, score double")
+    return scores.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
