@@ -20,7 +20,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenads.llm.tables import remainder, table
@@ -44,8 +44,8 @@ REPORTS = (
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = "oihtnr"
 GIVEN_OUT = "iIhHdqA"  # plain and aimed insult, plain and aimed threat, denied, quoted, aimed afterwards
-PRIOR_WEIGHTS = (3.0, 4.0, 2.0, 3.5, 0.5, 0.5, 0.5)
-PRIOR_BIAS = -3.0
+PRIOR_WEIGHTS = (3.0, 4.5, 2.0, 4.0, 0.5, 0.5, 0.5)
+PRIOR_BIAS = -2.5
 
 # Bounds of the labelled sample.
 TOXIC_ROWS = 1_500
@@ -58,6 +58,7 @@ LEAST_SHARE = 0.01
 LEAST_ODDS = 50.0
 SAME_GROWTH = 0.95
 KEPT_WORDS = 300_000
+HASH_STEPS = 1 << 30
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[^.!?;:,\n]+")
@@ -197,21 +198,18 @@ def marks(toxic: list[set[str]], clean: list[set[str]]) -> tuple[frozenset[str],
         return frozenset(), frozenset()
     least = max(LEAST_DOCUMENTS, int(LEAST_SHARE * len(toxic)))
 
-    def telling(documents: list[set[str]], others: list[set[str]]) -> set[str]:
-        here = Counter(x for d in documents for x in d)
-        kept = {x for x, n in here.items() if n >= least}
-        there = Counter(x for d in others for x in d if x in kept)
-        return {
-            x
-            for x in kept
-            if here[x] / len(documents) >= LEAST_ODDS * (there[x] + (0.01 if not there[x] else 0)) / len(others)
-        }
+    def telling(parts) -> set[str]:
+        """Of what ``parts`` makes of a document; one document's parts are held at a time."""
+        here = Counter(x for d in toxic for x in parts(d))
+        kept = {x: n for x, n in here.items() if n >= least}
+        there = Counter(x for d in clean for x in parts(d) if x in kept)
+        return {x for x, n in kept.items() if n / len(toxic) >= LEAST_ODDS * (there[x] or 0.01) / len(clean)}
 
     def beginnings(words: set[str]) -> set[str]:
         return {w[:n] for w in words for n in range(LEAST_STEM, min(len(w) - 1, MOST_STEM) + 1)}
 
-    words = telling(toxic, clean)
-    stems = telling([beginnings(d) for d in toxic], [beginnings(d) for d in clean])
+    words = telling(lambda d: d)
+    stems = telling(beginnings)
     uses = Counter(w for d in toxic for w in d)
     found: set[str] = set()
     for stem in stems:
@@ -250,8 +248,8 @@ def weighed(features: np.ndarray, toxic: np.ndarray, importance: np.ndarray, pul
 
 
 def learned(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model:
-    """Fit on at most ``toxic_rows`` + ``clean_rows`` labelled documents, those with the least
-    hashes of their ids. Only rows whose crc32 of the id modulo 5 is not 0 are used; null
+    """Fit on about ``toxic_rows`` + ``clean_rows`` labelled documents, or all if there are fewer:
+    those whose hash of the id is below the share wanted. Only rows whose crc32 of the id modulo 5 is not 0 are used; null
     labels are left out and of several labels of one id the highest counts."""
     known = (
         labels.where("doc_id is not null and toxic is not null")
@@ -261,12 +259,13 @@ def learned(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, cl
         .agg((F.max("toxic") > 0).alias("toxic"))
     )
     sizes = dict(known.groupBy("toxic").count().collect())
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    most = F.when(F.col("toxic"), toxic_rows).otherwise(clean_rows)
-    some = known.withColumn("place", place).where((F.col("place") <= max(toxic_rows, clean_rows)) & (F.col("place") <= most))
+    share = F.when(F.col("toxic"), toxic_rows / max(1, sizes.get(True, 0))).otherwise(
+        clean_rows / max(1, sizes.get(False, 0))
+    )
+    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(HASH_STEPS)) < share * HASH_STEPS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # the sample has at most toxic_rows + clean_rows rows, so it may be broadcast
-    rows = texts.join(F.broadcast(some.drop("place")), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    # the sample has about toxic_rows + clean_rows ids whatever the input, so it may be broadcast
+    rows = texts.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     if not rows:
         return Model()
     toxic = np.array([r.toxic for r in rows])
@@ -280,10 +279,10 @@ def learned(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, cl
     return Model(words, stems, tuple(float(w) for w in weights), bias)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model: Model, text: str) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(model)
     for batch in batches:
-        scores = pa.array([scorer.score(x.as_py()) for x in batch.column("__text")], pa.float64())
+        scores = pa.array([scorer.score(x.as_py()) for x in batch.column(text)], pa.float64())
         names = [n for n in batch.schema.names if n != "__text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), scores], names=[*names, "__score"])
 
@@ -295,8 +294,10 @@ def scored(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)
 
     chosen = docs.select(*columns)
     schema = T.StructType([*chosen.schema.fields, T.StructField("__score", T.DoubleType())])
-    texts = docs.select(*columns, F.col("text").cast("string").alias("__text"))
-    return texts.mapInArrow(lambda batches: _scored(batches, model), schema)
+    # the text goes to Python once, also where it is one of the columns
+    text = "text" if "text" in columns else "__text"
+    texts = chosen if text == "text" else docs.select(*columns, F.col("text").alias("__text"))
+    return texts.mapInArrow(lambda batches: _scored(batches, model, text), schema)
 
 
 def non_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
