@@ -23,7 +23,7 @@ MOST_COPIES = 2
 ROUNDS = 60
 TOLERANCE = 1e-12
 # Documents of a cell are dealt out in sub-cells of about this many.
-CELL_ROWS = 4_096
+CELL_ROWS = 256
 
 
 def word_count(text: Column) -> Column:
@@ -207,14 +207,15 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """``docs`` as the mix takes them: rows with no copy go, others repeat."""
+    """``docs`` as the mix takes them: rows with no copy go, others repeat. Rows that share a
+    doc_id take their numbers of copies in the order of their columns."""
     columns = docs.columns
     sizes = docs.select(
         F.col("doc_id").alias("row"),
         F.col("source").cast("string").alias("source"),
         word_count(F.col("text").cast("string")).alias("size"),
     )
-    taken = mix(sizes).where("copies > 0").groupBy("row").agg(F.collect_list("copies").alias("__copies"))
+    taken = mix(sizes).where("copies > 0").groupBy("row").agg(F.sort_array(F.collect_list("copies")).alias("__copies"))
     place = Window.partitionBy("doc_id").orderBy(*columns)
     repeated = (
         docs.join(taken.withColumnRenamed("row", "__row"), F.col("doc_id").eqNullSafe(F.col("__row")))
