@@ -183,7 +183,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizers = ("byte_bpe_50k.json", "word_bpe_49k.json")
     counts = counted(table(spark, sf_dir, "documents"), tokenizers)
     first = counts.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = counts.join(first, "digest").where("doc_id > first")
+    copies = counts.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_anti")
     version = F.col("tokenizer_version") == tokenizers[0].removesuffix(".json")
     inserts = changes_of(counts, tokenizers, "insert")
     repeats = counts.where("once is not null").join(copies.select("doc_id"), "doc_id", "left_anti")
