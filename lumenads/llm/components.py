@@ -31,6 +31,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         before = state
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both, F.col("v") > F.col("u")).where("u > v").distinct()
-        down = large.unionByName(large.select("u", F.col("u").alias("v")))
+        down = large.unionByName(large.select("u", F.col("u").alias("v")).distinct())
         small = _least(down, F.lit(True)).where("u > v").distinct()
         links = stored(small, "links")

@@ -141,6 +141,26 @@ def forest(prints: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def spanning(i: np.ndarray, j: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Places of the links (i, j) that join what those before them have not, least nodes first."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    kept = []
+    low, high = np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])
+    for place in np.lexsort((high, low)).tolist():
+        a, b = root(int(i[place])), root(int(j[place]))
+        if a != b:
+            parent[b] = a
+            kept.append(place)
+    return np.array(kept, np.int64)
+
+
 def _linked(batches: Iterator[pa.RecordBatch], keys: list[str], most: int, tile: int) -> Iterator[pa.RecordBatch]:
     """Links within each key of sorted rows. Rows of a key that has more than ``tile``
     come back as they are (``a`` null), in pieces, and nothing of it is compared here."""
@@ -177,15 +197,23 @@ def _linked(batches: Iterator[pa.RecordBatch], keys: list[str], most: int, tile:
             i = i[_close(prints[i], prints[i + shift], counts[i], counts[i + shift], most)]
             left.append(i)
             right.append(i + shift)
+        if left:
+            # several links at one grid point: those that connect the same are enough
+            i, j = np.concatenate(left), np.concatenate(right)
+            several = np.bincount(group[i], minlength=len(sizes))[group[i]] > 1
+            kept = np.flatnonzero(several)
+            kept = np.concatenate([np.flatnonzero(~several), kept[spanning(i[kept], j[kept], nodes)]])
+            left, right = [i[kept]], [j[kept]]
         for g in np.flatnonzero(sizes > NEAR_ROWS):
             first, size = starts[g], sizes[g]
             if size > tile:
                 flooded = tuple(key[first])
                 yield output(rows=data[first : first + size])
                 continue
-            i, j = forest(prints[first : first + size], most)
-            left.append(first + i)
-            right.append(first + j)
+            order = first + np.argsort(nodes[first : first + size], kind="stable")
+            i, j = forest(prints[order], most)
+            left.append(order[i])
+            right.append(order[j])
         i, j = np.concatenate([[], *left]).astype(np.int64), np.concatenate([[], *right]).astype(np.int64)
         if len(i):
             yield output(nodes[i], nodes[j])
