@@ -214,14 +214,13 @@ def learned(docs: DataFrame) -> Network | None:
     return trained(windows, answers, languages)
 
 
-def _predicted(batches: Iterator[pa.RecordBatch], net: Network | None) -> Iterator[pa.RecordBatch]:
+def _predicted(batches: Iterator[pa.RecordBatch], net: Network | None, text: str) -> Iterator[pa.RecordBatch]:
     predictor = net and Predictor(net)
     for batch in batches:
         names = [n for n in batch.schema.names if n != "__text"]
         languages, scores = [], []
-        texts = batch.column("__text").to_pylist()
-        for start in range(0, len(texts), 256):
-            some = texts[start : start + 256]
+        for start in range(0, batch.num_rows, 256):
+            some = batch.column(text).slice(start, 256).to_pylist()
             known = [bool(net and t and any(map(str.isalpha, t))) for t in some]
             found = iter(predictor.texts([t for t, k in zip(some, known) if k]) if any(known) else ())
             for k in known:
@@ -238,8 +237,10 @@ def predicted(docs: DataFrame, net: Network | None, columns: tuple[str, ...] = (
     Repeated rows come back repeated; an empty table gives no rows."""
     fields = docs.select(*columns).schema.fields
     schema = T.StructType([*fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
-    texts = docs.select(*columns, F.col("text").cast("string").alias("__text"))
-    return texts.mapInArrow(lambda batches: _predicted(batches, net), schema)
+    # the text goes to Python once, also where it is one of the columns
+    text = "text" if "text" in columns else "__text"
+    texts = docs.select(*columns) if text == "text" else docs.select(*columns, F.col("text").alias("__text"))
+    return texts.mapInArrow(lambda batches: _predicted(batches, net, text), schema)
 
 
 def in_known_language(docs: DataFrame, limit: float = 0.5) -> DataFrame:

@@ -19,12 +19,28 @@ _SHIPPED: set[str] = set()
 SPACE_CLASS = r"\x20\x09-\x0D"
 
 
+# Rows and bytes that go to Python at once, where the session does not say; long texts make
+# large batches otherwise, and each task holds some of them.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": (None, "8m"),
+}
+
+
+def prepared(spark: SparkSession) -> None:
+    """Batch sizes for texts, and this package where tasks do not have it."""
+    for key, (usual, wanted) in BATCHES.items():
+        if spark.conf.get(key, None) in (usual, None):
+            spark.conf.set(key, wanted)
+    shipped(spark)
+
+
 def shipped(spark: SparkSession) -> None:
-    """Send this package to the tasks' Python, once per application, unless the path that
-    they start with has it anyway."""
+    """In a local session, send this package to the tasks' Python, once per application, unless
+    the path that they start with has it anyway. On a cluster it has to be installed."""
     paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     app = spark.sparkContext.applicationId
-    if app in _SHIPPED or str(ROOT) in paths:
+    if app in _SHIPPED or str(ROOT) in paths or not spark.sparkContext.master.startswith("local["):
         return
     archive = Path(tempfile.mkdtemp(prefix="lumenads-code-")) / "lumenads.zip"
     with zipfile.ZipFile(archive, "w") as out:
@@ -35,14 +51,14 @@ def shipped(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    shipped(spark)
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def stored(df: DataFrame, label: str, compression: str = "zstd", **options: str) -> DataFrame:
     """Write ``df`` below ``spark.checkpoint.dir`` and read it back: a cut in the lineage
     that outlives lost executors and is computed once."""
-    shipped(df.sparkSession)
+    prepared(df.sparkSession)
     path = shared_dir(df.sparkSession, label)
     df.write.options(compression=compression, **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
