@@ -6,6 +6,12 @@ edits only, since every edited word changes five shingles. So candidates come fr
 an edit hardly moves, by the grid join of ``simhash``: within 4 bits in any of them. What is
 joined so is a group; inside each group the five-word shingles decide, exactly.
 Groups are compared in tiles of bounded size and give a spanning forest.
+
+An added, cut or replaced passage moves those fingerprints too far, so the pairs that
+are not joined yet are found by a prefix filter, which misses none: with all shingles
+in one order, two sets of ``n`` and ``m`` that share ``o`` have ``l`` of the shared ones
+among the first ``n - o + l`` and ``m - o + l``. The order is common shingles last. What
+is common is counted on a sample; that touches the number of candidates only.
 """
 
 from __future__ import annotations
@@ -27,6 +33,14 @@ PRINTS = 6
 SHINGLE = 5
 SIMILARITY = 0.8
 TILE_DOCUMENTS = 1_024
+# Of ``n`` shingles a prefix has ``n // PREFIX_PART`` (or 1) more than one shared shingle needs.
+PREFIX_PART = 40
+# Documents on which common shingles are counted, and how many of these tasks are told.
+SAMPLE_DOCUMENTS = 4_000
+MOST_COMMON = 200_000
+HASH_STEPS = 1 << 30
+# Rows of one shingle that are paired at once.
+TILE_ROWS = 2_048
 
 
 def word_prints(words: list[bytes], prints: int = PRINTS) -> bytes:
@@ -108,6 +122,223 @@ def similar(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]
     return left, right
 
 
+def prefix(keys: np.ndarray, least: float, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, those in ``common`` (sorted) last, by ``ranks``."""
+    size = len(keys)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, keys), len(common) - 1)
+        keys = keys[np.lexsort((keys, np.where(common[at] == keys, ranks[at], 0)))]
+    return keys[: size - int(np.ceil(least * size - 1e-9)) + max(1, size // PREFIX_PART)]
+
+
+def _prefixed(
+    batches: Iterator[pa.RecordBatch], size: int, least: float, common: np.ndarray, ranks: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    from xxhash import xxh3_128_digest
+
+    for batch in batches:
+        digests, sizes, firsts = [], [], []
+        for text in batch.column("text"):
+            own = shingles(text.as_py(), size)
+            digests.append(xxh3_128_digest(b" ".join(_words(text.as_py()))))
+            sizes.append(len(own))
+            firsts.append(prefix(own, least, common, ranks).tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.binary())],
+            names=["digest", "n", "firsts"],
+        )
+
+
+def _each_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            some = batch.slice(start, 256)
+            keys = [np.frombuffer(k, np.int64) for k in some.column("firsts").to_pylist()]
+            rows = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))]
+            columns += [pa.array(some.column(n).to_numpy(zero_copy_only=False)[rows]) for n in ("node", "component", "n")]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "component", "n"])
+
+
+def _pairs(data: np.ndarray, keys: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows (keys, node, component, n), sorted by keys and n, that have the same keys,
+    other components and sizes that allow ``least``."""
+    if not len(data):
+        return
+    starts = np.flatnonzero(np.concatenate([[True], (data[1:, :keys] != data[:-1, :keys]).any(axis=1)]))
+    sizes = np.diff(np.concatenate([starts, [len(data)]]))
+    component = data[:, -2]
+    mixed = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
+    data, group = data[np.repeat(mixed, sizes)], np.repeat(np.arange(len(starts)), np.where(mixed, sizes, 0))
+    node, component, n = data[:, -3], data[:, -2], data[:, -1]
+    i = np.arange(len(data))
+    for shift in range(1, len(data)):
+        i = i[i + shift < len(data)]
+        # rows are sorted by size: what is too short for this row is so for all that follow
+        i = i[(group[i] == group[i + shift]) & (n[i] >= least * n[i + shift] - 1e-9)]
+        if not len(i):
+            return
+        j = i + shift
+        other = component[i] != component[j]
+        a, b = i[other], j[other]
+        swap = node[a] > node[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        if len(a):
+            columns = [node[a], node[b], component[a], component[b], n[a], n[b]]
+            nulls = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), nulls], names=PAIR_NAMES)
+
+
+PAIR_NAMES = ["a", "b", "ca", "cb", "na", "nb", "key"]
+PAIRS = ", ".join(f"{c} long" for c in PAIR_NAMES)
+
+
+def _paired(batches: Iterator[pa.RecordBatch], names: list[str], least: float, most: int) -> Iterator[pa.RecordBatch]:
+    """``_pairs`` of sorted rows. Rows of keys that have more than ``most`` come back as they are, with
+    the key (node, component and size as a, ca and na)."""
+    keys = len(names)
+    held = np.zeros((0, keys + 3), np.int64)
+    flooded = None
+
+    def crowd(data: np.ndarray) -> pa.RecordBatch:
+        node, component, n = (pa.array(data[:, k]) for k in (-3, -2, -1))
+        nulls = pa.nulls(len(data), pa.int64())
+        return pa.RecordBatch.from_arrays([node, nulls, component, nulls, n, nulls, pa.array(data[:, 0])], names=PAIR_NAMES)
+
+    def whole(data: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.concatenate([[True], (data[1:, :keys] != data[:-1, :keys]).any(axis=1)]))
+        sizes = np.diff(np.concatenate([starts, [len(data)]]))
+        large = np.repeat(sizes > most, sizes)
+        if large.any():
+            yield crowd(data[large])
+        yield from _pairs(data[~large], keys, least)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        data = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in [*names, "node", "component", "n"]], axis=1)
+        if flooded is not None:
+            same = (data[:, :keys] == flooded).all(axis=1)
+            if same.any():
+                yield crowd(data[same])
+            data = data[~same]
+            if not len(data):
+                continue
+            flooded = None
+        data = np.concatenate([held, data])
+        last = int(np.flatnonzero((data[:, :keys] != data[-1, :keys]).any(axis=1)).max(initial=-1)) + 1
+        if last:
+            yield from whole(data[:last])
+        held = data[last:]
+        if len(held) > most:
+            flooded = held[0, :keys].copy()
+            yield crowd(held)
+            held = held[:0]
+    if len(held):
+        yield from whole(held)
+
+
+def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = []
+        for one, two in zip(batch.column("one"), batch.column("two")):
+            x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (one, two))
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            kept.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
+        yield batch.select(["ca", "cb"]).filter(pa.array(kept, pa.bool_()))
+
+
+def _common(texts: DataFrame, rows: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several documents in a sample, sorted, and the number of these documents."""
+    share = min(1.0, SAMPLE_DOCUMENTS / max(rows, 1))
+    counts = (
+        texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(HASH_STEPS)) < share * HASH_STEPS)
+        .mapInArrow(lambda batches: _shingle_rows(batches, shingle), "key long")
+        .groupBy("key")
+        .agg(F.count("*").alias("n"))
+        .where("n > 1")
+        .orderBy(F.desc("n"), "key")
+        .limit(MOST_COMMON)
+        .collect()
+    )
+    keys = np.array([r.key for r in counts], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r.n for r in counts], np.int64)[order]
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column("text"):
+            yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), size).view(np.int64))], names=["key"])
+
+
+def _sets(texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, shingles) of the texts of ``nodes`` (doc_id)."""
+    return texts.join(nodes, "doc_id", "left_semi").mapInArrow(
+        lambda batches: _shingled(batches, shingle), "doc_id long, shingles binary"
+    )
+
+
+def unmet(texts: DataFrame, classes: DataFrame, rows: int, shingle: int, similarity: float) -> DataFrame:
+    """(ca, cb): components of ``classes`` (digest, node, component) that have a pair of texts
+    with ``similarity`` between them."""
+    common, ranks = _common(texts, rows, shingle)
+    firsts = (
+        texts.mapInArrow(
+            lambda batches: _prefixed(batches, shingle, similarity, common, ranks), "digest binary, n long, firsts binary"
+        )
+        .where("n > 0")
+        .groupBy("digest")
+        .agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
+    )
+    keyed = (
+        firsts.join(classes, "digest")
+        .select("node", "component", "n", "firsts")
+        .mapInArrow(_each_key, "key long, node long, component long, n long")
+    )
+    met = stored(
+        keyed.repartition("key")
+        .sortWithinPartitions("key", "n")
+        .mapInArrow(lambda batches: _paired(batches, ["key"], similarity, TILE_ROWS), PAIRS),
+        "copies-met",
+    )
+    # a shingle of many texts is dealt with in pairs of tiles; pairs met twice do no harm
+    crowded = met.where("b is null").select("key", F.col("a").alias("node"), F.col("ca").alias("component"), F.col("na").alias("n"))
+    tiles = crowded.groupBy("key").agg(F.ceil(F.count("*") / TILE_ROWS).alias("tiles"))
+    names = ["key", "i", "j"]
+    more = (
+        crowded.join(tiles, "key")
+        .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "component", "n")
+        .repartition(*names)
+        .sortWithinPartitions(*names, "n")
+        .mapInArrow(lambda batches: _paired(batches, names, similarity, 1 << 62), PAIRS)
+    )
+    wanted = F.greatest(F.lit(1), F.floor(F.least("na", "nb") / PREFIX_PART))
+    pairs = stored(
+        met.where("b is not null")
+        .unionByName(more)
+        .groupBy("a", "b", "na", "nb")
+        .agg(F.count("*").alias("shared"), F.first("ca").alias("ca"), F.first("cb").alias("cb"))
+        .where(F.col("shared") >= wanted)
+        .select("a", "b", "ca", "cb")
+        .distinct(),
+        "copies-pairs",
+    )
+    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = stored(_sets(texts, ends, shingle).distinct(), "copies-sets")
+    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one"))
+    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("two"))
+    return (
+        pairs.join(one, "a")
+        .join(two, "b")
+        .select("ca", "cb", "one", "two")
+        .mapInArrow(lambda batches: _alike(batches, similarity), "ca long, cb long")
+        .distinct()
+    )
+
+
 def near_copies(
     docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, prints: int = PRINTS
 ) -> DataFrame:
@@ -135,8 +366,7 @@ def near_copies(
         groups.join(sizes, "component").select("node", "component", "tiles").unionByName(roots), "copies-members"
     )
     sets = (
-        texts.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-        .mapInArrow(lambda batches: _shingled(batches, shingle), "doc_id long, shingles binary")
+        _sets(texts, members.select(F.col("node").alias("doc_id")), shingle)
         .groupBy("doc_id")
         .agg(F.min("shingles").alias("shingles"))
     )
@@ -154,5 +384,14 @@ def near_copies(
         return pd.DataFrame({"a": nodes[left], "b": nodes[right]})
 
     found = components(tiled.groupBy("component", "i", "j").applyInPandas(verified, "a long, b long"), "a", "b")
-    classes = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    classes = stored(
+        nodes.join(found, "node", "left").select("digest", "node", F.coalesce("component", "node").alias("component")),
+        "copies-classes",
+    )
+    joined = components(unmet(texts, classes, marked.count(), shingle, similarity), "ca", "cb").select(
+        F.col("node").alias("component"), F.col("component").alias("joined")
+    )
+    classes = classes.join(joined, "component", "left").select(
+        "digest", F.coalesce("joined", "component").alias("component_id")
+    )
     return marked.join(classes, "digest").select("doc_id", "component_id")

@@ -137,6 +137,37 @@ def test_near_copies_edited(spark, monkeypatch):
     check_copies(docs)
 
 
+def passages(seed=2):
+    """Texts with a passage added, cut off or replaced, and short ones, at 0.75 to 0.95."""
+    rng = np.random.default_rng(seed)
+    rows = []
+
+    def words(many):
+        return [f"v{x}" for x in rng.integers(0, 200_000, many)]
+
+    for size in (10, 14, 30, 250, 400):
+        for share in (0.75, 0.8, 0.85, 0.9, 0.95):
+            base, part = words(size), round(size * (1 - share))
+            rows += [base, base + words(round(size / share) - size), base[: size - part]]
+            base = words(size)
+            part = round(size * (1 - share) / (1 + share))
+            at = int(rng.integers(0, size - part))
+            rows += [base, base[: size - part] + words(part), base[:at] + words(part) + base[at + part :]]
+    # all share a long passage that most of them exceed
+    shared = words(40)
+    rows += [shared + words(int(x)) for x in rng.integers(1, 40, 30)]
+    return [(i, " ".join(w), "en", "a") for i, w in enumerate(rows)]
+
+
+def test_near_copies_passages(spark, monkeypatch):
+    docs = documents(spark, passages())
+    check_copies(docs)
+    # shingles with many rows go through pairs of tiles, and what is common is not known
+    monkeypatch.setattr(C, "TILE_ROWS", 7)
+    monkeypatch.setattr(C, "SAMPLE_DOCUMENTS", 0)
+    check_copies(docs)
+
+
 def test_one_of_each_keeps_one_row(spark):
     docs = documents(spark)
     kept = S.one_of_each(docs, C.near_copies(docs))
