@@ -8,9 +8,10 @@ cancels, and peeling cells that hold one digest recovers the differing ones. If
 peeling gets stuck, both tables are made anew, four times as large. The fingerprint
 is the table of ``BASE_CELLS`` cells, as text. Likeness is shared digests by all.
 
-A paragraph here is a piece of a line: it ends with a sentence, and also after a
-word that ends in one of a few letters, so that an edit leaves all other pieces
-as they are, however long the lines. A short text is cut into words.
+A paragraph here is a piece of a line: it ends with a sentence, and also where a
+hash of the last four characters is below a bound, so that an edit leaves all other
+pieces as they are, however long the lines. That rule is the same for texts of any
+length and script.
 """
 
 from __future__ import annotations
@@ -31,10 +32,13 @@ from lumenads.llm.tables import stored, table
 HASHES = 3
 BASE_CELLS = 12
 GROWTH = 4
-PIECES = re.compile(r"[^\n.!?]*?(?:[shrSHR]\s+|[\n.!?]+\s*)|[^\n.!?]+")
-# Texts below this length, in code points, are cut into words.
-SHORT = 400
-WORDS = re.compile(r"\S+\s*|\s+")
+SENTENCE = re.compile(r"[\n.!?。！？]+\s*")
+# One in so many places ends a piece, beside sentences and lines.
+USUAL = 24
+# A stretch without such a place (a text of few characters, repeated) is cut at multiples of this.
+MOST_CHARACTERS = 512
+# Odd multipliers of the last characters, latest first.
+LAST = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
 # Documents compared at once.
 BLOCK = 200
 # Odd multipliers that spread a digest's bits before its cells are chosen.
@@ -42,16 +46,36 @@ STEP, FIRST, SECOND = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint
 STEPS = [np.uint64((turn + 1) * STEP % 2**64) for turn in range(HASHES + 1)]
 
 
+def pieces(text: str) -> list[str]:
+    """The text, cut behind sentences, lines and places that the last four characters choose."""
+    if not text:
+        return []
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    hashed = codes * LAST[0]
+    for back in range(1, min(len(LAST), len(codes))):
+        hashed[back:] += codes[:-back] * LAST[back]
+    hashed ^= hashed >> np.uint32(15)
+    hashed *= LAST[0]
+    ends = np.flatnonzero(hashed < np.uint32(2**32 // USUAL)) + 1
+    ends = np.unique(np.concatenate([ends, [m.end() for m in SENTENCE.finditer(text)], [len(text)]]).astype(np.int64))
+    starts = np.concatenate([[0], ends[:-1]])
+    if (ends - starts).max() > MOST_CHARACTERS:
+        more = [np.arange(a, b, MOST_CHARACTERS) for a, b in zip(starts, ends) if b - a > MOST_CHARACTERS]
+        starts = np.unique(np.concatenate([starts, *more]))
+        ends = np.concatenate([starts[1:], [len(text)]])
+    return [text[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+
+
 def digests(text: str) -> np.ndarray:
     """64-bit digests of a text's pieces, all different: repeated pieces are numbered."""
     from xxhash import xxh3_64_intdigest
 
-    pieces = (WORDS if len(text) < SHORT else PIECES).findall(text)
-    if len(set(pieces)) == len(pieces):
-        return np.fromiter(map(xxh3_64_intdigest, pieces), np.uint64, len(pieces))
+    cut = pieces(text)
+    if len(set(cut)) == len(cut):
+        return np.fromiter(map(xxh3_64_intdigest, cut), np.uint64, len(cut))
     seen: dict[str, int] = {}
-    out = np.empty(len(pieces), np.uint64)
-    for i, piece in enumerate(pieces):
+    out = np.empty(len(cut), np.uint64)
+    for i, piece in enumerate(cut):
         place = seen.get(piece, 0)
         seen[piece] = place + 1
         out[i] = xxh3_64_intdigest(piece, place)

@@ -116,6 +116,20 @@ def test_fingerprints_subtract():
     assert set(keys[signs < 0].tolist()) == set(b.tolist()) - set(a.tolist()) and not (signs > 0).any()
 
 
+def test_pieces_of_any_length_and_script(spark):
+    texts = [r.text for r in sample(spark).select("text").collect() if len(r.text or "") >= 450]
+    near = S.likeness([(S.digests(t[:410]), S.digests(t[:395])) for t in texts])
+    far = S.likeness([(S.digests(t[:440]), S.digests(t[:425])) for t in texts])
+    assert np.median(near) > 0.8 and abs(np.median(near) - np.median(far)) < 0.1
+    rng = np.random.default_rng(5)
+    line = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 900)))  # no space, no sentence end
+    for text in (line, line[:300], "abcde" * 900):
+        changed = S.edited(text, "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 900))))
+        assert S.likeness([(S.digests(text), S.digests(changed))])[0] > 0.4
+        assert "".join(S.pieces(text)) == text
+    assert S.pieces("") == [] and S.pieces("a") == ["a"]
+
+
 def check_sketches(docs):
     rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.select("doc_id", "text").collect()))
     expected = []
