@@ -155,18 +155,25 @@ class Predictor:
 
     def texts(self, texts: list[str]) -> np.ndarray:
         """Mean probabilities of each text over its windows, by the bytes in them."""
+        return self.judged(texts)[0]
+
+    def judged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, and the mean of each window's largest probability: how surely its windows
+        are told, in whatever languages."""
         parts, sizes = [], []
         for text in texts:
             data = laid_out(text)
             parts.append(data)
             sizes.append((len(data.rstrip(b"\0")), len(data) // WINDOW))
         found = self.windows(np.frombuffer(b"".join(parts) + bytes(LOOK_AHEAD), np.uint8))
-        out, at = np.empty((len(texts), found.shape[1])), 0
+        best = found.max(axis=1)
+        out, sure, at = np.empty((len(texts), found.shape[1])), np.empty(len(texts)), 0
         for i, (size, count) in enumerate(sizes):
             weights = np.clip(size - WINDOW * np.arange(count), 0, WINDOW).astype(float)
             out[i] = weights @ found[at : at + count] / max(weights.sum(), 1.0)
+            sure[i] = weights @ best[at : at + count] / max(weights.sum(), 1.0)
             at += count
-        return out
+        return out, sure
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,25 +225,31 @@ def _predicted(batches: Iterator[pa.RecordBatch], net: Network | None, text: str
     predictor = net and Predictor(net)
     for batch in batches:
         names = [n for n in batch.schema.names if n != "__text"]
-        languages, scores = [], []
+        languages, scores, certain, lettered = [], [], [], []
         for start in range(0, batch.num_rows, 256):
             some = batch.column(text).slice(start, 256).to_pylist()
-            known = [bool(net and t and any(map(str.isalpha, t))) for t in some]
-            found = iter(predictor.texts([t for t, k in zip(some, known) if k]) if any(known) else ())
+            letters = [bool(t and any(map(str.isalpha, t))) for t in some]
+            lettered.extend(letters)
+            known = [bool(net and k) for k in letters]
+            found = zip(*predictor.judged([t for t, k in zip(some, known) if k])) if any(known) else iter(())
             for k in known:
-                p = next(found) if k else None
+                p, sure = next(found) if k else (None, 0.0)
+                certain.append(min(1.0, float(sure)))
                 languages.append(net.languages[int(p.argmax())] if k else UNKNOWN)
                 scores.append(min(1.0, float(p.max())) if k else 0.0)
         arrays = [*(batch.column(n) for n in names), pa.array(languages, pa.string()), pa.array(scores, pa.float64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*names, "__lang", "__score"])
+        arrays += [pa.array(certain, pa.float64()), pa.array(lettered, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*names, "__lang", "__score", "__sure", "__letters"])
 
 
 def predicted(docs: DataFrame, net: Network | None, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns`` of every row, ``__lang`` and ``__score`` (0 to 1). A text that is null or
-    has no letter is ``und`` with score 0, as is everything where nothing was learned.
+    """``columns`` of every row, ``__lang`` and ``__score`` (0 to 1), ``__sure`` (how surely its
+    windows are told, in whatever languages) and ``__letters`` (if it has any). A text that is
+    null or has no letter is ``und`` with score 0, as is everything where nothing was learned.
     Repeated rows come back repeated; an empty table gives no rows."""
     fields = docs.select(*columns).schema.fields
-    schema = T.StructType([*fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
+    kinds = {"__lang": T.StringType(), "__score": T.DoubleType(), "__sure": T.DoubleType(), "__letters": T.BooleanType()}
+    schema = T.StructType([*fields, *(T.StructField(name, kind) for name, kind in kinds.items())])
     # the text goes to Python once, also where it is one of the columns
     text = "text" if "text" in columns else "__text"
     texts = docs.select(*columns) if text == "text" else docs.select(*columns, F.col("text").alias("__text"))
@@ -244,10 +257,14 @@ def predicted(docs: DataFrame, net: Network | None, columns: tuple[str, ...] = (
 
 
 def in_known_language(docs: DataFrame, limit: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language the network tells with at least ``limit``."""
+    """The rows of ``docs`` with letters whose windows the network tells with at least ``limit``
+    in the mean, be they of one language or of several. Where nothing could be learned, as
+    no row has a language to learn from, all rows with letters stay. Languages beyond the commonest that
+    ``learned`` has room for are told as one of those, or go if that is unsure."""
     columns = tuple(docs.columns)
-    found = predicted(docs, learned(docs), columns)
-    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= limit)).select(*columns)
+    net = learned(docs)
+    found = predicted(docs, net, columns).where("__letters")
+    return (found if net is None else found.where(F.col("__sure") >= limit)).select(*columns)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from lumenads.llm import language as L
 from lumenads.llm import quality as Q
 from lumenads.llm import toxicity as X
-from tests.llm.data import LONG, documents, empty
+from tests.llm.data import LONG, documents, empty, sample
 
 SF_001 = "/root/testdata/sf0.01"
 
@@ -151,6 +151,20 @@ def test_language_edges(spark):
     assert kept.columns == docs.columns and not {3, 4, 6, 8} & {r.doc_id for r in kept.collect()}
 
 
+def test_language_keeps_mixed_and_untold(spark):
+    docs = sample(spark).select("doc_id", "text", "lang")
+    own = {}
+    for r in docs.where("lang is not null").orderBy("doc_id").collect():
+        if len(r.text or "") >= 600:
+            own.setdefault(r.lang, r.text[:600])
+    several = " ".join(own[x] for x in sorted(own)[:3])
+    mixed = spark.createDataFrame([(-1, several, None), (-2, "123 !!", None)], docs.schema)
+    kept = {r.doc_id for r in L.in_known_language(docs.unionByName(mixed)).collect()}
+    assert len(own) >= 3 and -1 in kept and -2 not in kept
+    untold = documents(spark, [(1, "some words", None, "a"), (2, "12 !", None, "a"), (3, None, None, "a"), (4, "日本", None, "a")])
+    assert sorted(r.doc_id for r in L.in_known_language(untold).collect()) == [1, 4]
+
+
 # --- quality ----------------------------------------------------------------
 def test_estimated_accuracies():
     rng = np.random.default_rng(0)
