@@ -32,7 +32,9 @@ from lumenads.llm.tables import stored
 PRINTS = 6
 SHINGLE = 5
 SIMILARITY = 0.8
+# A tile has about so many documents, and words, at most.
 TILE_DOCUMENTS = 1_024
+TILE_WORDS = 2_000_000
 # Of ``n`` shingles a prefix has ``n // PREFIX_PART`` (or 1) more than one shared shingle needs.
 PREFIX_PART = 40
 # Documents on which common shingles are counted, and how many of these tasks are told.
@@ -65,15 +67,19 @@ def _marked(batches: Iterator[pa.RecordBatch], prints: int) -> Iterator[pa.Recor
     from xxhash import xxh3_128_digest
 
     for batch in batches:
-        digests, found = [], []
+        digests, found, sizes = [], [], []
         for text in batch.column("text"):
             words = _words(text.as_py())
+            sizes.append(len(words))
             digests.append(xxh3_128_digest(b" ".join(words)))
             found.append(word_prints(words, prints))
         table = np.frombuffer(b"".join(found), ">i8").astype(np.int64).reshape(-1, prints)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(digests, pa.binary()), *(pa.array(table[:, k]) for k in range(prints))],
-            names=["doc_id", "digest", *(f"print{k}" for k in range(prints))],
+            [
+                batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()),
+                *(pa.array(table[:, k]) for k in range(prints)),
+            ],
+            names=["doc_id", "digest", "words", *(f"print{k}" for k in range(prints))],
         )
 
 
@@ -352,19 +358,19 @@ def near_copies(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     ).where("doc_id is not null")
     columns = [f"print{k}" for k in range(prints)]
-    schema = "doc_id long, digest binary, " + ", ".join(f"{c} long" for c in columns)
+    schema = "doc_id long, digest binary, words long, " + ", ".join(f"{c} long" for c in columns)
     marked = stored(texts.mapInArrow(lambda batches: _marked(batches, prints), schema), "copies-marked")
     nodes = stored(
-        marked.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in columns)),
+        marked.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("words").alias("words"), *(F.first(c).alias(c) for c in columns)),
         "copies-nodes",
     )
     worded = nodes.where(" or ".join(f"{c} <> 0" for c in columns)).select("node", *columns)
     groups = components(links(worded), "a", "b")
-    sizes = groups.groupBy("component").agg((F.ceil((F.count("*") + 1) / TILE_DOCUMENTS)).alias("tiles"))
-    roots = sizes.select(F.col("component").alias("node"), "component", "tiles")
-    members = stored(
-        groups.join(sizes, "component").select("node", "component", "tiles").unionByName(roots), "copies-members"
-    )
+    roots = groups.select(F.col("component").alias("node"), "component").distinct()
+    everyone = groups.select("node", "component").unionByName(roots)
+    tiles = F.greatest(F.ceil(F.count("*") / TILE_DOCUMENTS), F.ceil(F.sum("words") / TILE_WORDS))
+    sizes = everyone.join(nodes.select("node", "words"), "node").groupBy("component").agg(tiles.alias("tiles"))
+    members = stored(everyone.join(sizes, "component").select("node", "component", "tiles"), "copies-members")
     sets = (
         _sets(texts, members.select(F.col("node").alias("doc_id")), shingle)
         .groupBy("doc_id")

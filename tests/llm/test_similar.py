@@ -137,6 +137,24 @@ def test_near_copies_edited(spark, monkeypatch):
     check_copies(docs)
 
 
+def test_near_copies_tiles_by_words(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    docs = documents(spark, [(i, " ".join([*base, f"e{i}"]), "en", "a") for i in range(12)])
+    stored, tiles = C.stored, []
+
+    def seen(df, label, *more, **options):
+        out = stored(df, label, *more, **options)
+        if label == "copies-members":
+            tiles.extend(r.tiles for r in out.collect())
+        return out
+
+    monkeypatch.setattr(C, "stored", seen)
+    monkeypatch.setattr(C, "TILE_WORDS", 1_000, raising=False)
+    check_copies(docs)
+    assert len(tiles) == 12 and set(tiles) == {4}
+
+
 def passages(seed=2):
     """Texts with a passage added, cut off or replaced, and short ones, at 0.75 to 0.95."""
     rng = np.random.default_rng(seed)
