@@ -2,8 +2,9 @@
 
 Each document gets a rate ``exp(tilt of its source)``, the rates closest in
 relative entropy (over words) to one that give every source its target. The dual
-is convex; Newton's method solves it, each round summing the tilted words of all
-sources at once. Rates become whole copies: documents of one source and size are
+is convex and Newton's method solves it. Each constraint is on one source, so the dual
+falls apart by source: words are summed once, the rounds run on one number per source,
+never on documents or cells, and reach ``ln(target / words)``. Rates become whole copies: documents of one source and size are
 alike, so the copies are first dealt to such cells by running sums, then within
 a cell by a hash of the document. Everything is DataFrame operations.
 """
