@@ -118,8 +118,8 @@ class Pair(dict):
         ]
 
     def learn(self, words: list[str]) -> None:
-        """Encode words not seen yet, all at once. B adds a space to what it gets, so a word
-        that begins with a line feed is encoded behind another one."""
+        """Encode words not seen yet, all at once. B adds a space to what it gets, so it gets
+        words behind a line feed, which no piece joins to anything."""
         if len(self) >= KEPT_WORDS:
             self.older = dict(self)
             self.clear()
@@ -130,11 +130,10 @@ class Pair(dict):
             else:
                 new.append(word)
         a = self._a_ids(new)
-        b = self.b.encode([w[1:] if w[0] == " " else "\n" + w for w in new], num_threads=1)
+        b = self.b.encode(["\n" + w for w in new], num_threads=1)
         spell_a, spell_b, lead = self.a_bytes.__getitem__, self.b_bytes.__getitem__, self.lead
         for word, x, y in zip(new, a, b):
-            if word[0] != " ":
-                y = y[lead:]
+            y = y[lead:]
             same = b"".join(map(spell_a, x)) == b"".join(map(spell_b, y)) == word.encode()
             self[word] = (packed(x), packed(y)) if same else None
 
