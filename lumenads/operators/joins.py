@@ -30,6 +30,11 @@ def spread_left_join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     return matched.unionByName(lone.withColumns(nothing).select(*matched.columns))
 
 
+def plain_left_join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
+    """Left join of sides that already lie by their keys."""
+    return left.join(right, list(keys), "left")
+
+
 def _all_present(keys) -> Column:
     out = F.lit(True)
     for key in keys:
@@ -69,6 +74,7 @@ def attach_conversions(
     facts: DataFrame,
     conversions: DataFrame,
     partition=DAY_PARTITION,
+    join=spread_left_join,
 ) -> DataFrame:
     """Daily fact: the hourly fact with the conversions of the same partition."""
     side = conversions.withColumnRenamed("timestamp", "conversion_timestamp")
@@ -86,7 +92,7 @@ def attach_conversions(
         if c in side.columns
     ]
     side = side.select("impression_id", *partition, *kept)
-    joined = spread_left_join(facts, side, ["impression_id", *partition])
+    joined = join(facts, side, ["impression_id", *partition])
     return joined.withColumn("is_conversion", F.col("conversion_id").isNotNull())
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenads.functions.dates import tuple_range
-from lumenads.operators.joins import attach_clicks, attach_conversions
+from lumenads.operators.joins import attach_clicks, attach_conversions, plain_left_join
 from lumenads.operators.quality import hour_completeness, validate_daily, validate_hourly
 from lumenads.schemas import (
     CLICKS,
@@ -19,6 +19,7 @@ from lumenads.schemas import (
     HOURLY_FACT,
     IMPRESSIONS,
 )
+from lumenads.sources.buckets import CO_PARTITIONED, BucketedTable, settings
 from lumenads.sources.files import scan_hive_parquet, write_partitioned
 
 
@@ -113,6 +114,49 @@ def backfill_days(
     return hour_completeness(hourly.where(where)).where(~F.col("complete"))
 
 
+def hourly_table(name: str, fact_root: str, buckets: int = 8) -> BucketedTable:
+    return BucketedTable(name, f"{fact_root}/hourly", HOURLY_FACT, HOUR_PARTITION, buckets=buckets)
+
+
+def daily_table(name: str, fact_root: str, buckets: int = 8) -> BucketedTable:
+    return BucketedTable(name, f"{fact_root}/daily", DAILY_FACT, DAY_PARTITION, buckets=buckets)
+
+
+def fill_hours(
+    spark: SparkSession, raw_root: str, hourly: BucketedTable, start: str, end: str,
+    first: int = 0, last: int = 23, now: datetime | None = None,
+) -> None:
+    """As ``backfill_hours``, into a table that lies in buckets of the impression."""
+    hourly.overwrite(build_hourly(raw_tables(spark, raw_root), hours_between(start, end, first, last, now)))
+
+
+def daily_rows(spark: SparkSession, hourly: BucketedTable, conversions: DataFrame, where: Column) -> DataFrame:
+    """Daily fact rows from stored hours.
+
+    Conversions are dealt to the buckets of the hourly table, which is read as it
+    lies; plan and run this inside ``settings(spark, CO_PARTITIONED)``. Should one
+    impression fill a bucket, both sides are joined by ``build_daily``."""
+    stored = hourly.scan(spark)
+    if not hourly.is_even(spark, where):
+        return build_daily(stored, conversions, where)
+    joined = attach_conversions(
+        stored.where(where).drop("hour"), conversions.where(where).drop("hour"), join=plain_left_join
+    )
+    return _shaped(joined, DAILY_FACT, DAY_PARTITION)
+
+
+def fill_days(
+    spark: SparkSession, raw_root: str, hourly: BucketedTable, daily: BucketedTable, start: str, end: str,
+    now: datetime | None = None,
+) -> DataFrame:
+    """Hours first, then days. Returns the days with fewer than 24 hours."""
+    fill_hours(spark, raw_root, hourly, start, end, now=now)
+    where = tuple_range(start, end)
+    with settings(spark, CO_PARTITIONED):
+        daily.overwrite(daily_rows(spark, hourly, raw_tables(spark, raw_root)["conversions"], where))
+    return hour_completeness(hourly.scan(spark, where)).where(~F.col("complete"))
+
+
 def backfill_outcome(spark: SparkSession, facts: DataFrame, start: str, end: str, now: date | None = None) -> DataFrame:
     """Per planned partition: done, missing, or ahead of ``now``; counted by outcome."""
     hours = (date.fromisoformat(end) - date.fromisoformat(start)).days * 24 + 24

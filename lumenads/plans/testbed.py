@@ -163,6 +163,50 @@ def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# First second of the test week, and how orders and lines are spread over it.
+LOG_START = "2026-03-01 00:00:00"
+LOG_SECONDS, LOG_STRIDE = 7 * 86_400, 7_919
+CLICK_DELAY, CONVERSION_DELAY = 120, 3 * 3_600
+
+
+def _log_time(order: str, delay=None):
+    """Second of the week; clicks follow by minutes, conversions by hours."""
+    second = F.unix_seconds(F.lit(LOG_START).cast("timestamp")) + F.col(order) * LOG_STRIDE % LOG_SECONDS
+    return F.timestamp_seconds(second if delay is None else second + delay)
+
+
+def _log(rows: DataFrame, time, *columns) -> DataFrame:
+    stamped = rows.withColumn("_t", time)
+    parts = {"year": "yyyy", "month": "MM", "day": "dd", "hour": "HH"}
+    return stamped.select(
+        F.unix_millis("_t").alias("timestamp"), *columns, *(F.date_format("_t", f).alias(n) for n, f in parts.items())
+    )
+
+
+def log_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A week of raw logs. A click comes 2 to 100 minutes after its impression, often in the
+    next hour; a conversion 3 to 21 hours after its click, often on the next day."""
+    lines = table(spark, sf_dir, "lineitem")
+    click = (F.col("l_quantity") * CLICK_DELAY).cast("bigint")
+    order = F.col("l_orderkey").cast("string").alias("impression_id")
+    return {
+        "impressions": _log(
+            table(spark, sf_dir, "orders"), _log_time("o_orderkey"),
+            F.col("o_orderkey").cast("string").alias("impression_id"), F.col("o_custkey").cast("string").alias("user_id"),
+            F.col("o_orderpriority").alias("device_type"), F.col("o_totalprice").alias("cost_per_impression"),
+        ),
+        "clicks": _log(
+            lines.where(_is_click()), _log_time("l_orderkey", click), order,
+            F.concat(F.lit("c"), _line_id()).alias("click_id"), F.col("l_discount").alias("cost_per_click"),
+        ),
+        "conversions": _log(
+            lines.where(_is_conversion()), _log_time("l_orderkey", click + F.col("l_linenumber") * CONVERSION_DELAY), order,
+            F.concat(F.lit("v"), _line_id()).alias("conversion_id"), F.concat(F.lit("c"), _line_id()).alias("click_id"),
+            F.col("l_extendedprice").alias("conversion_value"),
+        ),
+    }
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event log with a zoned event time (the stored one has no zone)."""
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
