@@ -10,10 +10,11 @@ from lumenads.operators import anomaly as A
 from lumenads.operators import series as S
 from lumenads.operators.performance import performance
 from lumenads.plans.testbed import ad_events, ad_facts, events, impressions, table
-from lumenads.registry.core import FACTS, SQL, WHOLE, between, pick, r, rates, register
+from lumenads.registry.core import FACTS, ORACLES, SQL, WHOLE, between, pick, r, rates, register
 from lumenads.registry.journeys import EV, RAW
 from lumenads.session import shared_dir
 from lumenads.streaming import ingest as I
+from lumenads.streaming import stateful as K
 from lumenads.streaming import windows as W
 
 FIVE = "time_bucket(INTERVAL 5 MINUTE, ts)"
@@ -71,6 +72,38 @@ def _(spark, d):
     return _drained(spark, d, "60 minutes", "1440 minutes")
 
 
+_KIND_WINDOWS = """SELECT event_type AS series, time_bucket(INTERVAL {0} MINUTE, ts) AS window_start,
+ CAST(SUM(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total, COUNT(value) AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2"""
+
+
+def _landed_events(spark, d, files):
+    """Events as several files in no order of time, one for each micro-batch."""
+    path = shared_dir(spark, "event-files")
+    events(spark, d).select("event_id", "ts", "event_type", "value").repartition(files, "event_id").write.parquet(path)
+    rows = spark.read.parquet(path)
+    return rows, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _totals(spark, d, files, minutes):
+    rows, stream = _landed_events(spark, d, files)
+    path, key, amount, width = shared_dir(spark, "totals"), F.col("event_type"), F.col("value"), minutes * 60_000
+    totals = K.window_totals(stream, key, "ts", amount, width, horizon="60 days")
+    K.drain(totals, path, shared_dir(spark, "totals-state"), "totals")
+    K.flush_totals(rows, path, key, "ts", amount, width)
+    return K.latest_totals(spark, path).drop("revision")
+
+
+@register("R1_stateful_totals", _KIND_WINDOWS.format(60))
+def _(spark, d):
+    return _totals(spark, d, 1, 60)
+
+
+@register("R2_late_corrections", _KIND_WINDOWS.format(1440))
+def _(spark, d):
+    """Each file covers the whole time, so all but the first correct closed windows."""
+    return _totals(spark, d, 3, 1440)
+
+
 @register("R3_floor_bucket_count", "SELECT CAST(floor(epoch(ts) / 300) * 300 AS BIGINT) AS bucket, COUNT(*) AS n FROM events GROUP BY 1")
 def _(spark, d):
     bucket = S.floor_bucket(F.unix_seconds(F.col("ts")))
@@ -174,6 +207,29 @@ def _(spark, d):
     return _rounded(A.retrain_scores(filled(spark, d), "window_start", "n"), "predicted", "spread")
 
 
+@register("R11_refit_stream", ORACLES["R11_retrain_schedule"])
+def _(spark, d):
+    """Four stretches of time arrive one after the other; the stream restarts for each."""
+    source, path, state = (shared_dir(spark, x) for x in ("refit-windows", "refit-scores", "refit-state"))
+    series = spark.read.parquet(_written(filled(spark, d), shared_dir(spark, "refit-series")))
+    first, last = series.agg(F.min(F.unix_seconds("window_start")), F.max(F.unix_seconds("window_start"))).first()
+    step = (last - first) // 4 + 1
+    for k in range(4):
+        part = series.where(F.floor((F.unix_seconds("window_start") - first) / step) == k)
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(series.schema).parquet(source)
+        K.drain(K.refit_scores(stream, F.lit("all"), "window_start", "n"), path, state, "refit")
+    scored = spark.read.schema(K.SCORES + ", anomaly_type string").parquet(path)
+    return _rounded(scored, "predicted", "spread").select(
+        F.timestamp_millis("window_ms").alias("window_start"), "n", "model_no", "predicted", "spread", "anomaly_type"
+    )
+
+
+def _written(df, path):
+    df.write.parquet(path)
+    return path
+
+
 # --- rules ------------------------------------------------------------------
 _NOW = ("2000-01-01", "2001-12-31")
 _THEN = ("1995-01-01", "1999-12-31")
