@@ -39,8 +39,8 @@ PIECES = "piece_bpe_32k.model"
 # they may also be cut before those of these marks that no piece has behind a letter.
 MARKS = ".,;:!?"
 PLAIN = re.compile(f" ?[{LETTERS}]+")
-KEPT_WORDS = 300_000
-KEPT_WINDOWS = 300_000
+KEPT_WORDS = 400_000
+KEPT_WINDOWS = 400_000
 # Raises ids of B, so that a window's ids make one key.
 OF_B = 1 << 31
 HEAD_LINKS = 1 << 20
@@ -135,7 +135,7 @@ class Pair(dict):
         for word, x, y in zip(new, a, b):
             y = y[lead:]
             same = b"".join(map(spell_a, x)) == b"".join(map(spell_b, y)) == word.encode()
-            self[word] = (packed(x), packed(y)) if same else None
+            self[word] = (array("I", x).tobytes(), array("I", y).tobytes()) if same else None
 
     def ids(self, text: str) -> tuple[bytes, bytes] | None:
         """Ids of space and text by A, of the text by B; None where either does not spell the text."""
@@ -172,15 +172,18 @@ class Windows(dict):
             self.clear()
         found = self.older.get(key)
         if found is None:
-            ids = memoryview(key).cast("I").tolist()
-            first = next(i for i, x in enumerate(ids) if x >= OF_B)
-            found = self.align(ids[:first], [x - OF_B for x in ids[first:]])
+            a = memoryview(key).cast("I").tolist()
+            b = []
+            while a[-1] >= OF_B:
+                b.append(a.pop() - OF_B)
+            found = self.align(a, b[::-1])
         self[key] = found
         return found
 
     def align(self, a: list[int], b: list[int]) -> tuple[str, bytes]:
         """Walk both sides at once; a group ends where a token of each ends at one byte."""
         shown, codes = [], []
+        show, add = shown.append, codes.append
         size_a, size_b = self.lengths
         i = k = 0  # where the group begins
         j = m = 0  # the tokens at hand, which end at these bytes:
@@ -197,11 +200,11 @@ class Windows(dict):
                 j, m = j + 1, m + 1
                 if j - i == 1 == m - k:
                     x, y = a[i], b[k]
-                    shown.append(f"{x}|{y}")
-                    codes.append(x << 32 | y)
+                    show(f"{x}|{y}")
+                    add(x << 32 | y)
                 else:
                     group_a, group_b = a[i:j], b[k:m]
-                    shown.append(f"{','.join(map(str, group_a))}|{','.join(map(str, group_b))}")
+                    show(f"{','.join(map(str, group_a))}|{','.join(map(str, group_b))}")
                     codes.extend([x << 32 | y for x in group_a for y in group_b])
                 i, k = j, m
                 if j < last:

@@ -43,6 +43,13 @@ MOST_COMMON = 200_000
 HASH_STEPS = 1 << 30
 # Rows of one shingle that are paired at once.
 TILE_ROWS = 2_048
+# Odd factors of 64 hash functions, and how many of 64 bits of two signatures have to agree. Sets
+# with a similarity of 0.8 have 57.6 on average; fewer than 42 are as rare as equal 64-bit hashes
+# in a table of this size are. Sets that share a tenth have 35.
+FACTORS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, 64, np.uint64) | np.uint64(1)
+AGREE = 42
+# Texts of one shingle that give more pairs than this for each text are compared as a crowd.
+DENSE = 8
 
 
 def word_prints(words: list[bytes], prints: int = PRINTS) -> bytes:
@@ -137,24 +144,39 @@ def prefix(keys: np.ndarray, least: float, common: np.ndarray, ranks: np.ndarray
     return keys[: size - int(np.ceil(least * size - 1e-9)) + max(1, size // PREFIX_PART)]
 
 
+def signature(keys: np.ndarray) -> int:
+    """64 minimum hashes of a set, one bit of each. Of two sets with similarity ``s`` a bit
+    agrees with chance ``(1 + s) / 2``, so too few agreements rule a pair out."""
+    least = np.full(64, np.iinfo(np.uint64).max, np.uint64)
+    for first in range(0, len(keys), 8_192):
+        np.minimum(least, (keys[first : first + 8_192, None] * FACTORS).min(axis=0), out=least)
+    bits = ((least ^ (least >> np.uint64(29))) * FACTORS[0]) >> np.uint64(63)
+    return int(np.packbits(bits.astype(np.uint8)).view(">i8")[0])
+
+
 def _prefixed(
     batches: Iterator[pa.RecordBatch], size: int, least: float, common: np.ndarray, ranks: np.ndarray
 ) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh3_128_digest
 
     for batch in batches:
-        digests, sizes, firsts = [], [], []
+        digests, sizes, firsts, signatures = [], [], [], []
         for text in batch.column("text"):
             own = shingles(text.as_py(), size)
             digests.append(xxh3_128_digest(b" ".join(_words(text.as_py()))))
             sizes.append(len(own))
             firsts.append(prefix(own, least, common, ranks).tobytes())
+            signatures.append(signature(own))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.binary())],
-            names=["digest", "n", "firsts"],
+            [pa.array(digests, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, signatures)), pa.array(firsts, pa.binary())],
+            names=["digest", "n", "sign", "firsts"],
         )
 
 
+# What goes with a text to each of its first shingles.
+PLACE = ["node", "component", "n", "sign"]
+
+
 def _each_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
@@ -162,31 +184,48 @@ def _each_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = [np.frombuffer(k, np.int64) for k in some.column("firsts").to_pylist()]
             rows = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
             columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))]
-            columns += [pa.array(some.column(n).to_numpy(zero_copy_only=False)[rows]) for n in ("node", "component", "n")]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "component", "n"])
+            columns += [pa.array(some.column(n).to_numpy(zero_copy_only=False)[rows]) for n in PLACE]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", *PLACE])
 
 
 def _pairs(data: np.ndarray, keys: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows (keys, node, component, n), sorted by keys and n, that have the same keys,
-    other components and sizes that allow ``least``."""
+    """Pairs of rows (keys, then ``PLACE``), sorted by keys and n, that have the same keys, other
+    components, and sizes and signatures that allow ``least``. Rows of keys that give more than
+    ``DENSE`` pairs a row come back as a crowd instead, named by its members."""
     if not len(data):
         return
     starts = np.flatnonzero(np.concatenate([[True], (data[1:, :keys] != data[:-1, :keys]).any(axis=1)]))
     sizes = np.diff(np.concatenate([starts, [len(data)]]))
-    component = data[:, -2]
+    component = data[:, -3]
     mixed = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
     data, group = data[np.repeat(mixed, sizes)], np.repeat(np.arange(len(starts)), np.where(mixed, sizes, 0))
-    node, component, n = data[:, -3], data[:, -2], data[:, -1]
+    node, component, n, sign = (np.ascontiguousarray(data[:, k]) for k in (-4, -3, -2, -1))
+    found, made, dense = [], np.zeros(len(starts), np.int64), np.zeros(len(starts), bool)
     i = np.arange(len(data))
     for shift in range(1, len(data)):
         i = i[i + shift < len(data)]
         # rows are sorted by size: what is too short for this row is so for all that follow
-        i = i[(group[i] == group[i + shift]) & (n[i] >= least * n[i + shift] - 1e-9)]
+        i = i[(group[i] == group[i + shift]) & (n[i] >= least * n[i + shift] - 1e-9) & ~dense[group[i]]]
         if not len(i):
-            return
+            break
         j = i + shift
-        other = component[i] != component[j]
+        agreed = 64 - np.bitwise_count((sign[i] ^ sign[j]).view(np.uint64))
+        other = (component[i] != component[j]) & (agreed >= AGREE)
         a, b = i[other], j[other]
+        made += np.bincount(group[a], minlength=len(starts))
+        dense = made > DENSE * sizes
+        if len(a):
+            found.append((a, b))
+    crowd = dense[group] if len(group) else np.zeros(0, bool)
+    if crowd.any():
+        mixed_nodes = (node.view(np.uint64) ^ np.uint64(SEED)) * FACTORS[1]
+        mixed_nodes = (mixed_nodes ^ (mixed_nodes >> np.uint64(32))) * FACTORS[2]
+        names = np.zeros(len(starts), np.uint64)
+        np.add.at(names, group, mixed_nodes)
+        yield _members(node[crowd], component[crowd], n[crowd], sign[crowd], names[group[crowd]].view(np.int64), True)
+    for a, b in found:
+        keep = ~dense[group[a]]
+        a, b = a[keep], b[keep]
         swap = node[a] > node[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         if len(a):
@@ -195,21 +234,28 @@ def _pairs(data: np.ndarray, keys: int, least: float) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), nulls], names=PAIR_NAMES)
 
 
+def _members(node, component, n, sign, key, crowd: bool) -> pa.RecordBatch:
+    """Rows that are not paired yet, in the columns of pairs: signature as nb, cb for a crowd."""
+    cb = pa.array(np.ones(len(node), np.int64)) if crowd else pa.nulls(len(node), pa.int64())
+    nulls = pa.nulls(len(node), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(node), nulls, pa.array(component), cb, pa.array(n), pa.array(sign), pa.array(key)], names=PAIR_NAMES
+    )
+
+
 PAIR_NAMES = ["a", "b", "ca", "cb", "na", "nb", "key"]
 PAIRS = ", ".join(f"{c} long" for c in PAIR_NAMES)
 
 
 def _paired(batches: Iterator[pa.RecordBatch], names: list[str], least: float, most: int) -> Iterator[pa.RecordBatch]:
     """``_pairs`` of sorted rows. Rows of keys that have more than ``most`` come back as they are, with
-    the key (node, component and size as a, ca and na)."""
+    the key (see ``_members``)."""
     keys = len(names)
-    held = np.zeros((0, keys + 3), np.int64)
+    held = np.zeros((0, keys + len(PLACE)), np.int64)
     flooded = None
 
     def crowd(data: np.ndarray) -> pa.RecordBatch:
-        node, component, n = (pa.array(data[:, k]) for k in (-3, -2, -1))
-        nulls = pa.nulls(len(data), pa.int64())
-        return pa.RecordBatch.from_arrays([node, nulls, component, nulls, n, nulls, pa.array(data[:, 0])], names=PAIR_NAMES)
+        return _members(*(np.ascontiguousarray(data[:, k]) for k in (-4, -3, -2, -1, 0)), False)
 
     def whole(data: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate([[True], (data[1:, :keys] != data[:-1, :keys]).any(axis=1)]))
@@ -222,7 +268,7 @@ def _paired(batches: Iterator[pa.RecordBatch], names: list[str], least: float, m
     for batch in batches:
         if not batch.num_rows:
             continue
-        data = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in [*names, "node", "component", "n"]], axis=1)
+        data = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in [*names, *PLACE]], axis=1)
         if flooded is not None:
             same = (data[:, :keys] == flooded).all(axis=1)
             if same.any():
@@ -291,16 +337,16 @@ def unmet(texts: DataFrame, classes: DataFrame, rows: int, shingle: int, similar
     common, ranks = _common(texts, rows, shingle)
     firsts = (
         texts.mapInArrow(
-            lambda batches: _prefixed(batches, shingle, similarity, common, ranks), "digest binary, n long, firsts binary"
+            lambda batches: _prefixed(batches, shingle, similarity, common, ranks), "digest binary, n long, sign long, firsts binary"
         )
         .where("n > 0")
         .groupBy("digest")
-        .agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
+        .agg(*(F.first(c).alias(c) for c in ("n", "sign", "firsts")))
     )
     keyed = (
         firsts.join(classes, "digest")
-        .select("node", "component", "n", "firsts")
-        .mapInArrow(_each_key, "key long, node long, component long, n long")
+        .select(*PLACE, "firsts")
+        .mapInArrow(_each_key, "key long, " + ", ".join(f"{c} long" for c in PLACE))
     )
     met = stored(
         keyed.repartition("key")
@@ -309,40 +355,67 @@ def unmet(texts: DataFrame, classes: DataFrame, rows: int, shingle: int, similar
         "copies-met",
     )
     # a shingle of many texts is dealt with in pairs of tiles; pairs met twice do no harm
-    crowded = met.where("b is null").select("key", F.col("a").alias("node"), F.col("ca").alias("component"), F.col("na").alias("n"))
-    tiles = crowded.groupBy("key").agg(F.ceil(F.count("*") / TILE_ROWS).alias("tiles"))
+    waiting = F.col("b").isNull()
+    named = {"a": "node", "ca": "component", "na": "n", "nb": "sign"}
+    flooded = met.where(waiting & F.col("cb").isNull()).select("key", *(F.col(c).alias(n) for c, n in named.items()))
+    tiles = flooded.groupBy("key").agg(F.ceil(F.count("*") / TILE_ROWS).alias("tiles"))
     names = ["key", "i", "j"]
-    more = (
-        crowded.join(tiles, "key")
-        .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "node", "component", "n")
+    more = stored(
+        _tiled(flooded.join(tiles, "key"))
+        .select(*names, *PLACE)
         .repartition(*names)
         .sortWithinPartitions(*names, "n")
-        .mapInArrow(lambda batches: _paired(batches, names, similarity, 1 << 62), PAIRS)
+        .mapInArrow(lambda batches: _paired(batches, names, similarity, 1 << 62), PAIRS),
+        "copies-met-tiles",
     )
+    every = met.where(~waiting | F.col("cb").isNotNull()).unionByName(more)
     wanted = F.greatest(F.lit(1), F.floor(F.least("na", "nb") / PREFIX_PART))
     pairs = stored(
-        met.where("b is not null")
-        .unionByName(more)
+        every.where(~waiting)
         .groupBy("a", "b", "na", "nb")
         .agg(F.count("*").alias("shared"), F.first("ca").alias("ca"), F.first("cb").alias("cb"))
+        # pairs of a crowd are not counted, but whatever a crowd holds is compared there
         .where(F.col("shared") >= wanted)
         .select("a", "b", "ca", "cb")
         .distinct(),
         "copies-pairs",
     )
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = stored(_sets(texts, ends, shingle).distinct(), "copies-sets")
+    crowds = stored(
+        every.where(waiting).select(F.col("key").alias("crowd"), *(F.col(c).alias(n) for c, n in named.items())).distinct(), "copies-crowds"
+    )
+    ends = [pairs.select(F.col(c).alias("doc_id")) for c in ("a", "b")] + [crowds.select(F.col("node").alias("doc_id"))]
+    sets = stored(_sets(texts, ends[0].unionByName(ends[1]).unionByName(ends[2]).distinct(), shingle).distinct(), "copies-sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("two"))
-    return (
+    by_pair = (
         pairs.join(one, "a")
         .join(two, "b")
         .select("ca", "cb", "one", "two")
         .mapInArrow(lambda batches: _alike(batches, similarity), "ca long, cb long")
-        .distinct()
     )
+    size = F.greatest(F.ceil(F.count("*") / TILE_DOCUMENTS), F.ceil(F.sum("n") / TILE_WORDS))
+    crowded = crowds.join(crowds.groupBy("crowd").agg(size.alias("tiles")), "crowd")
+
+    def verified(rows: pd.DataFrame) -> pd.DataFrame:
+        component = rows["component"].to_numpy(np.int64)
+        left, right = similar([np.frombuffer(s, np.uint64) for s in rows["shingles"]], similarity)
+        return pd.DataFrame({"ca": component[left], "cb": component[right]})
+
+    by_crowd = (
+        _tiled(crowded.join(sets, F.col("node") == F.col("doc_id")))
+        .select("crowd", "i", "j", "component", "shingles")
+        .groupBy("crowd", "i", "j")
+        .applyInPandas(verified, "ca long, cb long")
+    )
+    return by_pair.unionByName(by_crowd).where("ca <> cb").distinct()
+
+
+def _tiled(rows: DataFrame) -> DataFrame:
+    """Each row in all pairs (i, j) of the ``tiles`` of its group that its own tile is one of."""
+    tile = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    )
+    return tile.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
 
 
 def near_copies(

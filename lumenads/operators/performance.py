@@ -7,7 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenads.functions.metrics import half_up, ratio, summarise, with_rates
-from lumenads.sources.files import stored
+
+
+def shared_rows(df: DataFrame, keys) -> DataFrame:
+    """``df``, which has one row per ``keys``, for a plan that reads it in several branches.
+
+    The row is packed by an aggregate, below which neither a branch's filter nor its
+    choice of columns gets. So all branches need the very same shuffle by ``keys``, and
+    Spark runs it, with all that lies before it, once.
+    """
+    packed = df.groupBy(*keys).agg(F.max(F.struct(*df.columns)).alias("_row"))
+    return packed.select(*[F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
 def performance(
@@ -33,16 +43,16 @@ def performance(
     return out if n is None else out.limit(n)
 
 
-def with_share(df: DataFrame, digits: int = 1, many_groups: bool = False, **shares: str) -> DataFrame:
+def with_share(df: DataFrame, digits: int = 1, many_by=(), **shares: str) -> DataFrame:
     """Percent of the column total; ``shares`` maps output name to column.
 
-    With few groups a window over the aggregate reads the facts once. With
-    ``many_groups`` no task may hold them all, so the totals are a one-row
-    aggregate beside the rows, and the rows are stored before both read them.
+    With few groups a window over the aggregate reads the facts once. With very
+    many, one per ``many_by``, no task may hold them all, so the totals are a one-row
+    aggregate beside the rows; both read the same shuffled groups.
     """
     columns = list(dict.fromkeys(shares.values()))
-    if many_groups:
-        df = stored(df, "grouped")
+    if many_by:
+        df = shared_rows(df, many_by)
         totals = df.agg(*[F.sum(c).alias(f"_total_{c}") for c in columns])
         joined = df.crossJoin(F.broadcast(totals))
     else:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenads.functions.metrics import ratio
 from lumenads.functions.text import sql_hash
-from lumenads.session import shared_dir
+from lumenads.operators.performance import shared_rows
 
 
 def hour_completeness(hourly: DataFrame, day=("year", "month", "day"), expected: int = 24) -> DataFrame:
@@ -84,16 +84,14 @@ def feedback_dedup(feedback: DataFrame) -> DataFrame:
     """Pending feedback with its new status: the first of each SQL hash stays
     pending, later ones are duplicates.
 
-    The hash is computed once per row into a slim table in the shared folder; the
-    first rows and the flags are found there, and no SQL text is shuffled. Returned
-    are feedback_id, sql_hash, created_at and status.
+    The hash is computed once per row; the first rows and the flags both come from the
+    same shuffle of slim rows, and no SQL text is shuffled. ``feedback_id`` names a row.
+    Returned are feedback_id, sql_hash, created_at and status.
     """
     hashed = feedback.where(F.col("status") == "pending").select(
         "feedback_id", "created_at", F.coalesce("sql_hash", sql_hash("sql")).alias("sql_hash")
     )
-    path = shared_dir(feedback.sparkSession, "feedback-hashes")
-    hashed.write.parquet(path)
-    slim = feedback.sparkSession.read.schema(hashed.schema).parquet(path)
+    slim = shared_rows(hashed, ("feedback_id",))
     flagged = first_per_hash(slim, "sql_hash", ["created_at", "feedback_id"])
     return flagged.withColumn(
         "status", F.when(F.col("is_first"), F.lit("pending")).otherwise(F.lit("duplicate"))

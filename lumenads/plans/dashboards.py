@@ -21,9 +21,9 @@ from lumenads.operators.performance import (
     running_total,
     vs_average,
     with_share,
+    shared_rows,
 )
 from lumenads.plans.reports import down, within
-from lumenads.sources.files import stored
 
 BASE = ("impressions", "clicks", "cost_full", "revenue", "conversions")
 BASE_COLUMNS = performance_needs(BASE, ("dt",))
@@ -242,7 +242,7 @@ def underperforming_ads(
     ctr = ratio("clicks", "impressions", 100, None, 0.0)
     roas = ratio("revenue", "cost_full", 1, None, 0.0)
     # one row per ad, read for the averages and for the comparison with them
-    rated = stored(ads.withColumn("_ctr", ctr).withColumn("_roas", roas), "rated-ads")
+    rated = shared_rows(ads.withColumn("_ctr", ctr).withColumn("_roas", roas), keys)
     averages = rated.where(c("impressions") >= min_rows).agg(
         half_up(F.avg("_ctr"), 6).alias("average_ctr"), half_up(F.avg("_roas"), 6).alias("average_roas")
     )
@@ -434,7 +434,7 @@ def rank_roas(facts: DataFrame, start: str, end: str, dim: str = "campaign_id",
         paid, (dim,), BASE, ("ctr_percent", "cvr_percent"), 0.0,
         (F.col("cost_full") > 0) & (F.col("revenue") > 0),
     ).withColumn("roas", ratio("revenue", "cost_full", 1, 6))
-    shared = with_share(groups, many_groups=True, revenue_share="revenue")
+    shared = with_share(groups, many_by=(dim,), revenue_share="revenue")
     return ranked_top(shared, (down("roas"), dim), n)
 
 

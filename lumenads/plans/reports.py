@@ -18,8 +18,7 @@ from lumenads.functions.dates import (
 )
 from lumenads.functions.metrics import change_rate, measure, performance_needs, ratio, summarise, with_rates
 from lumenads.operators.joins import with_previous
-from lumenads.operators.performance import performance
-from lumenads.sources.files import stored
+from lumenads.operators.performance import performance, shared_rows
 
 KPI_MEASURES = (
     "impressions_distinct",
@@ -244,29 +243,46 @@ ACTION_COLUMNS = performance_needs(KPI_MEASURES, ("dt", "store_id", "food_catego
 
 class _RuleTotals:
     """All that the rules read, from one scan: measures by shop, category and conversion
-    type and in all, of both periods, by grouping sets. The result has one row per
-    key and period and is stored, so each rule reads it and not the facts."""
+    type and in all, of both periods. Facts are reduced by (key, impression) inside
+    tasks first, which leaves one row per impression for the counts of distinct ones
+    and a handful for the keys that need none. One row per key and period comes of
+    it, shuffled once for all rules; nothing runs before the result is asked for."""
 
-    # grouping id of a set: a bit per key, in this order, that is summed over
     KEYS = ("store_id", "food_category", "conversion_type")
+    ALL = "all"
 
     def __init__(self, facts: DataFrame, current, previous, measures):
         self.measures = tuple(dict.fromkeys((*KPI_MEASURES, *measures)))
-        sets = [(key, "_period") for key in self.KEYS] + [("_period",)]
-        totals = (
-            _two_periods(facts, current, previous)
-            .groupingSets(sets, *self.KEYS, "_period")
-            .agg(
-                F.grouping_id().alias("_set"),
-                *[measure(m) for m in self.measures],
-                F.count_if("is_conversion").alias("n"),
+        # distinct impressions are counted by shop and category, and in all if a target asks for it
+        counted = {"store_id", "food_category"} | ({self.ALL} if "impressions_distinct" in measures else set())
+        nothing = F.lit(None).cast("string")
+        sets = [
+            F.struct(
+                F.lit(key).alias("key"),
+                (nothing if key == self.ALL else F.col(key)).alias("value"),
+                (F.col("impression_id") if key in counted else nothing).alias("id"),
             )
+            for key in (*self.KEYS, self.ALL)
+        ]
+        added = [m for m in self.measures if m != "impressions_distinct"]
+        keys = ("_key", "_value", "_period")
+        each = (
+            _two_periods(facts, current, previous)
+            .withColumn("_set", F.explode(F.array(*sets)))
+            .groupBy(F.col("_set.key").alias("_key"), F.col("_set.value").alias("_value"), "_period", F.col("_set.id").alias("_id"))
+            .agg(*[measure(m) for m in added], F.count_if("is_conversion").alias("n"))
+        )
+        kinds = {f.name: f.dataType for f in each.schema}
+        totals = each.groupBy(*keys).agg(
+            F.count("_id").alias("impressions_distinct"),
+            *[F.sum(m).cast(kinds[m]).alias(m) for m in (*added, "n")],
         )
-        self.rows = stored(totals, "rule-totals")
+        self.rows = shared_rows(totals, keys)
 
-    def by(self, *keys: str) -> DataFrame:
-        out = sum(2 ** (len(self.KEYS) - i) for i, key in enumerate(self.KEYS) if key not in keys)
-        return self.rows.where(F.col("_set") == out).select(*keys, "_period", *self.measures, "n")
+    def by(self, key: str = ALL) -> DataFrame:
+        return self.rows.where(F.col("_key") == key).select(
+            F.col("_value").alias(key), "_period", *self.measures, "n"
+        )
 
     def shops(self, having) -> DataFrame:
         now = self.by("store_id").where(F.col("_period") == "current")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lumenads.functions.dates import tuple_range
 from lumenads.schemas import HOUR_PARTITION, with_partitions
-from lumenads.session import shared_dir
 
 
 def scan_hive_parquet(
@@ -49,14 +48,6 @@ def write_partitioned(
     )
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once below the shared folder and read back: for a small result that
-    several branches of one plan need, instead of computing it in each."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def write_raw(df: DataFrame, root: str) -> None:
     """Raw events: hour partitions, zstd."""
     write_partitioned(df, root, HOUR_PARTITION, "zstd")
