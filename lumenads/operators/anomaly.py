@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import sys
 
 import numpy as np
@@ -10,17 +12,16 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lumenads.functions.metrics import half_up
+from lumenads.operators.performance import shared_rows
 
 # Task code travels by value, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# 95 % interval, outlier share and seed of the two detectors.
+# 95 % interval, outlier share and size of the two detectors.
 Z_95 = 1.959963984540054
 CONTAMINATION = 0.05
-SEED = 42
 TREES = 100
 SAMPLE = 256
 _EULER = 0.5772156649015329
@@ -123,91 +124,121 @@ def score_band(
 
 # ---------------------------------------------------------- isolation forest
 
-_TREE_SCHEMA = "tree int, rows int, edges array<double>, path_lengths array<double>"
+_TREE_SCHEMA = "tree int, rows int, low double, high double, path_length double"
+# Cells that the range of the merged cut points is divided into for the range join.
+CELLS = 4_096
 
 
-def average_path(n) -> np.ndarray:
+def average_path(n: float) -> float:
     """Mean depth of an unsuccessful search in a tree over ``n`` values."""
-    n = np.asarray(n, dtype=float)
-    out = np.zeros_like(n)
-    out[n == 2] = 1.0
-    big = n > 2
-    out[big] = 2.0 * (np.log(n[big] - 1.0) + _EULER) - 2.0 * (n[big] - 1.0) / n[big]
-    return out
+    if n <= 2:
+        return 1.0 if n == 2 else 0.0
+    return 2.0 * (math.log(n - 1.0) + _EULER) - 2.0 * (n - 1.0) / n
 
 
-def _grow(values: np.ndarray, seed: int) -> tuple[list[float], list[float]]:
+def draw(tree: int, path: str) -> float:
+    """Number in [0, 1) for a node, from its place in the tree; SQL can draw the same."""
+    return int(hashlib.md5(f"{tree}:{path}".encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
+def _grow(values: np.ndarray, tree: int) -> list[tuple]:
     """One random tree over a single feature, flattened to intervals.
 
-    A split of one feature cuts the line, so the leaves are intervals: the cut
-    points in order and the path length of each interval say all of it.
+    A split of one feature cuts the line, so the leaves are intervals (low, high]
+    with a path length each; the outer ends are open (null).
     """
-    rng = np.random.default_rng(seed)
-    limit = int(np.ceil(np.log2(max(len(values), 2))))
-    edges: list[float] = []
-    lengths: list[float] = []
-
-    def split(part: np.ndarray, depth: int) -> None:
-        if depth >= limit or len(part) <= 1 or part[0] == part[-1]:
-            lengths.append(depth + float(average_path([len(part)])[0]))
+    limit = math.ceil(math.log2(max(len(values), 2)))
+    leaves: list[tuple] = []
+
+    def split(part: np.ndarray, path: str, low: float | None, high: float | None) -> None:
+        if len(path) >= limit or len(part) <= 1 or part[0] == part[-1]:
+            leaves.append((tree, len(values), low, high, len(path) + average_path(len(part))))
             return
-        cut = float(rng.uniform(part[0], part[-1]))
+        cut = float(part[0] + draw(tree, path) * (part[-1] - part[0]))
         where = int(np.searchsorted(part, cut, side="right"))
-        split(part[:where], depth + 1)
-        edges.append(cut)
-        split(part[where:], depth + 1)
+        split(part[:where], path + "0", low, cut)
+        split(part[where:], path + "1", cut, high)
 
-    split(np.sort(values), 0)
-    return edges, lengths
+    split(np.sort(values), "", None, None)
+    return leaves
 
 
-def fit_forest(history: DataFrame, time: str, value: str, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """One row per tree. Every tree sees its own sample of at most ``sample`` rows, the
-    method's subsample size, or the whole history if that is smaller; ``rows`` says.
+def fit_forest(history: DataFrame, time: str, value: str, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
+    """Trees as rows (tree, rows, low, high, path_length). Every tree sees its own sample of at
+    most ``sample`` rows, the method's subsample size, or the whole history if that is
+    smaller; ``rows`` says.
 
     The sample of a tree is the rows with the smallest hash of (tree, time):
     a bounded top-k per tree that is cut inside each task before the shuffle,
     so at most ``trees * sample`` rows per task move.
     """
     ids = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
+    second = F.unix_seconds(time).cast("string")
     keyed = history.select(
-        F.col(value).cast("double").alias("value"), F.col(time).alias("_t"), ids.alias("tree")
-    ).withColumn("_h", F.xxhash64(F.lit(seed), "tree", "_t"))
-    w = W.partitionBy("tree").orderBy("_h", "_t")
+        F.col(value).cast("double").alias("value"), second.alias("_t"), ids.alias("tree")
+    ).withColumn("_h", F.md5(F.concat_ws("-", F.col("tree").cast("string"), "_t").cast("binary")))
+    w = W.partitionBy("tree").orderBy("_h", "value")
     drawn = keyed.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= sample)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        edges, lengths = _grow(pdf["value"].to_numpy(dtype=float), seed * 100_003 + tree)
-        return pd.DataFrame({"tree": [tree], "rows": [len(pdf)], "edges": [edges], "path_lengths": [lengths]})
+        leaves = _grow(pdf["value"].to_numpy(dtype=float), int(pdf["tree"].iloc[0]))
+        return pd.DataFrame(leaves, columns=["tree", "rows", "low", "high", "path_length"])
+
+    grown = drawn.select("tree", "value").groupBy("tree").applyInPandas(grow, _TREE_SCHEMA)
+    return shared_rows(grown, ("tree", "low"))
 
-    return drawn.select("tree", "value").groupBy("tree").applyInPandas(grow, _TREE_SCHEMA)
+
+def forest_steps(forest: DataFrame) -> DataFrame:
+    """All trees as one step function: (low, high, depth), the summed path length in (low, high].
+
+    A forest has at most ``trees * 2 * sample`` rows whatever the data size, so one
+    task puts its cut points in order."""
+    by_tree = W.partitionBy("tree").orderBy(F.asc_nulls_first("low"))
+    change = F.col("path_length") - F.coalesce(F.lag("path_length").over(by_tree), F.lit(0.0))
+    changes = forest.select("low", change.alias("_change")).groupBy("low").agg(F.sum("_change").alias("_change"))
+    along = W.orderBy(F.asc_nulls_first("low"))
+    return changes.select("low", F.lead("low").over(along).alias("high"), F.sum("_change").over(along).alias("depth"))
 
 
 def score_forest(series: DataFrame, forest: DataFrame, value: str) -> DataFrame:
     """Score in (0, 1] per row; higher is more isolated. Path lengths are measured by the
     mean path in trees of as many rows as each was grown from.
 
-    Trees number ``TREES`` and each has at most ``2 * SAMPLE`` leaves, so the
-    collected forest is a few hundred kilobytes whatever the data size.
+    A range join of the different values with the steps, by cells of the cut points'
+    range, so a value meets the few steps of its cell; rows take their value's score.
     """
-    rows = forest.orderBy("tree").collect()
-    model = [
-        (np.array(r["edges"], dtype=float), np.array(r["path_lengths"], dtype=float)) for r in rows
-    ]
-    context = series.sparkSession.sparkContext
-    shipped = context.broadcast(model)
-    scale = float(np.mean(average_path([r["rows"] for r in rows]))) or 1.0
-
-    @F.pandas_udf(T.DoubleType())
-    def isolation(values: pd.Series) -> pd.Series:
-        points = values.to_numpy(dtype=float)
-        depth = np.zeros(len(points))
-        for edges, lengths in shipped.value:
-            depth += lengths[np.searchsorted(edges, points, side="left")]
-        return pd.Series(np.power(2.0, -depth / (len(shipped.value) * scale)))
-
-    return series.withColumn("score", F.round(isolation(F.col(value).cast("double")), 9))
+    steps = forest_steps(forest)
+    c = F.col
+    paths = F.expr(
+        f"CASE WHEN rows > 2 THEN 2.0D * (ln(rows - 1.0D) + {_EULER}D) - 2.0D * (rows - 1.0D) / rows "
+        "WHEN rows = 2 THEN 1.0D ELSE 0.0D END"
+    )
+    each = forest.groupBy("tree").agg(F.first("rows").alias("rows"))
+    size = each.agg(F.count("*").alias("_trees"), F.avg(paths).alias("_scale"))
+    span = steps.agg(F.min("low").alias("_from"), F.max("low").alias("_to"))
+    frame = span.crossJoin(size).select(
+        F.coalesce("_from", F.lit(0.0)).alias("_from"),
+        (F.greatest(c("_to") - c("_from"), F.lit(1e-9)) / CELLS).alias("_width"),
+        "_trees", F.coalesce(F.nullif("_scale", F.lit(0.0)), F.lit(1.0)).alias("_scale"),
+    )
+
+    def cell(x):
+        place = (x - c("_from")) / F.coalesce("_width", F.lit(1.0))
+        return F.floor(F.least(F.greatest(place, F.lit(-1.0)), F.lit(float(CELLS)))).cast("int")
+
+    first = F.when(c("low").isNull(), -1).otherwise(cell(c("low")))
+    last = F.when(c("high").isNull(), CELLS).otherwise(cell(c("high")))
+    spread = steps.crossJoin(F.broadcast(frame)).select(
+        "low", "high", "depth", F.explode(F.sequence(first, last)).alias("_cell")
+    )
+    values = series.select(c(value).cast("double").alias("_v")).where("_v is not null").distinct()
+    placed = values.crossJoin(F.broadcast(frame)).withColumn("_cell", cell(c("_v")))
+    inside = (c("low").isNull() | (c("_v") > c("low"))) & (c("high").isNull() | (c("_v") <= c("high")))
+    scored = placed.join(spread, "_cell").where(inside).select(
+        "_v", F.round(F.pow(F.lit(2.0), -c("depth") / (c("_trees") * c("_scale"))), 9).alias("score")
+    )
+    rows = series.withColumn("_v", c(value).cast("double"))
+    return rows.join(shared_rows(scored, ("_v",)), "_v", "left").select(*series.columns, "score")
 
 
 def flag_outliers(scored: DataFrame, threshold: DataFrame) -> DataFrame:

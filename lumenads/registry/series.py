@@ -184,12 +184,47 @@ def forest_scored(spark, d, series):
     return A.flag_outliers(scored, A.outlier_threshold(scored))
 
 
-@register("R8_isolation_score")
+def _mean_path(n):
+    return f"CASE WHEN {n} > 2 THEN 2.0::DOUBLE * (ln({n} - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2.0::DOUBLE * ({n} - 1.0::DOUBLE) / {n} WHEN {n} = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+def _forest_sql():
+    """The trees level by level: a node is cut at a place that its name draws."""
+    parts = [f"""s AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS t, COUNT(*) AS n FROM events GROUP BY 1),
+ k AS (SELECT i AS tree, n::DOUBLE AS v, ROW_NUMBER() OVER (PARTITION BY i ORDER BY md5(i::VARCHAR || '-' || epoch(t)::BIGINT::VARCHAR), n) AS rn FROM s, range(0, {A.TREES}) r(i)),
+ l0 AS (SELECT tree, '' AS path, v, COUNT(*) OVER (PARTITION BY tree) AS size, NULL::DOUBLE AS low, NULL::DOUBLE AS high FROM k WHERE rn <= {A.SAMPLE})"""]
+    for level in range(9):
+        draw = "('0x' || substr(md5(tree::VARCHAR || ':' || path), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+        parts.append(f"""n{level} AS (SELECT tree, path, size, low, high, COUNT(*) AS c, MIN(v) + {draw} * (MAX(v) - MIN(v)) AS cut,
+  {level} < ceil(log2(greatest(size, 2))) AND COUNT(*) > 1 AND MIN(v) < MAX(v) AS split FROM l{level} GROUP BY tree, path, size, low, high)""")
+        parts.append(f"""l{level + 1} AS (SELECT l.tree, l.path || CASE WHEN v <= cut THEN '0' ELSE '1' END AS path, v, l.size,
+  CASE WHEN v <= cut THEN l.low ELSE cut END AS low, CASE WHEN v <= cut THEN cut ELSE l.high END AS high
+  FROM l{level} l JOIN n{level} n ON l.tree = n.tree AND l.path = n.path WHERE split)""")
+    leaves = " UNION ALL ".join(f"SELECT tree, size, low, high, {k} + {_mean_path('c')} AS length FROM n{k} WHERE NOT split" for k in range(9))
+    return ",\n ".join(parts) + f""",
+ leaf AS ({leaves}),
+ scale AS (SELECT COUNT(*) AS trees, AVG({_mean_path('size')}) AS scale FROM (SELECT tree, MIN(size) AS size FROM leaf GROUP BY 1)),
+ depth AS (SELECT n, SUM(length) AS depth FROM (SELECT DISTINCT n FROM s) JOIN leaf ON (low IS NULL OR n > low) AND (high IS NULL OR n <= high) GROUP BY 1),
+ sc AS (SELECT t AS window_start, n, round(pow(2.0::DOUBLE, -depth / (trees * COALESCE(NULLIF(scale, 0.0), 1.0))), 9) AS score FROM s JOIN depth USING (n) CROSS JOIN scale),
+ iso AS (SELECT *, score > threshold AS is_outlier FROM sc CROSS JOIN (SELECT quantile_disc(score, {1 - A.CONTAMINATION}) AS threshold FROM sc))"""
+
+
+_FOREST = _forest_sql()
+
+
+@register("R8_isolation_score", f"WITH {_FOREST} SELECT * FROM iso")
 def _(spark, d):
     return forest_scored(spark, d, hourly_counts(spark, d))
 
 
-@register("R9_ensemble_flag")
+# Both detectors start from the same hourly series.
+_BOTH = _FOREST + ",\n" + _BAND.split("\n", 1)[1]
+
+
+@register("R9_ensemble_flag", f"""WITH {_BOTH}
+SELECT window_start, iso.n, CASE WHEN anomaly_type IS NOT NULL OR is_outlier THEN 'ANOMALY' ELSE 'NORMAL' END AS status,
+ CASE WHEN anomaly_type IS NOT NULL AND is_outlier THEN anomaly_type || ' [Prophet + IsoForest]' WHEN anomaly_type IS NOT NULL THEN anomaly_type || ' [Prophet]'
+  WHEN is_outlier THEN 'Outlier [IsoForest]' END AS anomaly_label FROM iso JOIN band USING (window_start)""")
 def _(spark, d):
     series = hourly_counts(spark, d)
     model = A.fit_band(series, "window_start", "n", 3600)

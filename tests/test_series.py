@@ -97,8 +97,11 @@ def test_forest_isolates_extremes(spark):
     series = counts(spark, rows)
     forest = A.fit_forest(series, "ts", "n")
     trees = forest.collect()
-    assert len(trees) == A.TREES
-    assert all(len(t.path_lengths) == len(t.edges) + 1 and list(t.edges) == sorted(t.edges) for t in trees)
+    assert len({t.tree for t in trees}) == A.TREES
+    for tree in range(A.TREES):  # intervals without gap or overlap, open at both ends
+        cuts = sorted((t.low, t.high) for t in trees if t.tree == tree and t.low is not None)
+        first = [t for t in trees if t.tree == tree and t.low is None]
+        assert len(first) == 1 and [c[0] for c in cuts] == [first[0].high, *[c[1] for c in cuts[:-1]]] and cuts[-1][1] is None
     scored = A.score_forest(series, forest, "n")
     flagged = A.flag_outliers(scored, A.outlier_threshold(scored)).where("is_outlier").collect()
     assert {5000, 0} <= {r.n for r in flagged}
@@ -111,6 +114,13 @@ def test_forest_scores_of_a_short_history(spark):
     series = counts(spark, [(minute(5 * i), 100 + i % 7) for i in range(60)])
     forest = A.fit_forest(series, "ts", "n")
     assert {t.rows for t in forest.collect()} == {60}
+    by_tree = {}
+    for t in forest.collect():
+        by_tree.setdefault(t.tree, []).append(t)
+    for step in A.forest_steps(forest).collect():  # the steps are the sum over the trees
+        inside = step.high if step.high is not None else step.low + 1
+        own = [t for rows in by_tree.values() for t in rows if (t.low is None or inside > t.low) and (t.high is None or inside <= t.high)]
+        assert abs(step.depth - sum(t.path_length for t in own)) < 1e-9 and len(own) == A.TREES
     scores = [r.score for r in A.score_forest(series, forest, "n").collect()]
     assert 0.3 < min(scores) and max(scores) < 0.65
 
