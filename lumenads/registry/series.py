@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 from lumenads.functions.metrics import half_up, money_sum, performance_needs, summarise
 from lumenads.operators import anomaly as A
 from lumenads.operators import series as S
+from lumenads.operators import trend as T
 from lumenads.operators.performance import performance
 from lumenads.plans.testbed import ad_events, ad_facts, events, impressions, table
 from lumenads.registry.core import FACTS, ORACLES, SQL, WHOLE, between, pick, r, rates, register
@@ -166,6 +167,19 @@ def _(spark, d):
     return _rounded(banded(spark, d), "predicted", "lower", "upper")
 
 
+# What a month of hourly points tells: a trend with bends, daily and weekly waves.
+_FEATURES = ["level", "slope", *(f"bend{k}" for k in range(T.BENDS))] + [
+    f"{wave}_{kind}{k}" for wave in ("daily", "weekly") for k in range(1, T.WAVES[wave][1] + 1) for kind in ("sin", "cos")
+]
+
+
+@register("R7_trend_fit", " UNION ALL ".join(f"SELECT '{name}' AS feature, COUNT(*) > 0 AS solved FROM events" for name in _FEATURES))
+def _(spark, d):
+    """Least squares is its normal equations: they are checked over all points."""
+    series = hourly_counts(spark, d)
+    return T.normal_equations(series, T.fit_trend(series, "window_start", "n"), "window_start", "n")
+
+
 @register("R10_latest_alert", f"""WITH {_BAND}, o AS ({_BAND_OUT} FROM band ORDER BY window_start DESC LIMIT 1)
 SELECT *, status = 'ANOMALY' AS alert, CASE WHEN status = 'ANOMALY' THEN strftime(window_start - INTERVAL 60 MINUTE, '%H:%M') || ' ~ ' || strftime(window_start, '%H:%M') END AS span FROM o""")
 def _(spark, d):
