@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenads.functions.metrics import measure, performance_needs, summarise
+from lumenads.operators import sketches as K
 from lumenads.operators.performance import performance, with_share
 from lumenads.plans import dashboards as D
 from lumenads.plans.testbed import ad_facts
 from lumenads.registry.core import (
     DAY, FACTS, SQL, WHOLE, between, div, grouped, pick, r, rates, register,
 )
+from lumenads.session import shared_dir
 
 BASE = D.BASE
 W1, W2 = WHOLE
@@ -468,6 +470,49 @@ def _(spark, d):
     return rows.agg(F.approx_count_distinct("user_id", 0.01).alias("users"), F.count(F.lit(1)).alias("impressions"))
 
 
+_MONTH_USERS = f"WITH {FACTS} SELECT month, COUNT(DISTINCT user_id) AS users{{0}} FROM facts WHERE year = '1997' GROUP BY 1"
+
+
+def _user_days(spark, d):
+    """Bitmaps and sketches of the users of every day, stored."""
+    root = shared_dir(spark, "user-days")
+    rows = ad_facts(spark, d, ("dt", "user_id"))
+    K.number_users(rows, f"{root}/numbers")
+    K.save_day_bitmaps(rows, K.numbers(spark, f"{root}/numbers"), f"{root}/bitmaps")
+    K.save_day_sketches(rows, f"{root}/sketches")
+    return f"{root}/bitmaps", f"{root}/sketches"
+
+
+@register("G43_bitmap_users", _MONTH_USERS.format(""))
+def _(spark, d):
+    """Months as unions of their stored days: exact."""
+    bitmaps, _sketches = _user_days(spark, d)
+    return K.users_in(spark, bitmaps, *P1, by={"month": F.date_format("dt", "MM")})
+
+
+@register("G43_sketch_users", _MONTH_USERS.format(", TRUE AS within_3_percent"))
+def _(spark, d):
+    """The same from merged sketches, held against the exact number."""
+    bitmaps, sketches = _user_days(spark, d)
+    month = {"month": F.date_format("dt", "MM")}
+    exact = K.users_in(spark, bitmaps, *P1, by=month)
+    about = K.about_users_in(spark, sketches, *P1, by=month).withColumnRenamed("users", "about")
+    near = F.abs(F.col("about") - F.col("users")) <= F.col("users") * 0.03
+    return exact.join(about, "month").select("month", "users", near.alias("within_3_percent"))
+
+
+@register("G44_quantile_days", f"""WITH {FACTS} SELECT campaign_id, COUNT(*) AS n, TRUE AS within FROM facts
+ WHERE cpc IS NOT NULL AND {between(P1)} GROUP BY 1""")
+def _(spark, d):
+    """Median of a year from stored days; its rank is off by one percent at most."""
+    path = shared_dir(spark, "cost-days")
+    rows = ad_facts(spark, d, ("dt", "campaign_id", "cost_per_click"))
+    K.save_day_quantiles(rows, path, ("campaign_id",), "cost_per_click")
+    median = K.quantile_in(spark, path, *P1, 0.5, ("campaign_id",), "campaign_id string")
+    year = ad_facts(spark, d, ("campaign_id", "cost_per_click"), P1)
+    return K.rank_within(year, median, ("campaign_id",), "cost_per_click", 0.5)
+
+
 @register("G44_median_cost", f"WITH {FACTS} SELECT campaign_id, CAST(quantile_disc(cpc, 0.5) AS DOUBLE) AS median_cost FROM facts WHERE cpc IS NOT NULL GROUP BY 1")
 def _(spark, d):
     rows = ad_facts(spark, d, ("campaign_id", "cost_per_click"))
