@@ -12,6 +12,7 @@ from lumenads.operators import similarity as V
 from lumenads.plans.testbed import table
 from lumenads.registry.core import register
 from lumenads.session import shared_dir
+from lumenads.sources.keyed import KeyedTable
 
 # --- history ----------------------------------------------------------------
 # A run per order, feedback per accepted or returned line.
@@ -59,6 +60,23 @@ def _(spark, d):
     return H.with_feedback(history(spark, d), feedback(spark, d))
 
 
+@register("H2_history_update_in_place", f"""WITH {HIST}, n AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY history_id ORDER BY feedback_at DESC, feedback DESC, trained DESC) AS rn FROM fb) WHERE rn = 1)
+SELECT h.*, n.feedback, n.feedback_at, n.trained FROM hist h LEFT JOIN n USING (history_id)""")
+def _(spark, d):
+    """Feedback arrives in three batches, the newest first; the second one is replayed."""
+    rows = history(spark, d)
+    given = feedback(spark, d)
+    empty = [F.lit(None).cast(given.schema[c].dataType).alias(c) for c in ("feedback", "feedback_at", "trained")]
+    whole = rows.select(*[c for c in rows.columns if c not in given.columns or c == "history_id"], *empty)
+    stored = KeyedTable(shared_dir(spark, "history-keyed"), whole.schema, "history_id", 16)
+    stored.update(whole, 1)
+    year = F.year("feedback_at")
+    parts = (year >= 1998, (year >= 1996) & (year < 1998), year < 1996)
+    for batch, part in ((2, parts[0]), (3, parts[1]), (3, parts[0]), (4, parts[2])):
+        stored.update(given.where(part), batch, ("feedback_at", "feedback", "trained"), insert=False)
+    return stored.read(spark)
+
+
 @register("H3_history_lookup", f"WITH {HIST} SELECT * FROM hist WHERE history_id = '1234'")
 def _(spark, d):
     return H.lookup(history(spark, d), "1234")
@@ -258,6 +276,20 @@ def _(spark, d):
     return E.result_equal(rows, shuffled)
 
 
+@register("E2_result_digest", f"""WITH f AS ({_SIDE.format('F')}), o AS ({_SIDE.format('O')}), j AS (SELECT f.n AS x, o.n AS y FROM f FULL JOIN o USING (a, b, c))
+SELECT 'sides' AS compared, COUNT(*) = 0 AS equal FROM j WHERE COALESCE(x, 0) <> COALESCE(y, 0) UNION ALL SELECT 'itself', COUNT(*) >= 0 FROM j""")
+def _(spark, d):
+    """Two different results, and one beside itself with other column names, order and types."""
+    click = F.col("l_returnflag") != "N"
+    left = _side(spark, d, "F").select("o_orderpriority", click.alias("clicked"), "l_quantity")
+    right = _side(spark, d, "O").select(F.format_string("%.2f", "l_quantity").alias("q"), "o_orderpriority", click.alias("was_clicked"))
+    rows = table(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_discount")
+    other = rows.select(F.col("l_discount").cast("string").alias("x"), F.col("l_quantity").cast("int").alias("y"), F.col("l_returnflag").alias("z"))
+    named = [(E.same_result(left, right), "sides"), (E.same_result(rows, other), "itself")]
+    both = [df.select(F.lit(name).alias("compared"), "equal") for df, name in named]
+    return both[0].unionByName(both[1])
+
+
 CASES = """cases AS (SELECT conv_id, turn, role, CASE WHEN role = 'system' THEN '' ELSE text END AS gen, CASE WHEN turn > 3 THEN 0 ELSE turn + 1 END AS g,
  CASE WHEN role = 'assistant' AND turn > 3 THEN 1 WHEN turn > 3 THEN 0 ELSE turn END AS t, role = 'user' AS eq FROM conversations),
  judged AS (SELECT *, CASE WHEN trim(gen) = '' THEN 'no_sql' WHEN g = 0 AND t = 0 THEN 'both_empty' WHEN g = 0 THEN 'empty_result' WHEN eq THEN 'equal' ELSE 'mismatch' END AS reason FROM cases)"""
