@@ -14,8 +14,9 @@ from lumenads.operators import quality as Q
 from lumenads.plans import etl
 from lumenads.plans.testbed import log_tables
 from lumenads.registry.core import div, register
+from lumenads.schemas import DAY_PARTITION, struct_of
 from lumenads.session import shared_dir
-from lumenads.sources.files import write_raw
+from lumenads.sources.files import expire_before, scan_hive_parquet, write_partitioned, write_raw
 
 WEEK = ("2026-03-01", "2026-03-08")
 SPAN = (6, 20)
@@ -128,3 +129,19 @@ def _(spark, d):
     where = tuple_range(*WEEK)
     return Q.reconcile(hourly.scan(spark, where), daily.scan(spark, where), "day")
 
+
+_CUTOFF = "2026-03-04 13:20:00"
+
+
+@register("A15_expire_partitions", f"""WITH {LOGS} SELECT {STAMP.format('t')}, COUNT(*) AS impressions, MIN(strftime(t, '%H')) AS first_hour
+ FROM imp WHERE t >= TIMESTAMP '{_CUTOFF}' GROUP BY ALL""")
+def _(spark, d):
+    root = shared_dir(spark, "expiring")
+    rows = log_tables(spark, d)["impressions"]
+    write_partitioned(rows.select("impression_id", "timestamp", "hour", *DAY_PARTITION), root, DAY_PARTITION)
+    shape = struct_of("impression_id string, timestamp bigint, hour string")
+    for _ in range(2):  # a second run changes nothing
+        expire_before(spark, root, shape, _CUTOFF, partitions=DAY_PARTITION)
+    return scan_hive_parquet(spark, root, shape, DAY_PARTITION).groupBy(*DAY_PARTITION).agg(
+        F.count(F.lit(1)).alias("impressions"), F.min("hour").alias("first_hour")
+    )

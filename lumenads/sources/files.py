@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenads.functions.dates import tuple_range
 from lumenads.schemas import HOUR_PARTITION, with_partitions
+from lumenads.session import shared_dir
 
 
 def scan_hive_parquet(
@@ -86,3 +87,46 @@ def retention_filter(df: DataFrame, column: str, now: str, days: int = 90) -> Da
 def ttl_filter(df: DataFrame, now_epoch: int, column: str = "ttl") -> DataFrame:
     """Key-value rows whose expiry second lies ahead or is not set."""
     return df.where(F.col(column).isNull() | (F.col(column) > F.lit(now_epoch)))
+
+
+def expire_before(spark: SparkSession, root: str, schema, cutoff: str, time: str = "timestamp", partitions=HOUR_PARTITION) -> dict[str, int]:
+    """Drop what lies before ``cutoff`` (UTC, ``time`` in epoch milliseconds) from a partitioned table.
+
+    Partitions that end before it go as folders, by their names; only the one that the cutoff
+    falls into is read, and written again without its old rows. Returns how many went
+    (``dropped``) and whether one was written again (``border``). A second run changes nothing.
+    Partition names come from year, month, day and, if there, hour; names of other
+    shapes are left alone. A row without a time is as old as its partition.
+    """
+    fs, top = _file_system(spark, root)
+    stamp = cutoff.replace("T", " ").replace("-", " ").replace(":", " ").split()
+    border = tuple(f"{name}={part}" for name, part in zip(partitions, stamp))
+    dropped, on_border = 0, False
+    pattern = top.suffix("/" + "/".join(f"{p}=*" for p in partitions))
+    for status in fs.globStatus(pattern) or ():
+        path = status.getPath()
+        names = tuple(path.toString().rstrip("/").split("/")[-len(partitions):])
+        if len(stamp) < len(partitions) or not all(n.split("=")[-1].isdigit() for n in names):
+            continue
+        if names < border:
+            dropped += bool(fs.delete(path, True))
+        on_border = on_border or names == border
+    if on_border:
+        one = F.lit(True)
+        for name, part in zip(partitions, stamp):
+            one = one & (F.col(name) == part)
+        limit = F.unix_millis(F.to_utc_timestamp(F.lit(cutoff), F.current_timezone()))
+        rows = scan_hive_parquet(spark, root, schema, partitions, one)
+        staged = shared_dir(spark, "expiry")
+        rows.where(F.col(time) >= limit).write.parquet(staged)
+        kept = spark.read.schema(rows.schema).parquet(staged)
+        if kept.isEmpty():
+            fs.delete(_file_system(spark, f"{root}/{'/'.join(border)}")[1], True)
+        else:
+            write_partitioned(kept, root, partitions, cluster=False)
+    return {"dropped": dropped, "border": int(on_border)}
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
