@@ -11,7 +11,10 @@ An added, cut or replaced passage moves those fingerprints too far, so the pairs
 are not joined yet are found by a prefix filter, which misses none: with all shingles
 in one order, two sets of ``n`` and ``m`` that share ``o`` have ``l`` of the shared ones
 among the first ``n - o + l`` and ``m - o + l``. The order is common shingles last. What
-is common is counted on a sample; that touches the number of candidates only.
+is common is counted on a sample; that touches the number of candidates only. A bit
+signature of each set drops pairs that merely share a passage before they leave
+their task. Texts of one shingle that still give many pairs each are a crowd: it is
+compared like a group above, and gives a forest instead of pairs.
 """
 
 from __future__ import annotations
@@ -43,13 +46,14 @@ MOST_COMMON = 200_000
 HASH_STEPS = 1 << 30
 # Rows of one shingle that are paired at once.
 TILE_ROWS = 2_048
-# Odd factors of 64 hash functions, and how many of 64 bits of two signatures have to agree. Sets
-# with a similarity of 0.8 have 57.6 on average; fewer than 42 are as rare as equal 64-bit hashes
-# in a table of this size are. Sets that share a tenth have 35.
-FACTORS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, 64, np.uint64) | np.uint64(1)
-AGREE = 42
+# Odd factors of the hash functions of a signature, and how many of its bits have to agree. Sets
+# with a similarity of 0.8 have 115 of 128 on average, and fewer than 92 are as rare as equal
+# 64-bit hashes in a table of this size are. Sets that share a tenth have 70, and 92 by chance
+# once in twenty thousand pairs.
+BITS, AGREE = 128, 92
+FACTORS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, BITS, np.uint64) | np.uint64(1)
 # Texts of one shingle that give more pairs than this for each text are compared as a crowd.
-DENSE = 8
+DENSE = 32
 
 
 def word_prints(words: list[bytes], prints: int = PRINTS) -> bytes:
@@ -144,14 +148,14 @@ def prefix(keys: np.ndarray, least: float, common: np.ndarray, ranks: np.ndarray
     return keys[: size - int(np.ceil(least * size - 1e-9)) + max(1, size // PREFIX_PART)]
 
 
-def signature(keys: np.ndarray) -> int:
-    """64 minimum hashes of a set, one bit of each. Of two sets with similarity ``s`` a bit
-    agrees with chance ``(1 + s) / 2``, so too few agreements rule a pair out."""
-    least = np.full(64, np.iinfo(np.uint64).max, np.uint64)
+def signature(keys: np.ndarray) -> list[int]:
+    """``BITS`` minimum hashes of a set, one bit of each, as longs. Of two sets with similarity
+    ``s`` a bit agrees with chance ``(1 + s) / 2``, so too few agreements rule a pair out."""
+    least = np.full(BITS, np.iinfo(np.uint64).max, np.uint64)
     for first in range(0, len(keys), 8_192):
         np.minimum(least, (keys[first : first + 8_192, None] * FACTORS).min(axis=0), out=least)
     bits = ((least ^ (least >> np.uint64(29))) * FACTORS[0]) >> np.uint64(63)
-    return int(np.packbits(bits.astype(np.uint8)).view(">i8")[0])
+    return np.packbits(bits.astype(np.uint8)).view(">i8").tolist()
 
 
 def _prefixed(
@@ -168,13 +172,17 @@ def _prefixed(
             firsts.append(prefix(own, least, common, ranks).tobytes())
             signatures.append(signature(own))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(digests, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, signatures)), pa.array(firsts, pa.binary())],
-            names=["digest", "n", "sign", "firsts"],
+            [
+                pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()),
+                *(pa.array([x[k] for x in signatures], pa.int64()) for k in range(len(SIGNS))), pa.array(firsts, pa.binary()),
+            ],
+            names=["digest", "n", *SIGNS, "firsts"],
         )
 
 
 # What goes with a text to each of its first shingles.
-PLACE = ["node", "component", "n", "sign"]
+SIGNS = [f"sign{k}" for k in range(BITS // 64)]
+PLACE = ["node", "component", "n", *SIGNS]
 
 
 def _each_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +204,10 @@ def _pairs(data: np.ndarray, keys: int, least: float) -> Iterator[pa.RecordBatch
         return
     starts = np.flatnonzero(np.concatenate([[True], (data[1:, :keys] != data[:-1, :keys]).any(axis=1)]))
     sizes = np.diff(np.concatenate([starts, [len(data)]]))
-    component = data[:, -3]
+    component = data[:, keys + 1]
     mixed = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
     data, group = data[np.repeat(mixed, sizes)], np.repeat(np.arange(len(starts)), np.where(mixed, sizes, 0))
-    node, component, n, sign = (np.ascontiguousarray(data[:, k]) for k in (-4, -3, -2, -1))
+    node, component, n, *signs = (np.ascontiguousarray(data[:, k]) for k in range(keys, keys + len(PLACE)))
     found, made, dense = [], np.zeros(len(starts), np.int64), np.zeros(len(starts), bool)
     i = np.arange(len(data))
     for shift in range(1, len(data)):
@@ -209,7 +217,7 @@ def _pairs(data: np.ndarray, keys: int, least: float) -> Iterator[pa.RecordBatch
         if not len(i):
             break
         j = i + shift
-        agreed = 64 - np.bitwise_count((sign[i] ^ sign[j]).view(np.uint64))
+        agreed = BITS - sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int64) for x in signs)
         other = (component[i] != component[j]) & (agreed >= AGREE)
         a, b = i[other], j[other]
         made += np.bincount(group[a], minlength=len(starts))
@@ -222,7 +230,7 @@ def _pairs(data: np.ndarray, keys: int, least: float) -> Iterator[pa.RecordBatch
         mixed_nodes = (mixed_nodes ^ (mixed_nodes >> np.uint64(32))) * FACTORS[2]
         names = np.zeros(len(starts), np.uint64)
         np.add.at(names, group, mixed_nodes)
-        yield _members(node[crowd], component[crowd], n[crowd], sign[crowd], names[group[crowd]].view(np.int64), True)
+        yield _members(data[crowd, keys:], names[group[crowd]].view(np.int64), True)
     for a, b in found:
         keep = ~dense[group[a]]
         a, b = a[keep], b[keep]
@@ -230,20 +238,20 @@ def _pairs(data: np.ndarray, keys: int, least: float) -> Iterator[pa.RecordBatch
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         if len(a):
             columns = [node[a], node[b], component[a], component[b], n[a], n[b]]
-            nulls = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), nulls], names=PAIR_NAMES)
+            nulls = [pa.nulls(len(a), pa.int64())] * (1 + len(SIGNS))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), *nulls], names=PAIR_NAMES)
 
 
-def _members(node, component, n, sign, key, crowd: bool) -> pa.RecordBatch:
-    """Rows that are not paired yet, in the columns of pairs: signature as nb, cb for a crowd."""
-    cb = pa.array(np.ones(len(node), np.int64)) if crowd else pa.nulls(len(node), pa.int64())
-    nulls = pa.nulls(len(node), pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(node), nulls, pa.array(component), cb, pa.array(n), pa.array(sign), pa.array(key)], names=PAIR_NAMES
-    )
+def _members(place: np.ndarray, key: np.ndarray, crowd: bool) -> pa.RecordBatch:
+    """Rows that are not paired yet, in the columns of pairs: node as a, component as ca, size as
+    na; cb tells a crowd."""
+    node, component, n, *signs = (pa.array(np.ascontiguousarray(place[:, k])) for k in range(place.shape[1]))
+    nulls = pa.nulls(len(place), pa.int64())
+    cb = pa.array(np.ones(len(place), np.int64)) if crowd else nulls
+    return pa.RecordBatch.from_arrays([node, nulls, component, cb, n, nulls, pa.array(np.ascontiguousarray(key)), *signs], names=PAIR_NAMES)
 
 
-PAIR_NAMES = ["a", "b", "ca", "cb", "na", "nb", "key"]
+PAIR_NAMES = ["a", "b", "ca", "cb", "na", "nb", "key", *SIGNS]
 PAIRS = ", ".join(f"{c} long" for c in PAIR_NAMES)
 
 
@@ -255,7 +263,7 @@ def _paired(batches: Iterator[pa.RecordBatch], names: list[str], least: float, m
     flooded = None
 
     def crowd(data: np.ndarray) -> pa.RecordBatch:
-        return _members(*(np.ascontiguousarray(data[:, k]) for k in (-4, -3, -2, -1, 0)), False)
+        return _members(data[:, keys:], data[:, 0], False)
 
     def whole(data: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate([[True], (data[1:, :keys] != data[:-1, :keys]).any(axis=1)]))
@@ -337,11 +345,11 @@ def unmet(texts: DataFrame, classes: DataFrame, rows: int, shingle: int, similar
     common, ranks = _common(texts, rows, shingle)
     firsts = (
         texts.mapInArrow(
-            lambda batches: _prefixed(batches, shingle, similarity, common, ranks), "digest binary, n long, sign long, firsts binary"
+            lambda batches: _prefixed(batches, shingle, similarity, common, ranks), "digest binary, n long, " + ", ".join(f"{c} long" for c in SIGNS) + ", firsts binary"
         )
         .where("n > 0")
         .groupBy("digest")
-        .agg(*(F.first(c).alias(c) for c in ("n", "sign", "firsts")))
+        .agg(*(F.first(c).alias(c) for c in ("n", *SIGNS, "firsts")))
     )
     keyed = (
         firsts.join(classes, "digest")
@@ -356,8 +364,8 @@ def unmet(texts: DataFrame, classes: DataFrame, rows: int, shingle: int, similar
     )
     # a shingle of many texts is dealt with in pairs of tiles; pairs met twice do no harm
     waiting = F.col("b").isNull()
-    named = {"a": "node", "ca": "component", "na": "n", "nb": "sign"}
-    flooded = met.where(waiting & F.col("cb").isNull()).select("key", *(F.col(c).alias(n) for c, n in named.items()))
+    named = {"a": "node", "ca": "component", "na": "n"}
+    flooded = met.where(waiting & F.col("cb").isNull()).select("key", *(F.col(c).alias(n) for c, n in named.items()), *SIGNS)
     tiles = flooded.groupBy("key").agg(F.ceil(F.count("*") / TILE_ROWS).alias("tiles"))
     names = ["key", "i", "j"]
     more = stored(
