@@ -2,11 +2,12 @@
 
 Each document gets a rate ``exp(tilt of its source)``, the rates closest in
 relative entropy (over words) to one that give every source its target. The dual
-is convex and Newton's method solves it. Each constraint is on one source, so the dual
-falls apart by source: words are summed once, the rounds run on one number per source,
-never on documents or cells, and reach ``ln(target / words)``. Rates become whole copies: documents of one source and size are
-alike, so the copies are first dealt to such cells by running sums, then within
-a cell by a hash of the document. Everything is DataFrame operations.
+is convex and Newton's method solves it: each round sums the tilted words over cells,
+the documents of one source and size. Each constraint is on one source, so the dual
+falls apart by source and the tilts come to ``ln(target / words)``. Rates become whole
+copies: copies are first dealt to cells by running sums, then exchanged between sizes
+while that brings a source nearer to its target, then dealt within a cell by a hash of
+the document. Everything is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ ROUNDS = 60
 TOLERANCE = 1e-12
 # Documents of a cell are dealt out in sub-cells of about this many.
 CELL_ROWS = 256
+# Rounds of exchanges between the sizes of a source.
+EXCHANGES = 4
 
 
 def word_count(text: Column) -> Column:
@@ -82,24 +85,32 @@ def tilts(cells: DataFrame, wanted: DataFrame, rounds: int = ROUNDS, tolerance:
     """(source, source_size, target, tilt): Newton rounds on the dual
     ``sum(words * exp(tilt)) - target * tilt``, whose slope is tilted words less
     target and whose curvature is the tilted words. A source without words, or with
-    target 0, has rate 0 (tilt null). Only the largest error reaches the driver."""
-    # the tilted words are a sum over cells: words by size come in as (source, words)
-    words = cells.groupBy("source").agg(F.sum(F.col("docs") * F.col("size")).cast("double").alias("words"))
-    state = wanted.join(words, wanted["source"].eqNullSafe(words["source"]), "left").select(
-        wanted["source"], "source_size", "target", F.coalesce("words", F.lit(0.0)).alias("words"),
-        F.when(F.col("target") > 0, F.lit(0.0)).alias("tilt"),
-    )
-    state = stored(state, "mixing-tilts")
-    for _ in range(rounds):
-        tilted = F.col("words") * F.exp("tilt")
-        error = F.max(F.abs(tilted - F.col("target")) / F.col("target"))
-        worst = state.where("tilt is not null").agg(error).first()[0]
-        if worst is None or worst <= tolerance:
-            break
+    target 0, has rate 0 (tilt null). Every round sums the tilted words over the cells;
+    only the largest error reaches the driver. Rounds that do not get there raise."""
+    state = wanted.withColumn("tilt", F.when((F.col("target") > 0) & (F.col("source_size") > 0), F.lit(0.0)))
+    state = stored(state.select("source", "source_size", "target", "tilt"), "mixing-tilts")
+    for _ in range(rounds + 1):
+        tilted = (
+            cells.alias("c")
+            .join(state.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")))
+            .groupBy(F.col("s.source").alias("of"))
+            .agg(F.sum(F.col("docs") * F.col("size") * F.exp("tilt")).alias("tilted"))
+        )
+        state = state.join(tilted, state["source"].eqNullSafe(tilted["of"]), "left").drop("of")
         # the step is the Newton step, held to 1 so that far sources do not overshoot
-        step = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("target") - tilted) / tilted))
-        state = stored(state.withColumn("tilt", F.col("tilt") + step), "mixing-tilts")
-    return state
+        gap = (F.col("target") - F.col("tilted")) / F.col("tilted")
+        state = stored(
+            state.select(
+                "source", "source_size", "target", "tilt", (F.abs(gap) * F.col("tilted") / F.col("target")).alias("error"),
+                F.greatest(F.lit(-1.0), F.least(F.lit(1.0), gap)).alias("step"),
+            ),
+            "mixing-tilts",
+        )
+        worst = state.where("tilt is not null").agg(F.max("error")).first()[0]
+        if worst is None or worst <= tolerance:
+            return state.drop("error", "step")
+        state = state.select("source", "source_size", "target", (F.col("tilt") + F.col("step")).alias("tilt"))
+    raise ArithmeticError(f"tilts are off by {worst:.1e} of their targets after {rounds} rounds")
 
 
 def _running(value: Column, *order) -> Column:
@@ -148,8 +159,59 @@ def dealt(cells: DataFrame, tilted: DataFrame, most: int = MOST_COPIES) -> DataF
             ).otherwise(0),
         )
         .withColumn("extra", F.col("extra") + F.when(more, F.col("change")).otherwise(-F.col("change")))
-        .select("source", "size", "salt", "source_size", "target", "rate", "copies", "extra")
-    )
+        .select(
+            "source", "size", "salt", "docs", "source_size", "target", "rate",
+            (F.col("copies") * F.col("docs") + F.col("extra")).cast("long").alias("taken"),
+        )
+    )
+
+
+def exchanged(plan: DataFrame, most: int, rounds: int = EXCHANGES) -> DataFrame:
+    """``plan`` (cells with ``taken``, the copies of all their documents) after exchanges.
+
+    Each round finds, per source, the size that gets a copy more and the size that gets one
+    less (either may be none) whose difference comes closest to what the source lacks:
+    both lists of sizes are put in one order, where the nearest partner of a size
+    stands beside it. An exchange that brings no gain is not made. Sizes of a source
+    are few beside its documents."""
+    nothing = F.lit(0).cast("long")
+    for _ in range(rounds):
+        of = Window.partitionBy("source")
+        lacking = plan.withColumn("lack", F.col("target") - F.sum(F.col("taken") * F.col("size")).over(of))
+        sizes = lacking.where("size > 0").groupBy("source", "size").agg(
+            F.first("lack").alias("lack"),
+            F.max(F.col("taken") < most * F.col("docs")).alias("more"),
+            F.max(F.col("taken") > 0).alias("less"),
+        )
+        none = lacking.groupBy("source").agg(F.first("lack").alias("lack")).select("source", nothing.alias("size"), "lack")
+        more = sizes.where("more").select("source", "size", "lack").unionByName(none)
+        less = sizes.where("less").select("source", "size", "lack").unionByName(none)
+        line = more.select("source", "lack", (F.col("size") - F.col("lack")).alias("at"), F.col("size").alias("up"), nothing.cast("long").alias("down"), F.lit(True).alias("asks")).unionByName(
+            less.select("source", "lack", F.col("size").cast("double").alias("at"), F.lit(None).cast("long").alias("up"), F.col("size").alias("down"), F.lit(False).alias("asks"))
+        )
+        order = Window.partitionBy("source").orderBy("at", "asks", "down")
+        back = Window.partitionBy("source").orderBy(F.desc("at"), "asks", "down")
+        partner = F.when(~F.col("asks"), F.col("down"))
+        beside = line.withColumns({
+            "below": F.last(partner, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+            "above": F.last(partner, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)),
+        }).where("asks")
+        tried = beside.select("source", "lack", "up", F.explode(F.array("below", "above")).alias("down")).where("down is not null")
+        left = F.abs(F.col("lack") - F.col("up") + F.col("down"))
+        best = tried.groupBy("source").agg(F.min(F.struct(left.alias("left"), "up", "down", F.abs("lack").alias("lack"))).alias("b"))
+        best = best.where("b.left < b.lack").select(F.col("source").alias("of"), "b.up", "b.down")
+        # one cell of each chosen size changes: the first that can
+        first = Window.partitionBy("source", "size").orderBy("salt")
+        able = lambda name, can: F.sum(F.when(can, 1).otherwise(0)).over(first.rowsBetween(Window.unboundedPreceding, 0)).alias(name)
+        can_more, can_less = F.col("taken") < most * F.col("docs"), F.col("taken") > 0
+        numbered = plan.select("*", able("nth_more", can_more), able("nth_less", can_less))
+        change = (
+            F.when(can_more & (F.col("nth_more") == 1) & (F.col("size") == F.col("up")) & (F.col("size") > 0), 1).otherwise(0)
+            - F.when(can_less & (F.col("nth_less") == 1) & (F.col("size") == F.col("down")) & (F.col("size") > 0), 1).otherwise(0)
+        )
+        changed = numbered.join(best, numbered["source"].eqNullSafe(best["of"]), "left").withColumn("taken", F.col("taken") + F.coalesce(change, F.lit(0)))
+        plan = stored(changed.select(*plan.columns), "mixing-plan")
+    return plan
 
 
 def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
@@ -171,9 +233,9 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     cells = stored(salted.groupBy("source", "size", "salt").agg(F.count("*").alias("docs")), "mixing-cells")
     totals = cells.groupBy("source").agg(F.sum(F.col("docs") * F.col("size")).alias("source_size"))
     plan = stored(dealt(cells, tilts(cells, targets(totals, weights, share, most)), most), "mixing-plan")
-    other = plan.select(
-        F.col("source").alias("s"), F.col("size").alias("z"), F.col("salt").alias("k"),
-        "source_size", "target", "rate", "copies", "extra",
+    other = exchanged(plan, most).select(
+        F.col("source").alias("s"), F.col("size").alias("z"), F.col("salt").alias("k"), "source_size", "target", "rate",
+        F.floor(F.col("taken") / F.col("docs")).alias("copies"), (F.col("taken") % F.col("docs")).alias("extra"),
     )
     place = Window.partitionBy("source", "size", "salt").orderBy(F.xxhash64("row", F.lit(1)), "row")
     return (

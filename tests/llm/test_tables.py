@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -35,7 +36,7 @@ def shared_out(sizes, weights=(5, 2, 1), share=1.5):
     return target
 
 
-def check_mix(docs, slack):
+def check_mix(docs, slack, strict=False):
     rows = docs.select("doc_id", "source", F.col("text")).collect()
     sizes = defaultdict(int)
     for r in rows:
@@ -54,11 +55,27 @@ def check_mix(docs, slack):
         assert 0 <= r.taken <= 2 * r.size
         taken[d.source] += r.taken
     for s, t in target.items():
-        assert abs(taken[s] - t) <= slack * max(r.size for r in found if by_id[r.doc_id][0].source == s)
+        own = [r.size for r in found if by_id[r.doc_id][0].source == s]
+        assert abs(taken[s] - t) <= slack * max(own)
+        if strict:
+            assert abs(taken[s] - t) <= max(0.005 * t, min(x for x in own if x)), (s, taken[s], t, sorted(own))
 
 
 def test_mixing_sample(spark):
-    check_mix(sample(spark), 0.5)
+    check_mix(sample(spark), 0.5, strict=True)
+
+
+def test_mixing_exchanges_between_sizes(spark):
+    """1.5 times 10 + 21 + 33 words is 96; whole copies come to 95 or 97 at best."""
+    docs = documents(spark, [(i, "w " * n, "en", "a") for i, n in enumerate((10, 21, 33))])
+    assert sum(r.taken for r in M.mixed(docs).collect()) in (95, 97)
+
+
+def test_newton_that_does_not_arrive_raises(spark):
+    cells = spark.createDataFrame([("a", 10, 4)], "source string, size long, docs long")
+    wanted = spark.createDataFrame([("a", 40, 4e9)], "source string, source_size long, target double")
+    with pytest.raises(ArithmeticError):
+        M.tilts(cells, wanted, rounds=3)
 
 
 def test_mixing_edges(spark):
