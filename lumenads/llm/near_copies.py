@@ -8,7 +8,7 @@ joined so is a group; inside each group the five-word shingles decide, exactly.
 Groups are compared in tiles of bounded size and give a spanning forest.
 
 An added, cut or replaced passage moves those fingerprints too far, so the pairs that
-are not joined yet are found by a prefix filter, which misses none: with all shingles
+are not joined yet are found by a prefix filter: with all shingles
 in one order, two sets of ``n`` and ``m`` that share ``o`` have ``l`` of the shared ones
 among the first ``n - o + l`` and ``m - o + l``. The order is common shingles last. What
 is common is counted on a sample; that touches the number of candidates only. A bit
@@ -47,9 +47,8 @@ HASH_STEPS = 1 << 30
 # Rows of one shingle that are paired at once.
 TILE_ROWS = 2_048
 # Odd factors of the hash functions of a signature, and how many of its bits have to agree. Sets
-# with a similarity of 0.8 have 115 of 128 on average, and fewer than 92 are as rare as equal
-# 64-bit hashes in a table of this size are. Sets that share a tenth have 70, and 92 by chance
-# once in twenty thousand pairs.
+# with a similarity of 0.8 have 115 of 128 on average, and fewer than 92 twice in 10^9 pairs. Sets
+# that share a tenth have 70, and 92 by chance once in fifteen thousand pairs.
 BITS, AGREE = 128, 92
 FACTORS = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, BITS, np.uint64) | np.uint64(1)
 # Texts of one shingle that give more pairs than this for each text are compared as a crowd.
