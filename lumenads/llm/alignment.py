@@ -118,13 +118,15 @@ class Pair(dict):
         ]
 
     def learn(self, words: list[str]) -> None:
-        """Encode words not seen yet, all at once. B adds a space to what it gets, so it gets
-        words behind a line feed, which no piece joins to anything."""
+        """Keep all ``words``; those not seen yet are encoded at once. B adds a space to what it
+        gets, so it gets words behind a line feed, which no piece joins to anything."""
         if len(self) >= KEPT_WORDS:
             self.older = dict(self)
             self.clear()
         new = []
         for word in words:
+            if word in self:
+                continue
             if (ids := self.older.get(word)) is not None:
                 self[word] = ids
             else:
@@ -147,7 +149,7 @@ class Pair(dict):
         words = self.cuts.findall(text)
         found = list(map(self.get, words))
         if None in found:
-            self.learn([w for w in set(words) if w not in self])
+            self.learn(list(dict.fromkeys(words)))  # known ones too, as the kept words may be dropped
             found = list(map(self.get, words))
             if None in found:
                 return None

@@ -94,6 +94,16 @@ def test_alignment_forgets_windows(spark, monkeypatch):
     assert [alignment.aligned_text(pair, windows, t) for t in texts] == before
 
 
+def test_alignment_forgets_words(monkeypatch):
+    """A text keeps its tokens when the kept words are dropped while it is encoded."""
+    monkeypatch.setattr(alignment, "KEPT_WORDS", 3)
+    pair = alignment.Pair(alignment.BYTE_LEVEL, alignment.PIECES)
+    texts = ["one two three", "one four", "two five one", "six one four", "one two three"]
+    for text in texts:
+        a, b = _spelled(pair, text)
+        assert pair.ids(text) == (alignment.packed(a), alignment.packed(b))
+
+
 def test_alignment_of_one_long_text(spark):
     pair, windows = alignment.pair_of(alignment.BYTE_LEVEL, alignment.PIECES)
     text = " ".join(r.text for r in sample(spark).limit(100).collect() if r.text) * 10
