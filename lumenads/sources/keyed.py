@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenads.session import shared_dir
+from lumenads.sources.buckets import CO_PARTITIONED, settings
 
 
 @dataclass(frozen=True)
@@ -57,6 +58,14 @@ class KeyedTable:
     def _bucket(self):
         return F.pmod(F.hash(self.key), F.lit(self.buckets))
 
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows, at most one per key, with their bucket and a share of it, dealt by both."""
+        conf = rows.sparkSession.conf
+        tasks = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or conf.get("spark.sql.shuffle.partitions")
+        shares = F.lit(-(-int(tasks) // self.buckets))
+        placed = rows.withColumns({"bucket": self._bucket(), "_share": F.pmod(F.xxhash64(self.key), shares)})
+        return placed.repartition("bucket", "_share")
+
     def _folder(self, bucket: int, batch: int) -> str:
         return f"{self.root}/data/batch={batch}/bucket={bucket}"
 
@@ -103,8 +112,16 @@ class KeyedTable:
         touched = sorted(r[0] for r in one.select("_bucket").distinct().collect())  # at most one per bucket
         if not insert:
             touched = [b for b in touched if b in written]
-        old = self._rows(spark, [self._folder(b, written[b]) for b in touched if b in written])
-        joined = old.join(one.drop("_bucket"), self.key, "full_outer" if insert else "left")
+        before = [self._folder(b, written[b]) for b in touched if b in written]
+        # Both sides are dealt by bucket and a share of its keys, which is how rows are written too:
+        # a whole row is shuffled once.
+        one = self._dealt(one.drop("_bucket"))
+        if before:
+            how = "full_outer" if insert else "left"
+            joined = self._dealt(self._rows(spark, before)).join(one, ["bucket", "_share", self.key], how)
+        else:  # all keys are new: nothing to join
+            nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema if f.name != self.key]
+            joined = one.select("bucket", self.key, *nothing, "_new")
         # a stored row that is newer than the change keeps its values
         stays = F.lit(False)
         if newest:
@@ -117,10 +134,10 @@ class KeyedTable:
             else F.col(f.name)
             for f in self.schema
         ]
-        rows = joined.select(*values).withColumn("bucket", self._bucket())
         if touched:
-            rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").option(
-                "partitionOverwriteMode", "static"
-            ).parquet(f"{self.root}/data/batch={batch}")
+            with settings(spark, CO_PARTITIONED):
+                joined.select(*values, "bucket").write.mode("overwrite").partitionBy("bucket").option(
+                    "partitionOverwriteMode", "static"
+                ).parquet(f"{self.root}/data/batch={batch}")
         self._commit(spark, batch, {**written, **dict.fromkeys(touched, batch)})
         return touched

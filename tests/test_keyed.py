@@ -1,5 +1,7 @@
 """Tables updated by key, and results compared by digests."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,32 @@ def test_digests_tell_multisets(spark):
     assert E.same_result(a.limit(0), fewer.limit(0)).first().equal
     plan = E.result_digest(a)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "SinglePartition" in plan
+
+
+def shuffled_plans(spark, monkeypatch, table, rows, batch):
+    """The plan of what an update writes."""
+    plans = []
+    write = table._dealt(rows.withColumn("_new", F.lit(1)).limit(0)).write.__class__
+    real = write.parquet
+
+    def noted(self, path, *a, **k):
+        if "/data/" in path:
+            plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return real(self, path, *a, **k)
+
+    monkeypatch.setattr(write, "parquet", noted)
+    table.update(rows, batch, ("at",))
+    return plans
+
+
+def test_whole_rows_are_shuffled_once(spark, monkeypatch, stored, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan, = shuffled_plans(spark, monkeypatch, stored, marks(spark, *((str(i), "x", 5) for i in range(50))), 2)
+        assert len(re.findall(r"\bExchange\b", plan)) == 2 and "Join" in plan  # each side of the join once
+        fresh = KeyedTable(str(tmp_path / "fresh"), SCHEMA, "id", 4)
+        plan, = shuffled_plans(spark, monkeypatch, fresh, marks(spark, ("1", "x", 5)), 1)
+        assert "Join" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r.id for r in stored.read(spark).where("mark = 'x'").collect()} == {str(i) for i in range(50)}
