@@ -16,12 +16,13 @@ from lumenads.plans.testbed import log_tables
 from lumenads.registry.core import div, register
 from lumenads.schemas import DAY_PARTITION, struct_of
 from lumenads.session import shared_dir
+from lumenads.sources.buckets import buckets_for
 from lumenads.sources.files import expire_before, scan_hive_parquet, write_partitioned, write_raw
 
 WEEK = ("2026-03-01", "2026-03-08")
 SPAN = (6, 20)
 NOW = datetime(2026, 3, 6, 13)
-BUCKETS = 2
+BUCKETS = 2  # at least; larger logs get more
 # Raw logs, and facts with the days they lack hours for: made once per session and test set.
 _LANDED: dict[tuple[str, str], str] = {}
 _FILLED: dict[tuple[str, str], tuple] = {}
@@ -56,16 +57,17 @@ def landed(spark, d) -> str:
     return _LANDED[key]
 
 
-def fact_tables(spark):
+def fact_tables(spark, d):
     root, tag = shared_dir(spark, "facts"), uuid.uuid4().hex
-    return etl.hourly_table(f"hourly_{tag}", root, BUCKETS), etl.daily_table(f"daily_{tag}", root, BUCKETS)
+    n = buckets_for(spark, landed(spark, d), BUCKETS)
+    return etl.hourly_table(f"hourly_{tag}", root, n), etl.daily_table(f"daily_{tag}", root, n)
 
 
 def filled(spark, d):
     """Stored hourly facts, stored daily facts, and the days that lack hours."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _FILLED:
-        hourly, daily = fact_tables(spark)
+        hourly, daily = fact_tables(spark, d)
         _FILLED[key] = hourly, daily, etl.fill_days(spark, landed(spark, d), hourly, daily, *WEEK, now=NOW)
     return _FILLED[key]
 
@@ -83,7 +85,7 @@ def _(spark, d):
 @register("Q1_backfill_hour_partitions", f"""WITH {LOGS} SELECT {_HOUR}, COUNT(*) AS impressions, COUNT(*) FILTER (WHERE is_click) AS clicks,
  COUNT(DISTINCT click_id) AS unique_clicks FROM hourly WHERE {_IN_SPAN} GROUP BY ALL""")
 def _(spark, d):
-    hourly, _daily = fact_tables(spark)
+    hourly, _daily = fact_tables(spark, d)
     for _ in range(2):  # a second run replaces what the first wrote
         etl.fill_hours(spark, landed(spark, d), hourly, *WEEK, *SPAN, now=NOW)
     return hourly.scan(spark).groupBy("year", "month", "day", "hour").agg(

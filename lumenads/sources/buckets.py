@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenads.schemas import with_partitions
+from lumenads.session import folder_bytes
 
+# Raw log bytes that one bucket stands for; a task holds a whole bucket of all partitions.
+BUCKET_BYTES = 32 << 20
 # A bucket this many times heavier than the mean, and larger than this, is not joined in one task.
 HEAVY, HEAVY_BYTES = 4.0, 256 << 20
 
@@ -37,6 +40,11 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def buckets_for(spark: SparkSession, raw_root: str, least: int = 1) -> int:
+    """Buckets that keep a task's share the same whatever the size of the raw logs."""
+    return max(least, -(-folder_bytes(spark, raw_root) // BUCKET_BYTES))
+
+
 @dataclass(frozen=True)
 class BucketedTable:
     """A table of the session's catalog over files below ``root``."""
