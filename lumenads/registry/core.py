@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenads.session import configure
+from lumenads.session import configure, fit_to_input
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,7 +41,8 @@ def register(key: str, sql: str | None = None):
 
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return present(fn(configure(spark), sf_dir))
+            fit_to_input(configure(spark), sf_dir)
+            return present(fn(spark, sf_dir))
 
         if key in QUERIES:
             raise KeyError(f"query {key} registered twice")

@@ -17,7 +17,12 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # A task reads so much; ids made from numbers take many times their bytes in memory.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.files.maxPartitionBytes": "32m",
 }
+# Shuffles are dealt over one partition per so many bytes of input; small ones are merged again.
+SHARE_BYTES = 4 << 20
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -26,6 +31,19 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def folder_bytes(spark: SparkSession, folder: str) -> int:
+    """Bytes of all files below a folder, or of one file, in any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+
+
+def fit_to_input(spark: SparkSession, folder: str) -> None:
+    """As many shuffle partitions as the input asks for, so that a task's share does not grow with it."""
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(usual, -(-folder_bytes(spark, folder) // SHARE_BYTES))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
+
+
 def local_session(cores: str = "8", app: str = "lumenads") -> SparkSession:
     """Session for tests and the bench; a cluster job brings its own."""
     builder = (

@@ -7,6 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from lumenads import session
 from lumenads.functions.dates import tuple_range
 from lumenads.operators.joins import hour_of_daily
 from lumenads.plans import etl
@@ -135,3 +136,27 @@ def test_empty_range_leaves_stored_rows(spark, logs, tmp_path):
     before = daily.scan(spark).count()
     assert etl.fill_days(spark, logs, hourly, daily, "2027-01-01", "2027-01-02").count() == 0
     assert daily.scan(spark).count() == before
+
+
+def test_buckets_grow_with_the_logs(spark, logs, monkeypatch):
+    total = session.folder_bytes(spark, logs)
+    assert total > 1000 and buckets.buckets_for(spark, logs, 2) == 2
+    monkeypatch.setattr(buckets, "BUCKET_BYTES", total // 5)
+    assert buckets.buckets_for(spark, logs, 2) in (5, 6)
+
+
+def test_shuffles_grow_with_the_input(spark, tmp_path, monkeypatch):
+    """A task's share stays the same; small partitions are merged again."""
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    path = str(tmp_path / "rows.parquet")
+    spark.range(1000).write.parquet(path)
+    try:
+        session.fit_to_input(spark, str(tmp_path))
+        assert spark.conf.get(key) == spark.conf.get("spark.sql.shuffle.partitions")
+        monkeypatch.setattr(session, "SHARE_BYTES", session.folder_bytes(spark, str(tmp_path)) // 60)
+        session.fit_to_input(spark, str(tmp_path))
+        n = int(spark.conf.get(key))
+        found, _ = exchanges(spark.read.parquet(path).groupBy("id").count())
+        assert n >= 60 and f", {n})" in found[0]
+    finally:
+        spark.conf.unset(key)
