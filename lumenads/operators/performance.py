@@ -43,16 +43,16 @@ def performance(
     return out if n is None else out.limit(n)
 
 
-def with_share(df: DataFrame, digits: int = 1, many_by=(), **shares: str) -> DataFrame:
+def with_share(df: DataFrame, digits: int = 1, many_by=(), many_groups: bool = False, **shares: str) -> DataFrame:
     """Percent of the column total; ``shares`` maps output name to column.
 
     With few groups a window over the aggregate reads the facts once. With very
-    many, one per ``many_by``, no task may hold them all, so the totals are a one-row
-    aggregate beside the rows; both read the same shuffled groups.
+    many (``many_groups``) no task may hold them all, so the totals are a one-row
+    aggregate beside the rows; with one row per ``many_by`` both read the same shuffled groups.
     """
     columns = list(dict.fromkeys(shares.values()))
-    if many_by:
-        df = shared_rows(df, many_by)
+    if many_by or many_groups:
+        df = shared_rows(df, many_by) if many_by else df
         totals = df.agg(*[F.sum(c).alias(f"_total_{c}") for c in columns])
         joined = df.crossJoin(F.broadcast(totals))
     else:
