@@ -1,11 +1,11 @@
 """Alignment of the tokens of two tokenizers over the bytes of one text.
 
-Both tokenizers encode the whole text. Where a token of each ends at the same
-byte and the next token of each begins with a space, the text is cut into
-windows of token ids. Alignments inside a window depend on its ids only, so they
-are kept by the pair of id tuples. Offsets where both end cut a window into
-groups; every token of one side is linked to every token of the other side in
-its group.
+Texts are cut into words where both tokenizers always cut, so that tokens of
+each end there. Tokens of a word and their alignment depend on the word only;
+they are found for many new words at once and kept by the word. Texts that
+cannot be cut are encoded whole and aligned like one word. Offsets where both
+tokenizers end a token cut a word into groups; every token of one side is linked
+to every token of the other side in its group.
 
 How many documents hold a link is counted over the corpus: distinct links of a
 document are stored once, tasks add up what they have before the shuffle. The
@@ -22,7 +22,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +40,13 @@ PIECES = "piece_bpe_32k.model"
 MARKS = ".,;:!?"
 PLAIN = re.compile(f" ?[{LETTERS}]+")
 KEPT_WORDS = 300_000
-KEPT_WINDOWS = 300_000
-# Raises ids of B, so that a window's ids make one key.
-OF_B = 1 << 31
+# Characters of a kept word at most; longer ones seldom repeat.
+KEPT_LENGTH = 64
+# Words of texts that are looked up together, and new ones that are aligned together.
+KEPT_WINDOWS = 1 << 16
+NEW_WORDS = 1 << 14
+# Sizes of a word that is not spelled by both: any text with such a word has a sum below zero.
+UNSPELLED = (b"", b"", -1 << 63)
 HEAD_LINKS = 1 << 20
 # Links that a task adds up before it sends them on.
 LINKS_AT_ONCE = 1 << 22
@@ -63,12 +67,10 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Pair(dict):
-    """Both tokenizers: word -> (ids of A, ids of B), each as little-endian unsigned 32-bit;
-    None where either does not spell the word. At most two generations of words are kept."""
+class Pair:
+    """Both tokenizers."""
 
     def __init__(self, byte_level: str, pieces: str):
-        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
         from tokenizers import Tokenizer
@@ -88,10 +90,11 @@ class Pair(dict):
         joined = {y for i in range(self.b.get_piece_size()) for x, y in pairwise(self.b.id_to_piece(i)) if x.isalpha()}
         marks = re.escape("".join(c for c in MARKS if c not in joined)) or "\n"
         self.cuts = re.compile(rf"[ \n]*[{LETTERS}]+(?=[{marks} \n]|\Z)|[ \n]*[^ \n]+|[ \n]+")
-        self.lengths = tuple([len(x) for x in side] for side in (self.a_bytes, self.b_bytes))
-        self.size = tuple(np.array(x, np.int64) for x in self.lengths)
-        self.space = tuple(np.array([x[:1] == b" " for x in side]) for side in (self.a_bytes, self.b_bytes))
-        self.older: dict = {}
+        self.size = tuple(np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.b_first = 2 * len(self.a_bytes)
+        shown = [b"%d%c" % (i, m) for n, marks in ((len(self.a_bytes), b",|"), (len(self.b_bytes), b",;")) for i in range(n) for m in marks]
+        self.shown = np.array(shown, object)
+        self.shown_size = np.array([len(x) for x in shown], np.int64)
         self.lead = len(self.b.encode("\n", num_threads=1))
 
     @staticmethod
@@ -107,112 +110,140 @@ class Pair(dict):
             packed(self.b.encode(text[1:], num_threads=1)),
         )
 
-    def _a_ids(self, words: list[str]) -> list[list[int]]:
-        """Words of plain letters need no pattern: they go to the merges at once."""
-        plain = [PLAIN.fullmatch(w) for w in words]
-        rest = self.a.encode_batch_fast([w for w, x in zip(words, plain) if not x], add_special_tokens=False)
-        others, merge, letter = iter(rest), self.a.model.tokenize, self.letter
-        return [
-            [t.id for t in merge(w.encode().decode("latin-1").translate(letter))] if x else next(others).ids
-            for w, x in zip(words, plain)
-        ]
-
-    def learn(self, words: list[str]) -> None:
-        """Keep all ``words``; those not seen yet are encoded at once. B adds a space to what it
-        gets, so it gets words behind a line feed, which no piece joins to anything."""
-        if len(self) >= KEPT_WORDS:
-            self.older = dict(self)
-            self.clear()
-        new = []
-        for word in words:
-            if word in self:
-                continue
-            if (ids := self.older.get(word)) is not None:
-                self[word] = ids
-            else:
-                new.append(word)
-        a = self._a_ids(new)
-        b = self.b.encode(["\n" + w for w in new], num_threads=1)
-        spell_a, spell_b, lead = self.a_bytes.__getitem__, self.b_bytes.__getitem__, self.lead
-        for word, x, y in zip(new, a, b):
-            y = y[lead:]
-            same = b"".join(map(spell_a, x)) == b"".join(map(spell_b, y)) == word.encode()
-            self[word] = (array("I", x).tobytes(), array("I", y).tobytes()) if same else None
-
     def ids(self, text: str) -> tuple[bytes, bytes] | None:
         """Ids of space and text by A, of the text by B; None where either does not spell the text."""
         text = " " + text
-        if not self.words or UNUSUAL_SPACE.search(text) or "▁" in text:
-            a, b = self.whole(text)
-            same = self.spelled(0, array("I", a)) == self.spelled(1, array("I", b)) == text.encode()
-            return (a, b) if same else None
-        words = self.cuts.findall(text)
-        found = list(map(self.get, words))
-        if None in found:
-            self.learn(list(dict.fromkeys(words)))  # known ones too, as the kept words may be dropped
-            found = list(map(self.get, words))
-            if None in found:
-                return None
-        return b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
+        a, b = self.whole(text)
+        same = self.spelled(0, array("I", a)) == self.spelled(1, array("I", b)) == text.encode()
+        return (a, b) if same else None
+
+    def words_of(self, text: str) -> list[str]:
+        """Words of space and text; one where it must not be cut at all."""
+        return self.cuts.findall(" " + text) if self.words else [" " + text]
+
+    def may_cut(self, words: list[str]) -> bool:
+        """Whether the ids of these words are those of a text with them."""
+        some = "".join(words)
+        return self.words and "▁" not in some and not UNUSUAL_SPACE.search(some)
+
+    def encoded(self, words: list[str]) -> tuple[list[list[int]], list[list[int]], list[str]]:
+        """Ids of words by A and by B, and the words in the order of these. Words of plain letters
+        need no pattern: they go to the merges at once. B adds a space to what it gets, so it gets
+        words behind a line feed, which no piece joins to anything."""
+        plain, others = [], []
+        for word in words:
+            (plain if PLAIN.fullmatch(word) else others).append(word)
+        a = []
+        if plain:
+            merge = self.a.model.tokenize
+            shown = "\n".join(plain).encode().decode("latin-1").translate(self.letter).split(self.letter[10])
+            a = [[t.id for t in merge(x)] for x in shown]
+        if others:
+            a += [x.ids for x in self.a.encode_batch_fast(others, add_special_tokens=False)]
+        words = plain + others
+        lead = self.lead
+        return a, [x[lead:] for x in self.b.encode(["\n" + w for w in words], num_threads=1)], words
 
     def spelled(self, side: int, ids) -> bytes:
         return b"".join(map((self.a_bytes, self.b_bytes)[side].__getitem__, ids))
 
 
 class Windows(dict):
-    """Ids of A and of B, these raised by ``OF_B``, of a window -> its groups as text, and its
-    links with all repeats. At most two generations of windows are kept."""
+    """Word -> its groups as text, its links with all repeats, and its numbers of ids of A and B
+    in one integer. At most two generations of words are kept."""
 
     def __init__(self, pair: Pair):
         super().__init__()
-        self.lengths = pair.lengths
+        self.pair = pair
         self.older: dict = {}
 
-    def __missing__(self, key: bytes) -> tuple[str, bytes]:
-        if len(self) >= KEPT_WINDOWS:
+    def learn(self, words: list[str]) -> dict:
+        """Words that are not kept yet with their values; they are kept from now on."""
+        if len(self) >= KEPT_WORDS:
             self.older = dict(self)
             self.clear()
-        found = self.older.get(key)
-        if found is None:
-            a = memoryview(key).cast("I").tolist()
-            b = []
-            while a[-1] >= OF_B:
-                b.append(a.pop() - OF_B)
-            found = self.align(a, b[::-1])
-        self[key] = found
+        found, new, older = {}, [], self.older.get
+        for word in words:
+            if (value := older(word)) is not None:
+                found[word] = value
+            else:
+                new.append(word)
+        for i in range(0, len(new), NEW_WORDS):
+            found.update(self.aligned_words(new[i : i + NEW_WORDS]))
+        self.update((w, x) for w, x in found.items() if len(w) <= KEPT_LENGTH)
         return found
 
-    def align(self, a: list[int], b: list[int]) -> tuple[str, bytes]:
-        """Walk both sides at once; a group ends where a token of each ends at one byte."""
-        shown, codes = [], []
-        show, add = shown.append, codes.append
-        size_a, size_b = self.lengths
-        i = k = 0  # where the group begins
-        j = m = 0  # the tokens at hand, which end at these bytes:
-        end_a, end_b = size_a[a[0]], size_b[b[0]]
-        last = len(a)
-        while j < last:
-            if end_a < end_b:
-                j += 1
-                end_a += size_a[a[j]]
-            elif end_b < end_a:
-                m += 1
-                end_b += size_b[b[m]]
-            else:
-                j, m = j + 1, m + 1
-                if j - i == 1 == m - k:
-                    x, y = a[i], b[k]
-                    show(f"{x}|{y}")
-                    add(x << 32 | y)
+    def aligned_words(self, words: list[str]) -> Iterator[tuple[str, tuple[bytes, bytes, int]]]:
+        """Words with their values."""
+        a, b, words = self.pair.encoded(words)
+        ends = np.array([len(w.encode()) for w in words], np.int64).cumsum()
+        flat = [np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b)]
+        n = [np.array([len(x) for x in side], np.int64) for side in (a, b)]
+        text, spelled = "".join(words).encode(), self.pair.spelled
+        same = all(
+            spelled(i, chain.from_iterable(side)) == text
+            and np.array_equal(np.append(0, self.pair.size[i][flat[i]].cumsum())[n[i].cumsum()], ends)
+            for i, side in enumerate((a, b))
+        )
+        if same:
+            return zip(words, self.aligned(*flat, *n))
+        good = [spelled(0, x) == spelled(1, y) == w.encode() for w, x, y in zip(words, a, b)]
+        flat = [np.fromiter(chain.from_iterable(x for x, ok in zip(side, good) if ok), np.int64) for side in (a, b)]
+        values = self.aligned(*flat, *(x[good] for x in n)) if any(good) else iter(())
+        return ((w, next(values) if ok else UNSPELLED) for w, ok in zip(words, good))
+
+    def aligned(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> Iterator[tuple[bytes, bytes, int]]:
+        """Values of words with so many ids each; a group ends where a token of each ends at one byte."""
+        end_a, end_b = self.pair.size[0][a].cumsum(), self.pair.size[1][b].cumsum()
+        ended = np.zeros((2, int(end_a[-1]) + 1), bool)
+        ended[0][end_a] = ended[1][end_b] = True
+        last_a, last_b = ended[1][end_a], ended[0][end_b]  # tokens at the end of their group
+        stop_a, stop_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+        of_a, of_b = last_a.cumsum() - last_a, last_b.cumsum() - last_b  # their groups
+        # ids of A, then of B, group by group
+        start_b = np.append(0, stop_b[:-1])
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + start_b[of_a]] = 2 * a + last_a
+        order[np.arange(len(b)) + stop_a[of_b]] = 2 * b + last_b + self.pair.b_first
+        shown = b"".join(self.pair.shown[order].tolist())
+        upto_a = n_a.cumsum()
+        shown_at = self.pair.shown_size[order].cumsum()[upto_a + n_b.cumsum() - 1].tolist()
+        # every id of A with every id of B of its group
+        times = (stop_b - start_b)[of_a]
+        upto = times.cumsum()
+        left = np.repeat(a, times)
+        right = b[np.repeat(start_b[of_a] + times - upto, times) + np.arange(len(left))]
+        links = (left << 32 | right).tobytes()
+        links_at = (8 * upto[upto_a - 1]).tolist()
+        return (
+            (shown[i:j], links[k:m], n)
+            for i, j, k, m, n in zip([0, *shown_at], shown_at, [0, *links_at], links_at, (n_a << 32 | n_b).tolist())
+        )
+
+    def whole(self, text: str) -> tuple[bytes, bytes, int]:
+        """The value of a text that is not cut."""
+        if (ids := self.pair.ids(text)) is None:
+            return UNSPELLED
+        a, b = (np.frombuffer(x, "<u4").astype(np.int64) for x in ids)
+        return next(self.aligned(a, b, np.array([len(a)]), np.array([len(b)])))
+
+    def of_texts(self, texts: list[str]) -> Iterator[list[tuple[bytes, bytes, int]]]:
+        """Values of the words of each text. New words of all texts are found at once."""
+        held, new = [], {}
+        for text in texts:
+            words = self.pair.words_of(text)
+            found = list(map(self.get, words))
+            if None in found:
+                unknown = [w for w, x in zip(words, found) if x is None]
+                if not self.pair.may_cut(unknown):
+                    found = words = [self.whole(text)]
                 else:
-                    group_a, group_b = a[i:j], b[k:m]
-                    show(f"{','.join(map(str, group_a))}|{','.join(map(str, group_b))}")
-                    codes.extend([x << 32 | y for x in group_a for y in group_b])
-                i, k = j, m
-                if j < last:
-                    end_a += size_a[a[j]]
-                    end_b += size_b[b[m]]
-        return ";".join(shown), array("q", codes).tobytes()
+                    new.update(dict.fromkeys(unknown))
+            held.append((words, found))
+        if new:
+            new = self.learn(list(new))
+        for words, found in held:
+            yield [new[w] if x is None else x for w, x in zip(words, found)] if None in found else found
 
 
 _PAIRS: dict[tuple[str, str], tuple[Pair, Windows]] = {}
@@ -226,30 +257,6 @@ def pair_of(byte_level: str, pieces: str) -> tuple[Pair, Windows]:
     return _PAIRS[byte_level, pieces]
 
 
-def windows_of(pair: Pair, a: bytes, b: bytes) -> tuple[list[bytes], int]:
-    """Windows between anchors, and the number of groups. Both sides spell the same bytes."""
-    ids = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    ends = [pair.size[i][x].cumsum() for i, x in enumerate(ids)]
-    common = []
-    for own, other in (ends, ends[::-1]):
-        marked = np.zeros(int(own[-1]) + 1, bool)
-        marked[other] = True
-        common.append(np.flatnonzero(marked[own])[:-1] + 1)  # the first token after each shared end
-    anchor = pair.space[0][ids[0][common[0]]] & pair.space[1][ids[1][common[1]]]
-    of_a, of_b = (x[anchor] for x in common)  # first tokens of all windows but the first
-    starts = of_a + of_b
-    place = [np.arange(len(x)) for x in ids]
-    for own, other in ((0, of_b), (1, np.append(of_a, len(ids[0])))):  # behind the other side's tokens so far
-        shift = np.zeros(len(ids[own]) + 1, np.int64)
-        first = of_a if own == 0 else np.concatenate([[0], of_b])
-        shift[first] = np.diff(other, prepend=0)
-        place[own] += shift[:-1].cumsum()
-    keys = np.empty(len(ids[0]) + len(ids[1]), np.uint32)
-    keys[place[0]], keys[place[1]] = ids[0], ids[1] + np.uint32(OF_B)
-    flat, at = keys.tobytes(), (4 * starts).tolist()
-    return [flat[i:j] for i, j in zip([0, *at], [*at, len(flat)])], len(common[0]) + 1
-
-
 def _summed(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of ``times`` by code, sorted by code."""
     order = np.argsort(codes, kind="stable")
@@ -276,30 +283,50 @@ def unpacked(links: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return codes, np.frombuffer(b"".join(times), "<i8"), sizes
 
 
-def aligned_text(pair: Pair, windows: Windows, text: str | None) -> tuple[int, int, int, int, str, bytes | None]:
-    """n_a, n_b, n_groups, n_links, groups_sha256 and links of one text."""
-    ids = pair.ids(text) if text else None
-    if ids is None:
+def _row(words: list[tuple[bytes, bytes, int]]) -> tuple[int, int, int, int, str, bytes | None]:
+    """n_a, n_b, n_groups, n_links, groups_sha256 and links of a text of these words."""
+    sizes = sum([x[2] for x in words])
+    if sizes <= 0:
         return 0, 0, 0, 0, "", None
-    a, b = ids
-    found, groups = windows_of(pair, a, b)
-    found = list(map(windows.__getitem__, found))
-    digest = hashlib.sha256(";".join([x[0] for x in found]).encode()).hexdigest()
-    codes = np.frombuffer(b"".join([x[1] for x in found]), np.int64).copy()
+    groups = b"".join([x[0] for x in words])
+    codes = np.frombuffer(b"".join([x[1] for x in words]), np.int64).copy()
     codes.sort()
     first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
     times = np.diff(first, append=len(codes))
-    return len(a) // 4, len(b) // 4, groups, len(codes), digest, _links(codes[first], times)
+    digest = hashlib.sha256(memoryview(groups)[:-1]).hexdigest()
+    return sizes >> 32, sizes & 0xFFFFFFFF, groups.count(b";"), len(codes), digest, _links(codes[first], times)
+
+
+def aligned_texts(windows: Windows, texts: Iterable[str | None]) -> Iterator[tuple[int, int, int, int, str, bytes | None]]:
+    """n_a, n_b, n_groups, n_links, groups_sha256 and links of each text; a null or empty one has no
+    words. Texts are looked up together while they have few characters for KEPT_WINDOWS words."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text or "")
+        size += len(held[-1])
+        if size >= 4 * KEPT_WINDOWS:
+            yield from _rows(windows, held)
+            held, size = [], 0
+    yield from _rows(windows, held)
+
+
+def _rows(windows: Windows, texts: list[str]) -> Iterator[tuple[int, int, int, int, str, bytes | None]]:
+    found = windows.of_texts([x for x in texts if x])
+    return (_row(next(found) if x else []) for x in texts)
+
+
+def aligned_text(pair: Pair, windows: Windows, text: str | None) -> tuple[int, int, int, int, str, bytes | None]:
+    """n_a, n_b, n_groups, n_links, groups_sha256 and links of one text."""
+    return next(aligned_texts(windows, [text]))
 
 
 def _aligned(batches: Iterator[pa.RecordBatch], byte_level: str, pieces: str) -> Iterator[pa.RecordBatch]:
-    pair, windows = pair_of(byte_level, pieces)
+    windows = pair_of(byte_level, pieces)[1]
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            rows.append((row, doc_id, *aligned_text(pair, windows, text.as_py())))
-            row += 1
+        texts = aligned_texts(windows, (x.as_py() for x in batch.column("text")))
+        rows = [(row + i, doc_id, *x) for i, (doc_id, x) in enumerate(zip(batch.column("doc_id").to_pylist(), texts))]
+        row += len(rows)
         yield pa.RecordBatch.from_pydict(
             {f.name: [r[i] for r in rows] for i, f in enumerate(TEXT_ARROW)}, TEXT_ARROW
         )

@@ -104,6 +104,41 @@ def test_alignment_forgets_words(monkeypatch):
         assert pair.ids(text) == (alignment.packed(a), alignment.packed(b))
 
 
+@pytest.mark.parametrize("kept, at_once", [(300_000, 1 << 16), (3, 1 << 16), (3, 5)])
+def test_alignment_of_texts_together(monkeypatch, kept, at_once):
+    """New words of many texts go to the tokenizers at once; each text has what it has alone."""
+    monkeypatch.setattr(alignment, "KEPT_WORDS", kept)
+    monkeypatch.setattr(alignment, "KEPT_WINDOWS", at_once)
+    monkeypatch.setattr(alignment, "NEW_WORDS", max(4, at_once >> 2))
+    pair = alignment.Pair(alignment.BYTE_LEVEL, alignment.PIECES)
+    library, calls = pair.b, []
+
+    class Counted:
+        def encode(self, *args, **options):
+            calls.append(args)
+            return library.encode(*args, **options)
+
+    pair.b = Counted()
+    plain = [f"some words{chr(97 + i)}word and nothing{chr(97 + i)}else, twice." for i in range(20)]
+    windows = alignment.Windows(pair)
+    found = list(alignment.aligned_texts(windows, plain))
+    assert at_once == 5 or len(calls) == 1
+    pair.b = library
+    odd = [r[1] for r in ROWS + ODD if r[1] is None or len(r[1]) < 1000] + ["fine ﬁ", "fine", "x" * 200 + " y" * 200]
+    found += alignment.aligned_texts(windows, odd)
+    for text, row in zip(plain + odd, found, strict=True):
+        if (ids := _spelled(pair, text)) is None:
+            assert row == (0, 0, 0, 0, "", None)
+            continue
+        groups = _groups(pair, *ids)
+        shown = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
+        links = Counter((a << 32) + b for g in groups for a in g[0] for b in g[1])
+        assert row[:3] == (len(ids[0]), len(ids[1]), len(groups)) and row[3] == sum(links.values())
+        assert row[4] == hashlib.sha256(shown.encode()).hexdigest()
+        codes, times, _ = alignment.unpacked([row[5]])
+        assert dict(zip(codes.tolist(), times.tolist())) == links
+
+
 def test_alignment_of_one_long_text(spark):
     pair, windows = alignment.pair_of(alignment.BYTE_LEVEL, alignment.PIECES)
     text = " ".join(r.text for r in sample(spark).limit(100).collect() if r.text) * 10
